@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+from quernstone.llm.chat import OP9_SQL, op9_chat
+from quernstone.llm.langid import op2_langid
+from quernstone.llm.licenses import op10_licenses
+from quernstone.llm.media import op5_media
+from quernstone.llm.mixing import OP4_SQL, op4_mixing
+from quernstone.llm.sentpieces import op7_sentencepiece
 from quernstone.llm.simhash import op1_simhash
+from quernstone.llm.syncmers import op6_syncmers
+from quernstone.llm.tokenfiles import op3_token_files
+from quernstone.llm.unitdedup import op8_substring_dedup
 
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
+    "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
+    "op5_media": op5_media,
+    "op6_syncmers": op6_syncmers,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_chat": op9_chat,
+    "op10_licenses": op10_licenses,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+#: SQL can't express the others: hashing with a given seed and reachability, trained or learned models, files, automata.
+LLM_ORACLE = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
