@@ -22,7 +22,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import documents, ship
@@ -38,6 +38,7 @@ LEVEL = 9
 #: A text is rejected if the best size is not this share smaller than the second best.
 MARGIN = 0.01
 
+HASHES = 1 << 40
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -49,11 +50,15 @@ def normalised(text: str) -> str:
 def learn(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, bytes]:
     """A dictionary for each language. The ids are picked from two narrow columns; then the picked rows' texts are read."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    order = F.row_number().over(_window(lang_col, id_col))
-    picked = labelled.select(id_col, lang_col).distinct().withColumn("_n", order).filter(F.col("_n") <= SAMPLE_ROWS).select(id_col, lang_col)
+    # a share of the hash range that holds about twice the rows wanted, so that a large language isn't ranked in one task
+    ids = labelled.select(id_col, lang_col)
+    many = ids.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_many"))
+    near = ids.join(F.broadcast(many), lang_col).filter(F.pmod(F.xxhash64(id_col), F.lit(HASHES)) < F.lit(HASHES) * (2.0 * SAMPLE_ROWS + 100) / F.col("_many"))
+    order = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(HASHES)), id_col))
+    picked = near.select(id_col, lang_col).distinct().withColumn("_n", order).filter(F.col("_n") <= SAMPLE_ROWS).select(id_col, lang_col)
     rows = labelled.select(id_col, lang_col, F.substring(text_col, 1, TEXT_CHARS).alias("_text")).join(F.broadcast(picked), [id_col, lang_col], "left_semi")
     texts: dict[str, list[tuple[int, str]]] = {}
-    for key, lang, text in rows.select(F.xxhash64(id_col), F.col(lang_col).cast("string"), "_text").collect():
+    for key, lang, text in rows.select(F.pmod(F.xxhash64(id_col), F.lit(HASHES)), F.col(lang_col).cast("string"), "_text").collect():
         texts.setdefault(lang, []).append((key, text))
     out = {}
     for lang in sorted(texts):
@@ -66,12 +71,6 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[st
     return out
 
 
-def _window(lang_col: str, id_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-
-
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[str, float, bool]]:
     """text -> (language, score, rejected). The score is the margin to the second best size, scaled to 0..1."""
     langs = sorted(dictionaries)

@@ -67,13 +67,16 @@ def places(rows: DataFrame, source: str, order: list[str], size: DataFrame) -> D
     key = F.md5(F.coalesce(F.col(order[0]).cast("string"), F.lit("")))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")
     part = F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
-    dealt = rows.withColumn("_md5", key).join(F.broadcast(size.withColumnRenamed(source, "_source")), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_bucket", part).drop("_source", "n")
-    counts = dealt.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col(source).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy(source, "_bucket").orderBy("_md5", *order)))
-    out = ranked.join(base, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return out.withColumn("place", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_s", "_b", "_bucket", "_base", "_rank", "_md5")
+    # a key without nulls, so that the window and the join are dealt alike and the rows move once
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+    sizes = size.select(named.alias("_key"), "n")
+    dealt = rows.withColumns({"_md5": key, "_key": named}).join(F.broadcast(sizes), "_key").withColumn("_bucket", part).drop("n")
+    counts = dealt.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_key", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_bucket").orderBy("_md5", *order)))
+    out = ranked.join(base, ["_key", "_bucket"])
+    return out.withColumn("place", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_key", "_bucket", "_base", "_rank", "_md5")
 
 
 def mix(rows: DataFrame, source: str = "source", order: list[str] | None = None, weights: dict[str, int] | None = None, default: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -160,7 +160,7 @@ class Encoder:
     def _run(self, n: int) -> bytes:
         """Ids of n marks in a row; their merges all have the same score, and the library settles them."""
         if n not in self.runs:
-            self.runs[n] = np.array(self.p.library.encode(" " * (n - 1)), np.uint16).tobytes()
+            self.runs[n] = np.array(self.p.library.encode(" " * (n - 1)) or [self.p.id[" "]], np.uint16).tobytes()
         return self.runs[n]
 
     def encode(self, texts: list[str]) -> list[bytes]:
