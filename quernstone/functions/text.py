@@ -114,7 +114,7 @@ def compact_label(x: Column, fallback: str, most: int = 90) -> Column:
 
 
 def non_empty(items: Column) -> Column:
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unique_trimmed(items: Column) -> Column:

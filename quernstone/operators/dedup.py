@@ -34,7 +34,7 @@ def merge_records(jobs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     one = keyed.groupBy("merge_key").agg(*[longest(F.coalesce(F.col(c), F.lit("")), o).alias(c) for c in LONGEST], lists("sources").alias("_s"), lists("keywords").alias("_k"), first.alias("_first"), F.min(o).alias(ordinal))
     # the first record's list is its own source or keyword where it has none
     filled = lambda lst, own: F.concat(F.when(F.size(F.get(lst, F.lit(0))["v"]) == 0, F.array(own)).otherwise(F.get(lst, F.lit(0))["v"]), F.flatten(F.transform(F.slice(lst, 2, F.size(lst)), lambda x: x["v"])))
-    unique = lambda items: F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: (x != "") & x.isNotNull()))
+    unique = lambda items: F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: (x != "") & x.isNotNull()))
     sources, keywords = unique(filled(F.col("_s"), F.col("_first.source"))), unique(filled(F.col("_k"), F.col("_first.keyword")))
     out = one.select("merge_key", ordinal, *LONGEST, sources.alias("sources"), keywords.alias("keywords"), *[F.col(f"_first.{c}").alias(c) for c in names], F.col("_first.keyword").alias("_kw"), F.col("_first.source").alias("_src"))
     merged = out.withColumn("source", F.when(F.size("sources") > 0, F.array_join("sources", ", ")).otherwise(F.col("_src")))
