@@ -16,6 +16,7 @@ count; a null id is returned as null; repeated rows are all returned; an empty t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -45,8 +46,8 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-#: Edits that a notice of so many characters may have: one for each of them.
-CHARS_PER_EDIT = 10
+#: A notice may have one edit for so many characters, and so many edits at most.
+CHARS_PER_EDIT, MOST_EDITS = 10, 4
 #: Characters that a verified window may have; a longer chain of windows is verified in overlapping stretches of this.
 STRETCH = 4096
 
@@ -76,7 +77,7 @@ class Found(NamedTuple):
 
 
 def edits_of(notice: str) -> int:
-    return max(1, len(notice) // CHARS_PER_EDIT)
+    return min(MOST_EDITS, max(1, len(notice) // CHARS_PER_EDIT))
 
 
 def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:
@@ -99,7 +100,6 @@ class Scanner:
         for piece, of in seeds.items():
             self.seeds.add_word(piece, (len(piece), of))
         self.seeds.make_automaton()
-        self.needs = [n.edits + 1 for n in self.notices]
 
     def base(self, words: str) -> dict[str, list[int]]:
         """Label -> the words at which its phrase stands, from 0."""
@@ -140,7 +140,8 @@ class Scanner:
         return out
 
     def fuzzy(self, text: str) -> list[Found]:
-        """All notices within their edits, non-overlapping for each notice, by place."""
+        """Notices within their edits, by place. Of finds that overlap, the one of fewest errors for its length stays,
+        the longer of equals: another version of a license is one edit away."""
         out = []
         for k, a, b in self.windows(text):
             n = self.notices[k]
@@ -154,7 +155,12 @@ class Scanner:
                     seen = max(seen, m.end())
                 if stop == b:
                     break
-        return sorted(out, key=lambda f: (f.start, f.end, f.notice))
+        kept: list[Found] = []  # by place, apart from each other
+        for f in sorted(out, key=lambda f: (-f.likeness, f.start - f.end, f.start, f.notice)):
+            k = bisect_left(kept, f.start, key=lambda g: g.start)
+            if (k == 0 or kept[k - 1].end <= f.start) and (k == len(kept) or f.end <= kept[k].start):
+                kept.insert(k, f)
+        return kept
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
