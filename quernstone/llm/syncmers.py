@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.shared import documents, ship
@@ -129,11 +129,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounds = np.unique(np.array(cuts or [], np.int64))
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        # part 0 has the largest ids; a bound belongs to the part that it begins; null ids are last
-        known = ids.fillna(0).astype("int64").to_numpy()
-        part = len(bounds) - np.searchsorted(bounds, known, side="right")
-        return pd.Series(np.where(ids.isna().to_numpy(), len(bounds) + 1, part).astype("int32"))
+    def searched(ids: pd.Series) -> pd.Series:
+        # part 0 has the largest ids; a bound belongs to the part that it begins
+        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(), side="right")).astype("int32"))
+
+    def part_of(name: str) -> Column:  # null ids are last
+        return F.when(F.col(name).isNull(), F.lit(len(bounds) + 1)).otherwise(searched(F.coalesce(F.col(name), F.lit(0).cast("long"))))
 
     dealt = rows.withColumn("part", part_of("doc_id"))
     # the largest id of each part, a row a part: narrow, as texts aren't read for it
@@ -151,7 +152,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     to = spark.createDataFrame([(int(k), int(p)) for k, p in before.items()], "own int, part int")
     ahead = first.join(F.broadcast(to), "own").select("part", F.lit(1).alias("ahead"), "doc_id", "text")
     every = dealt.select("part", F.lit(0).alias("ahead"), "doc_id", "text").unionByName(ahead)
-    return every.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    return every.repartitionById(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
