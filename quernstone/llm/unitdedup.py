@@ -93,7 +93,7 @@ def removable(text: str, repeats: set[int]) -> list[tuple[int, int]]:
             gone[first:end] = [True] * (end - first)
     k = 0
     while k < len(spans):
-        if 2 * k in repeats or gone[k]:
+        if words[k] and (2 * k in repeats or gone[k]):
             end = k
             # a unit without words, such as a rule of dashes, doesn't break a run
             while end < len(spans) and (2 * end in repeats or gone[end] or not words[end]):

@@ -30,6 +30,22 @@ def test_units_cover_the_text():
     assert all(a < b for a, b, _, _ in spans)
 
 
+def test_removal_ends_and_spares_what_is_not_repeated():
+    """Units without words, alone in lines, at line ends and between repeats, in any mix with repeated units."""
+    rng = random.Random(11)
+    parts = ["--", "...", "  ", "Of.", "\n", "\n---\n", "Alpha beta gamma delta epsilon zeta."] + [sentence(rng, 9) for _ in range(4)]
+    for _ in range(3000):
+        text = " ".join(rng.choices(parts, k=rng.randint(1, 12)))
+        spans, _, words = U.units(text)
+        at = [p for p, _, _ in U.digests(text)]
+        repeated = set(rng.sample(at, rng.randint(0, len(at))))
+        gone = U.removable(text, repeated)
+        assert all(a < b for a, b in gone) and all(x[1] <= y[0] for x, y in zip(gone, gone[1:]))
+        for k, (a, b, _, first) in enumerate(spans):
+            if words[k] and not {2 * k, 2 * first + 1} & repeated:
+                assert not any(s < b and a < e for s, e in gone)
+
+
 def docs_with_passages():
     rng = random.Random(3)
     passage = " ".join(sentence(rng, 9) for _ in range(8))
