@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, ship
+from quernstone.llm.shared import documents, ship, sliced
 
 #: Rows a language that the dictionaries are taken from, at most.
 SAMPLE_ROWS = 400
@@ -115,7 +115,7 @@ def predictions(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = classifier(dictionaries)
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 lang, score, rejected = zip(*map(classify, batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
@@ -142,7 +142,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = classifier(dictionaries)
-        for batch in batches:
+        for batch in sliced(batches):
             keep = pa.array([not classify(x)[2] for x in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 

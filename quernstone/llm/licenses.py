@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, ship
+from quernstone.llm.shared import documents, ship, sliced
 
 #: Phrases of the base count and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -195,7 +195,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 [dict(zip(("label", "notice", "start", "end", "errors"), f)) for f in finds],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 cols = zip(*map(one, batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)

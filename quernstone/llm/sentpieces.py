@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import documents, ship
+from quernstone.llm.shared import documents, ship, sliced
 
 MARK = "▁"
 #: Entries of an encoder's word and pair caches; beyond, they start anew.
 CACHE = 400_000
 #: Texts encoded together, and their characters, at most; a longer text is encoded alone.
-TOGETHER, TOGETHER_CHARS = 4_000, 16_000_000
+TOGETHER, TOGETHER_CHARS = 500, 1_000_000
 
 ONE_SPACE = re.compile(" [^ \n]*|[^ \n]+|\n")
 RUNS = re.compile(" +[^ \n]*|[^ \n]+|\n")
@@ -218,7 +218,7 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Pieces(model, kind))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch.column(at).to_pylist()]
             for a, b in _groups(texts):
                 data = encoder.encode(texts[a:b])

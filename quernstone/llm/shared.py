@@ -7,11 +7,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows whose texts a task holds as Python strings at a time.
+ROWS = 500
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; one of our own only where that is unset."""
@@ -44,6 +49,13 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, a few at a time: what is made of their texts in Python is bounded by that and not by Arrow's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def posix(path: str) -> str:
     """The folder that a file URI names. Raw files (token files, tar shards) need a mounted file system."""
     parts = urlparse(path)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import materialize, release, ship
+from quernstone.llm.shared import materialize, release, ship, sliced
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of text split into words at a time.
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, lanes:
     names = [f"w{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 w = np.stack([fingerprint(x, size, lanes) for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes))], names=["doc_id", *names])

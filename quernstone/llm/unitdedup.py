@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import documents, materialize, ship
+from quernstone.llm.shared import documents, materialize, ship, sliced
 
 #: Words of a line that is removed as a repeat of its own, and of a run of clauses, at least.
 LINE_WORDS, RUN_WORDS = 5, 25
@@ -124,7 +124,7 @@ def _units_of(docs: DataFrame) -> DataFrame:
     """key, at, digest of every unit: within a document only the first of equal units and, flagged, its repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             key: list[int] = []
             at: list[int] = []
@@ -175,7 +175,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             texts, cut, kept = batch.column(at).to_pylist(), [], []
             marked = batch.column(batch.num_columns - 1).to_pylist()
             for k, (text, own) in enumerate(zip(texts, marked)):
