@@ -151,13 +151,14 @@ def _units_of(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key (the id, NO_ID for null) and the positions of its repeated units, a row a document that has some.
 
-    Only digests that more than one row has take part in the join, and only repeats come out of it; both sides
-    are dealt by digest, and adaptive execution splits those of very frequent units."""
+    Only digests that more than one row has take part in the join, and only repeats come out of it. The first
+    occurrences are written before it: right above the aggregation that finds them, the join would need
+    each digest's rows in one task; apart from it, adaptive execution splits those of very frequent units."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
     found = materialize(_units_of(rows), "units")
-    first = found.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
+    first = materialize(found.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "first-units")
     later = found.join(first, ["h1", "h2"]).filter("key <> first_key or at <> first_at").select("key", "at")
     return later.groupBy("key").agg(F.collect_set("at").alias("repeats"))
 
