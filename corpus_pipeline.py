@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words a shingle, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five words a shingle, a Jaccard similarity of 0.8 or more."""
     return simhash.keep_one_per_group(docs, shingle=5, similarity=0.8)
 
 

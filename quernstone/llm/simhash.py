@@ -140,10 +140,10 @@ def expected_distance(bits: int, similarity: float) -> float:
     return bits * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def radius_for(bits: int, similarity: float) -> int:
-    """The expected distance and one standard deviation of it."""
+def radius_for(bits: int, similarity: float, deviations: float = 1) -> int:
+    """The expected distance and so many standard deviations of it."""
     d = expected_distance(bits, similarity)
-    return math.floor(d + math.sqrt(d * (1 - d / bits)))
+    return math.floor(d + deviations * math.sqrt(d * (1 - d / bits)))
 
 
 def _bucketed(nodes: DataFrame, lanes: int, keys: list[list[int]]) -> DataFrame:
@@ -421,14 +421,140 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_words(["w0"]).alias("fingerprint"), "component_id")
 
 
+# Groups by the real similarity ----------------------------------------------------------------
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, in order; none for a blank text."""
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_print(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """fingerprint() of distinct shingles: 64 * lanes bits."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(_lanes(hashes[at : at + 65_536], lanes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int) -> DataFrame:
+    """One row a row of docs with an id: doc_id, h1 and h2 of its text, node (a hash of its set of shingles), the set's fingerprint, the set."""
+    ship(docs.sparkSession)
+    names = [f"w{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            if batch.num_rows:
+                sets = [shingle_set(x, size) for x in batch.column(3).to_pylist()]
+                w = np.stack([set_print(x, lanes) for x in sets])
+                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                cols = [pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), *cols, pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "h1", "h2", "node", *names, "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_hashes(text_col), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles binary")
+
+
+def _text_hashes(text_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Root position of each set: sets whose Jaccard similarity is `similarity` or more, directly or through others,
+    share one. With both sides, sets of side 0 are compared with all."""
+    n = len(sets)
+    root = np.arange(n)
+    size = np.array([len(x) for x in sets])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    at = np.r_[0, np.cumsum(size)]
+    order = np.argsort(term, kind="stable")
+    holders = np.repeat(np.arange(n), size)[order]  # of each term, one after another
+    first = np.r_[0, np.cumsum(np.bincount(term))]
+    ask = np.flatnonzero(~side) if side.any() and not side.all() else np.arange(n)
+    for i in ask.tolist():
+        if size[i]:
+            own = term[at[i] : at[i + 1]]
+            shared = np.bincount(np.concatenate([holders[first[t] : first[t + 1]] for t in own.tolist()]), minlength=n)
+            hits = np.flatnonzero(shared >= similarity * (size[i] + size - shared) - 1e-9)
+        else:
+            hits = np.flatnonzero(size == 0)
+        _hook(root, np.full(len(hits), i), hits)
+        if not root.any():  # all are one group
+            break
+    return root
+
+
+def _alike_in_groups(groups: DataFrame, similarity: float) -> DataFrame:
+    """groups: grp, node, shingles. Links u, v of nodes of a group, by exact comparison: stars, never all pairs. Groups of
+    more than CHUNK nodes are dealt out as pairs of chunks, like buckets."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = (
+        groups.join(sizes, "grp")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "shingles")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides, sets = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            node = np.array(nodes, np.int64)
+            root = node[alike(sets, np.array(sides, bool), similarity)]
+            some = node != root
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some])], names=["u", "v"])
+
+        for batch in sliced(batches):
+            for grp, lo, hi, side, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, lo, hi) != now:
+                    if len(nodes) > 1:
+                        yield found()
+                    now, nodes, sides, sets = (grp, lo, hi), [], [], []
+                nodes.append(node)
+                sides.append(side)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        if len(nodes) > 1:
+            yield found()
+
+    return dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "side", "node").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 256, deviations: float = 3, recall: float = 0.995) -> DataFrame:
+    """doc_id, h1, h2 (of the text) and grp of each row with an id. Rows share a group if their sets of shingles have a Jaccard
+    similarity of `similarity` or more, directly or through others.
+
+    Fingerprints only find who may be alike: within the distance expected at the similarity and `deviations` of it,
+    by keys shared with probability `recall`. Whatever they join is compared by the sets themselves, inside
+    the joined group and not along its stars, whose ends needn't be alike."""
+    spark, lanes = docs.sparkSession, bits // 64
+    names = [f"w{k}" for k in range(lanes)]
+    sets = materialize(_sets(docs, id_col, text_col, shingle, lanes).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    nodes = materialize(sets.groupBy("node", *names).agg(F.min("row").alias("row")), "nodes")
+    keys = similarity_keys(bits, similarity, nodes.count(), recall)
+    stars = components(spark, _links_of_cells(_cells(nodes, lanes, keys), lanes, radius_for(bits, similarity, deviations)))
+    near = stars.select("node", F.col("root").alias("grp")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
+    near = materialize(sets.select("row", "shingles").join(nodes.select("node", "row").join(near, "node"), "row").select("grp", "node", "shingles"), "candidates")
+    found = components(spark, _alike_in_groups(near, similarity))
+    return sets.select("doc_id", "h1", "h2", "node").join(found, "node", "left").select("doc_id", "h1", "h2", F.coalesce("root", "node").alias("grp"))
+
+
 def keep_one_per_group(docs: DataFrame, **how) -> DataFrame:
-    """docs without the near copies: of each component the document with the smallest doc_id stays,
-    and one of its rows if the table repeats it. Rows without a doc_id stay."""
-    groups = near_duplicates(docs, **how).select("doc_id", "component_id")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = groups.filter("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    """docs without the near copies: of each group one row stays, of the smallest doc_id, and among texts
+    of that id of the smallest hash. Texts that differ under one id are rows of their own. Rows without a doc_id stay."""
+    groups = materialize(similar_groups(docs, **how), "near-groups")
+    row = F.struct("doc_id", "h1", "h2")
+    best = groups.groupBy("grp").agg(F.min(row).alias("best"))
+    stays = materialize(best.select("best.*"), "near-kept")
+    mark = ["_id", "_h1", "_h2"]
+    marks = [F.col("doc_id").cast("long").alias("_id"), *(c.alias(f"_{n}") for c, n in zip(_text_hashes("text"), ("h1", "h2")))]
+    marked = docs.select("*", *marks)
+    stays = stays.toDF(*mark)
+    kept = marked.join(stays, mark, "left_semi")
+    twice = groups.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "h1", "h2").toDF(*mark).join(stays, mark, "left_semi")
+    blank = docs.filter(F.col("doc_id").cast("long").isNull())
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once)
+        return kept.select(*docs.columns).unionByName(blank)
+    once = kept.join(twice, mark, "left_semi").dropDuplicates(mark)
+    return kept.join(twice, mark, "left_anti").unionByName(once).select(*docs.columns).unionByName(blank)

@@ -139,3 +139,48 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = S.keep_one_per_group(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
+def overlapping(rng, name, similarity, n=200):
+    """Two texts of n shingles each, with distinct words, whose sets of shingles have this Jaccard similarity, about."""
+    same = round(2 * n * similarity / (1 + similarity))
+    words = [f"{name}{x}" for x in rng.permutation(n + 4)]
+    return " ".join(words), " ".join(words[: same + 4] + [f"{name}y{k}" for k in range(n - same)])
+
+
+def test_stage_goes_by_the_real_similarity(spark):
+    """400 pairs: those of 0.8 or more lose one, the others none; the fingerprints' own distance tells neither."""
+    rng = np.random.default_rng(12)
+    rows, pairs = [], {}
+    for k in range(400):
+        s = (0.6, 0.7, 0.8, 0.85)[k % 4]
+        a, b = overlapping(rng, f"p{k}", s)
+        x, y = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+        pairs[2 * k] = (s, len(x & y) / len(x | y))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    df = spark.createDataFrame([(d, t, None, "x", 1) for d, t in rows], SCHEMA)
+    kept = {r.doc_id for r in S.keep_one_per_group(df, shingle=5, similarity=0.8).collect()}
+    assert set(pairs) <= kept
+    lost = [j for d, (_, j) in pairs.items() if d + 1 in kept and j >= 0.8]
+    assert not [j for d, (_, j) in pairs.items() if d + 1 not in kept and j < 0.8]
+    assert len(lost) <= 0.02 * sum(j >= 0.8 for _, j in pairs.values())
+
+
+def test_stage_follows_links_and_not_stars(spark, monkeypatch):
+    """0 - 1 - 2 are a chain; 3 and 4 alike, and both too far from 0, which their fingerprints may join; different texts
+    under one id are rows of their own."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(S, "CHUNK", 2)
+    base = [f"w{x}" for x in rng.permutation(300)]
+    swap = lambda k, to: " ".join(base[: 300 - k] + [f"{to}{i}" for i in range(k)])
+    other = swap(70, "z")
+    texts = [" ".join(base), swap(25, "a"), " ".join([f"b{i}" for i in range(20)] + swap(25, "a").split()[20:]), other, other + " end"]
+    rows = [*enumerate(texts), (9, "one two three four five six"), (9, "seven eight nine ten eleven twelve"), (9, "one two three four five six"), (None, texts[0])]
+    df = spark.createDataFrame([(d, t, None, "x", 1) for d, t in rows], SCHEMA)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    assert near(0, 1) and near(1, 2) and not near(0, 2) and near(3, 4) and not any(near(i, j) for i in range(3) for j in (3, 4))
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one_per_group(df).collect()), key=str)
+    assert got == sorted([(0, texts[0]), (3, other), (9, rows[5][1]), (9, rows[6][1]), (None, texts[0])], key=str)
+    grouped = S.alike([np.unique(np.array([hash(x) & (1 << 63) - 1 for x in s], np.uint64)) for s in sets], np.zeros(5, bool), 0.8)
+    assert grouped.tolist() == [0, 0, 0, 3, 3]
