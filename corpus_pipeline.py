@@ -28,14 +28,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+#: How mix_sources and encode mix: the same rows by the same key have the same places.
+MIX = {"order": ["doc_id", "lang", "n_chars"], "weights": mixing.WEIGHTS}
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
-    return mixing.mixed(docs, order=["doc_id", "lang", "n_chars"], weights=mixing.WEIGHTS)
+    """All documents, in the order of the mix. Files don't keep an order when they are read again: encode states it in columns."""
+    return mixing.mixed(docs, **MIX)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids, checked by decoding, in place of the texts."""
-    return sentpieces.encoded(docs, sentpieces.model_path()).drop("text")
+    """The token ids, checked by decoding, in place of the texts; and each row's place in the mix, whose order is (mix_slot, mix_place)."""
+    placed = mixing.mix(docs, **MIX).select(*docs.columns, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
+    return sentpieces.encoded(placed, sentpieces.model_path()).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

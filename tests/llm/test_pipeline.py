@@ -87,3 +87,15 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_mix_outlives_files(spark, tmp_path):
+    """Read again from many files, the rows still tell the order of the mix: less than a block off each source's share."""
+    docs, _ = corpus()
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = C.run(spark, str(tmp_path))
+    out.repartition(13).write.parquet(f"{tmp_path}/out")
+    rows = sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: (r.mix_slot, r.mix_place))
+    mixed = C.mixing.mix(out.select("doc_id", "source", "lang", "n_chars"), **C.MIX).orderBy("slot", "place").collect()
+    assert [(r.doc_id, r.mix_slot, r.mix_place) for r in rows] == [(r.doc_id, r.slot, r.place) for r in mixed] and len({r.mix_slot for r in rows}) > 3
+    assert len({(r.source, r.mix_place) for r in rows}) == len(rows)
