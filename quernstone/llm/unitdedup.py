@@ -3,15 +3,16 @@
 Texts are cut into lines, and lines into clauses: after a sentence's end, and before a capital letter that
 begins a word after a lower-case one, since a passage pasted into a line begins in the middle of another sentence.
 Each unit is normalised (lower case, letters and digits with single spaces between) and hashed to 128 bits. Digests are
-grouped over all documents. The earliest occurrence by (document id, position) stays, every other one is a repeat.
+grouped over all documents. The earliest occurrence by (document id, hash of the text, position) stays, every other one is a repeat.
 
 Repeats are removed where they are more than chance: a whole line of LINE_WORDS words or more, or a
 run of consecutive repeated clauses (over line ends, too) of RUN_WORDS words or more. What is kept has its spans in
 the original text, `kept`, and what is removed its own, `removed`.
 
 Defined results: a null text counts as empty and stays null; blank lines stay, and go with the removed line
-before them never; rows that share an id rank as one document and don't make repeats of each other, null ids as one that
-ranks first; repeated rows are all returned; an empty table gives no rows; other columns pass through untouched.
+before them never; a row's document is its id and its text: different texts under one id, or under null ids, are documents
+of their own (ranked by id, null first, then by a hash of the text), equal rows are one and don't make repeats of each other;
+repeated rows are all returned; an empty table gives no rows; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,58 +122,66 @@ def removable(text: str, repeats: set[int]) -> list[tuple[int, int]]:
 
 
 def _units_of(docs: DataFrame) -> DataFrame:
-    """key, at, digest of every unit: within a document only the first of equal units and, flagged, its repeats."""
+    """key, own (the text's hash), at, digest of every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, hashes, texts = (c.to_pylist() for c in batch.columns)
             key: list[int] = []
+            own: list[int] = []
             at: list[int] = []
             digest: list[bytes] = []
-            for k, text in zip(ids, texts):
+            for k, h, text in zip(ids, hashes, texts):
                 if text:
                     found = digests(text)
                     key += [k] * len(found)
+                    own += [h] * len(found)
                     at += [x[0] for x in found]
                     digest += [x[1] for x in found]
                 if len(key) > 50_000:
-                    yield made(key, at, digest)
-                    key, at, digest = [], [], []
+                    yield made(key, own, at, digest)
+                    key, own, at, digest = [], [], [], []
             if key:
-                yield made(key, at, digest)
+                yield made(key, own, at, digest)
 
-    def made(key: list[int], at: list[int], digest: list[bytes]) -> pa.RecordBatch:
+    def made(key: list[int], own: list[int], at: list[int], digest: list[bytes]) -> pa.RecordBatch:
         h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["key", "at", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["key", "own", "at", "h1", "h2"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, at int, h1 long, h2 long")
+    return docs.select("key", "own", "text").mapInArrow(run, "key long, own long, at int, h1 long, h2 long")
+
+
+def _document(id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart: the id, and a hash of the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("own")]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id, NO_ID for null) and the positions of its repeated units, a row a document that has some.
+    """key (the id, NO_ID for null), own (the text's hash) and the positions of repeated units, a row a document that has some.
 
     Only digests that more than one row has take part in the join, and only repeats come out of it. The first
     occurrences are written before it: right above the aggregation that finds them, the join would need
     each digest's rows in one task; apart from it, adaptive execution splits those of very frequent units."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*_document(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     found = materialize(_units_of(rows), "units")
-    first = materialize(found.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")), "first-units")
-    later = found.join(first, ["h1", "h2"]).filter("key <> first_key or at <> first_at").select("key", "at")
-    return later.groupBy("key").agg(F.collect_set("at").alias("repeats"))
+    first = materialize(found.groupBy("h1", "h2").agg(F.min(F.struct("key", "own", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.key").alias("first_key"), F.col("first.own").alias("first_own"), F.col("first.at").alias("first_at")), "first-units")
+    later = found.join(first, ["h1", "h2"]).filter("key <> first_key or own <> first_own or at <> first_at").select("key", "own", "at")
+    return later.groupBy("key", "own").agg(F.collect_set("at").alias("repeats"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cut, and with `kept` and `removed`: arrays of (start, end) in the original text."""
-    taken = {"kept", "removed", "_key", "repeats"} & set(docs.columns)
+    taken = {"kept", "removed", "_key", "_own", "repeats"} & set(docs.columns)
     if taken:
         raise ValueError(f"docs has columns {sorted(taken)} already")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", spans), T.StructField("removed", spans)])
     at = docs.columns.index(text_col)
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
-    with_repeats = keyed.join(repeats(docs, id_col, text_col).withColumnRenamed("key", "_key"), "_key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "repeats")
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col), ("_key", "_own"))))
+    found = repeats(docs, id_col, text_col).withColumnsRenamed({"key": "_key", "own": "_own"})
+    with_repeats = keyed.join(found, ["_key", "_own"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

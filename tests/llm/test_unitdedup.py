@@ -101,3 +101,16 @@ def test_ids_that_repeat_or_are_null(spark):
     assert U.deduplicated(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
     with pytest.raises(ValueError, match="already"):
         U.deduplicated(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, kept int"))
+
+
+def test_texts_under_null_and_shared_ids_are_their_own(spark):
+    """A position that is repeated in one of them says nothing about the others' text at that position."""
+    rng = random.Random(8)
+    line = "alpha beta gamma delta epsilon zeta"
+    own = [sentence(rng, 9) for _ in range(12)]
+    rows = [(None, f"{line}\n{own[0]}"), (None, f"{own[1]}\n{line}"), (None, f"{own[2]}\n{own[3]}"), (7, f"{own[4]}\n{line}"), (7, f"{own[5]}\n{own[6]}"), (7, f"{line}\n{own[7]}"), (7, f"{own[5]}\n{own[6]}"), (8, own[8])]
+    got = U.deduplicated(spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)).collect()
+    assert len(got) == len(rows)
+    text = "\n".join(r.text for r in got)
+    assert text.count(line) == 1 and any(line in r.text for r in got if r.doc_id is None)
+    assert [text.count(x) for x in own] == [1, 1, 1, 1, 1, 2, 2, 1, 1, 0, 0, 0]
