@@ -2,11 +2,13 @@
 
 Texts are cut into lines, and lines into clauses: after a sentence's end, and before a capital letter that
 begins a word after a lower-case one, since a passage pasted into a line begins in the middle of another sentence.
+Where a clause is long (no sentence ends or capitals to cut at, or a script without them) its words are cut once more,
+by content: a piece begins at a word whose hash is least among its neighbours', wherever the text around it begins or ends.
 Each unit is normalised (lower case, letters and digits with single spaces between) and hashed to 128 bits. Digests are
 grouped over all documents. The earliest occurrence by (document id, hash of the text, position) stays, every other one is a repeat.
 
 Repeats are removed where they are more than chance: a whole line of LINE_WORDS words or more, or a
-run of consecutive repeated clauses (over line ends, too) of RUN_WORDS words or more. What is kept has its spans in
+run of consecutive repeated clauses and pieces (over line ends, too) of RUN_WORDS words or more. What is kept has its spans in
 the original text, `kept`, and what is removed its own, `removed`.
 
 Defined results: a null text counts as empty and stays null; blank lines stay, and go with the removed line
@@ -17,6 +19,7 @@ repeated rows are all returned; an empty table gives no rows; other columns pass
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +38,22 @@ LINE_WORDS, RUN_WORDS = 5, 25
 NO_ID = -(1 << 63)
 
 CLAUSE = regex.compile(r"(?<=[.!?…]['\")\]]*)[^\S\n]+|(?<=[\p{Ll}\p{N},;:])[^\S\n]+(?=\p{Lu}\p{Ll}*)")
+GAP = regex.compile(r"^[^\p{L}\p{N}\p{M}\s\p{Ps}\p{Pi}]*[^\S\n]*")
 NOT_WORD = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
 
+#: Words of a clause above which it is cut into pieces: a passage of 2 * LONG + RUN_WORDS words or more has as many
+#: inside the clauses it shares with its surroundings, or is in pieces there.
+LONG = 12
+#: Neighbours on each side that a piece's first word is compared with.
+REACH = 2
+#: Position of a text's first piece; those of clauses and lines are below.
+PIECES = 1 << 30
+#: A word; scripts that don't put spaces between words have one a character.
+DENSE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = regex.compile(rf"(?V1)[{DENSE}]\p{{M}}*|[[\p{{L}}\p{{N}}\p{{M}}]--[{DENSE}]]+")
+
 #: A unit's kind in its digest, so that a line of one clause is not compared with a clause.
-LINE, PART = b"l", b"c"
+LINE, PART, PIECE = b"l", b"c", b"p"
 
 
 def units(text: str) -> tuple[list[tuple[int, int, int, int]], list[bytes], list[int]]:
@@ -81,6 +96,63 @@ def digests(text: str) -> list[tuple[int, bytes, int]]:
     return out
 
 
+def pieces(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]], list[bytes]]:
+    """The text's words (start, end, lower-case); and the pieces that touch a long clause, as ranges of words, with their
+    digests. None where no clause is long. Piece k has position PIECES + k."""
+    spans, plain, words = units(text)
+    long = [(a, b) for (a, b, _, _), p, n in zip(spans, plain, words) if n > LONG or (len(p) > n + LONG and not p.isascii() and len(WORD.findall(text, a, b)) > LONG)]
+    if not long:
+        return [], [], []
+    found = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+    n = len(found)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for _, _, w in found), np.uint64, n)
+    first = np.ones(n, bool)
+    for d in range(1, REACH + 1):
+        first[d:] &= h[d:] <= h[:-d]
+        first[:-d] &= h[:-d] <= h[d:]
+    first[:1] = True
+    cuts = [*np.flatnonzero(first).tolist(), n]
+    ranges, out, at = [], [], 0
+    for i, j in zip(cuts, cuts[1:]):
+        while at < len(long) and long[at][1] <= found[i][0]:
+            at += 1
+        if at < len(long) and long[at][0] < found[j - 1][1]:
+            ranges.append((i, j))
+            out.append(xxhash.xxh3_128_digest(PIECE + " ".join(w for _, _, w in found[i:j]).encode("utf-8", "replace")))
+    return found, ranges, out
+
+
+def cut_of(text: str, repeats: set[int]) -> list[tuple[int, int]]:
+    """removable(), and runs of words that repeated pieces, alone or with repeated clauses, cover."""
+    whole = removable(text, {p for p in repeats if p < PIECES})
+    marked = sorted(p - PIECES for p in repeats if p >= PIECES)
+    if not marked:
+        return whole
+    found, ranges, _ = pieces(text)
+    covered = np.zeros(len(found) + 1, bool)
+    for k in marked:
+        covered[slice(*ranges[k])] = True
+    starts = [x[0] for x in found]
+    spans, _, _ = units(text)
+    for at, b in [*((a, b) for k, (a, b, _, _) in enumerate(spans) if 2 * k in repeats), *whole]:
+        covered[bisect_left(starts, at) : bisect_left(starts, b)] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, covered].astype(np.int8)))
+    gone = list(whole)
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if j - i >= RUN_WORDS:
+            stop = starts[j] if j < len(found) else len(text)
+            gap = text[found[j - 1][1] : stop]
+            # the gap after goes with the run, but not a line break or an opening mark of what stays
+            gone.append((starts[i], found[j - 1][1] + len(gap) - len(GAP.sub("", gap, count=1))))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(gone):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def removable(text: str, repeats: set[int]) -> list[tuple[int, int]]:
     """Spans of the text to remove, given its repeated positions."""
     spans, _, words = units(text)
@@ -138,6 +210,11 @@ def _units_of(docs: DataFrame) -> DataFrame:
                     own += [h] * len(found)
                     at += [x[0] for x in found]
                     digest += [x[1] for x in found]
+                    _, ranges, more = pieces(text)
+                    key += [k] * len(more)
+                    own += [h] * len(more)
+                    at += range(PIECES, PIECES + len(ranges))
+                    digest += more
                 if len(key) > 50_000:
                     yield made(key, own, at, digest)
                     key, own, at, digest = [], [], [], []
@@ -157,7 +234,13 @@ def _document(id_col: str, text_col: str) -> list[Column]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (the id, NO_ID for null), own (the text's hash) and the positions of repeated units, a row a document that has some.
+    """key (the id, NO_ID for null), own (the text's hash) and the positions of repeated lines and clauses, a row a document that has some."""
+    units_only = F.filter("repeats", lambda x: x < PIECES)
+    return _repeats(docs, id_col, text_col).withColumn("repeats", units_only).filter("size(repeats) > 0")
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """repeats() with the positions of pieces among them.
 
     Only digests that more than one row has take part in the join, and only repeats come out of it. The first
     occurrences are written before it: right above the aggregation that finds them, the join would need
@@ -180,7 +263,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([*docs.schema.fields, T.StructField("kept", spans), T.StructField("removed", spans)])
     at = docs.columns.index(text_col)
     keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col), ("_key", "_own"))))
-    found = repeats(docs, id_col, text_col).withColumnsRenamed({"key": "_key", "own": "_own"})
+    found = _repeats(docs, id_col, text_col).withColumnsRenamed({"key": "_key", "own": "_own"})
     with_repeats = keyed.join(found, ["_key", "_own"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +272,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts, cut, kept = batch.column(at).to_pylist(), [], []
             marked = batch.column(batch.num_columns - 1).to_pylist()
             for k, (text, own) in enumerate(zip(texts, marked)):
-                gone = removable(text, set(own)) if text and own else []
+                gone = cut_of(text, set(own)) if text and own else []
                 stay, start = [], 0
                 for a, b in [*gone, (len(text or ""), 0)]:
                     if a > start:

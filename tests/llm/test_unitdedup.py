@@ -114,3 +114,32 @@ def test_texts_under_null_and_shared_ids_are_their_own(spark):
     text = "\n".join(r.text for r in got)
     assert text.count(line) == 1 and any(line in r.text for r in got if r.doc_id is None)
     assert [text.count(x) for x in own] == [1, 1, 1, 1, 1, 2, 2, 1, 1, 0, 0, 0]
+
+
+def alphabet(first, last):
+    return [chr(c) for c in range(ord(first), ord(last) + 1) if chr(c).isalpha()]
+
+
+SCRIPTS = {"lower": (alphabet("a", "z"), " ", ""), "mid-sentence": (alphabet("a", "z"), " ", "."), "han": (alphabet("\u4e00", "\u9fa0"), "", "\u3002"), "danda": (alphabet("\u0915", "\u0939"), " ", "\u0964"), "arabic": (alphabet("\u0628", "\u064a"), " ", "\u06d4")}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_passages_without_ends_or_capitals(spark, script):
+    """Passages of 60 words, pasted into the middle of other lines, go but for the words at their ends."""
+    letters, gap, mark = SCRIPTS[script]
+    rng = random.Random(script)
+    word = lambda: "".join(rng.choices(letters, k=1 if script == "han" else rng.randint(3, 8)))
+    def words(n):
+        return gap.join(word() + (mark if k % 17 == 16 else "") for k in range(n))
+    rows, shared = [], [words(60) for _ in range(10)]
+    for k in range(30):
+        rows.append((k, gap.join([words(rng.randint(20, 40)), shared[k % 10], words(rng.randint(20, 40))])))
+    got = {r.doc_id: r for r in U.deduplicated(spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)).collect()}
+    for d, text in rows:
+        at = text.index(shared[d % 10])
+        end = at + len(shared[d % 10])
+        assert got[d].text == "".join(text[s.start : s.end] for s in got[d].kept)
+        assert all(at <= s.start and s.end <= end + 1 for s in got[d].removed)
+        gone = sum(s.end - s.start for s in got[d].removed)
+        assert gone == 0 if d < 10 else gone > 0.4 * (end - at)
+    assert sum(s.end - s.start for r in got.values() for s in r.removed) > 0.7 * 2 * sum(map(len, shared))
