@@ -46,8 +46,8 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-#: A notice may have one edit for so many characters, and so many edits at most.
-CHARS_PER_EDIT, MOST_EDITS = 10, 4
+#: A notice may have one edit for so many characters.
+CHARS_PER_EDIT = 10
 #: Characters that a verified window may have; a longer chain of windows is verified in overlapping stretches of this.
 STRETCH = 4096
 
@@ -77,7 +77,7 @@ class Found(NamedTuple):
 
 
 def edits_of(notice: str) -> int:
-    return min(MOST_EDITS, max(1, len(notice) // CHARS_PER_EDIT))
+    return max(1, len(notice) // CHARS_PER_EDIT)
 
 
 def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:

@@ -88,3 +88,16 @@ def test_rows(spark):
     for r in got:
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert L.scanned(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+
+
+def test_one_edit_for_ten_characters():
+    """Edits spread over a long notice, up to one for 10 characters, and the finds of a whole-text search."""
+    scanner = L.Scanner()
+    for n in scanner.notices:
+        step = len(n.text) // n.edits
+        for k in range(1, n.edits + 1):
+            chars = list(n.text)
+            for e in range(k):
+                chars[e * step + step // 2] = "#"
+            text = f"bdfg kmnv {''.join(chars)} vnmk gfdb"
+            assert any(f.notice == n.text and f.errors == k for f in scanner.fuzzy(text)) and n.pattern.search(text)
