@@ -124,7 +124,7 @@ class Scanner:
                 a, b = max(0, at - offset - notice.edits), min(len(text), at - offset + len(notice.text) + notice.edits)
                 own = spans.setdefault(k, [])
                 if own and a <= own[-1][1]:
-                    own[-1] = (own[-1][0], max(b, own[-1][1]))
+                    own[-1] = (min(a, own[-1][0]), max(b, own[-1][1]))
                 else:
                     own.append((a, b))
         out = []
@@ -139,20 +139,26 @@ class Scanner:
             out += [(k, a, b) for a, b in joined]
         return out
 
+    def matches(self, n: Notice, text: str, start: int, stop: int) -> Iterator[Found]:
+        """The best match of a stretch, and those of what is left on both sides of it: the pattern itself finds none before its best."""
+        todo = [(start, stop)]
+        while todo:
+            a, b = todo.pop()
+            if b - a >= len(n.text) - n.edits and (m := n.pattern.search(text, a, b)):
+                errors = sum(m.fuzzy_counts)
+                yield Found(n.label, n.text, m.start(), m.end(), errors, 1 - errors / len(n.text))
+                todo += [(a, m.start()), (m.end(), b)]
+
     def fuzzy(self, text: str) -> list[Found]:
         """Notices within their edits, by place. Of finds that overlap, the one of fewest errors for its length stays,
         the longer of equals: another version of a license is one edit away."""
-        out = []
+        out = set()
         for k, a, b in self.windows(text):
             n = self.notices[k]
             room = len(n.text) + 2 * n.edits
-            seen = a
             for start in range(a, b, max(1, STRETCH - room)):
                 stop = min(b, start + STRETCH)
-                for m in n.pattern.finditer(text, max(start, seen), stop):
-                    errors = sum(m.fuzzy_counts)
-                    out.append(Found(n.label, n.text, m.start(), m.end(), errors, 1 - errors / len(n.text)))
-                    seen = max(seen, m.end())
+                out.update(self.matches(n, text, start, stop))
                 if stop == b:
                     break
         kept: list[Found] = []  # by place, apart from each other

@@ -101,3 +101,32 @@ def test_one_edit_for_ten_characters():
                 chars[e * step + step // 2] = "#"
             text = f"bdfg kmnv {''.join(chars)} vnmk gfdb"
             assert any(f.notice == n.text and f.errors == k for f in scanner.fuzzy(text)) and n.pattern.search(text)
+
+
+def test_close_notices_are_all_found():
+    """The worse one stands first, last or between; against brute force over the whole text, by the same rule for overlaps."""
+    scanner = L.Scanner()
+    two = "relesed under the mt license and released under the mit license"
+    assert [(f.start, f.errors) for f in scanner.fuzzy(two) if f.label == "mit"] == [(0, 2), (33, 0)]
+    rng = random.Random(9)
+    for _ in range(12):
+        n = rng.choice(scanner.notices)
+        edits = [rng.randint(0, n.edits // 2) for _ in range(rng.randint(2, 5))]
+        text = " and so ".join(edit(rng, n.text, k) for k in edits)
+        got = [f for f in scanner.fuzzy(text) if f.notice == n.text]
+        want, todo = [], [(0, len(text))]
+        while todo:
+            a, b = todo.pop()
+            if m := n.pattern.search(text, a, b):
+                want.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(a, m.start()), (m.end(), b)]
+        others = [f for f in scanner.fuzzy(text) if f.notice != n.text]
+        free = [w for w in want if not any(f.start < w[1] and w[0] < f.end for f in others)]
+        assert len(free) + len(others) >= len(edits) and {(f.start, f.end, f.errors) for f in got} >= set(free)
+
+
+def test_a_later_seed_widens_a_window_to_the_left():
+    scanner = L.Scanner({"abcdefghijklmnopqrst": "x"}, {})
+    (_, a, _), *_ = scanner.windows("zzzzzzzz" + "abcdef" + "hijklmnopqrst")
+    starts = [last - length + 1 - offset - 2 for last, (length, of) in scanner.seeds.iter("zzzzzzzz" + "abcdef" + "hijklmnopqrst") for _, offset in of]
+    assert a == max(0, min(starts))
