@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, fresh_path, materialize, posix, ship
+from quernstone.llm.shared import documents, fresh_path, materialize, named, posix, ship, sliced
 
 WIDTH = 64
 #: Bytes after which a task begins another shard.
@@ -38,6 +38,8 @@ SHARD_BYTES = 256 << 20
 #: What identifies a PNG file, and the bytes up to the end of its header chunk (fixed values).
 SIGNATURE = bytes([137, 80, 78, 71, 13, 10, 26, 10])
 HEADER_BYTES = 33
+#: Stored bytes that a reader holds at a time (a larger image alone), and images.
+READ_BYTES, READ_ROWS = 16 << 20, 500
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -126,7 +128,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         shard: Shard | None = None
         n = 0
         have: dict[bytes, tuple[str, int, int]] = {}  # by digest, of this shard
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for text in batch.column(1).to_pylist():
                 n_bytes, payload = payload_of(text)
@@ -147,7 +149,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         if shard:
             shard.close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     written = materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "media-index")
     return written
 
@@ -164,8 +166,8 @@ def headers(places: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for digest, data in _ranges(batches, lambda length: min(length, HEADER_BYTES)):
-            width, height, depth = zip(*map(read_header, data))
-            yield pa.RecordBatch.from_arrays([digest, pa.array(width), pa.array(height), pa.array(depth)], names=["digest", "width", "height", "depth"])
+            width, height, depth = (pa.array(c, pa.int32()) for c in zip(*map(read_header, data)))
+            yield pa.RecordBatch.from_arrays([digest, width, height, depth], names=["digest", "width", "height", "depth"])
 
     return _by_shard(places).mapInArrow(run, "digest binary, width int, height int, depth int")
 
@@ -177,19 +179,24 @@ def _by_shard(places: DataFrame) -> DataFrame:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], size) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The first size(length) bytes of each image, some images at a time."""
     file, name = None, None
     for batch in batches:
-        col = {k: batch.column(k).to_pylist() for k in ("shard", "offset", "length")}
-        for at in range(0, batch.num_rows, 500):
-            data = []
-            for shard, offset, length in zip(col["shard"][at : at + 500], col["offset"][at : at + 500], col["length"][at : at + 500]):
-                if shard != name:
-                    if file:
-                        file.close()
-                    file, name = open(shard, "rb"), shard  # noqa: SIM115
-                file.seek(offset)
-                data.append(file.read(size(length)))
-            yield batch.column("digest").slice(at, 500), data
+        start, held, data = 0, 0, []
+        for k, (shard, offset, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")))):
+            n = size(length)
+            if data and (held + n > READ_BYTES or len(data) == READ_ROWS):
+                yield batch.column("digest").slice(start, k - start), data
+                start, held, data = k, 0, []
+            if shard != name:
+                if file:
+                    file.close()
+                file, name = open(shard, "rb", buffering=0), shard  # noqa: SIM115
+            file.seek(offset)
+            data.append(file.read(n))
+            held += n
+        if data:
+            yield batch.column("digest").slice(start), data
     if file:
         file.close()
 
@@ -197,14 +204,14 @@ def _ranges(batches: Iterator[pa.RecordBatch], size) -> Iterator[tuple[pa.Array,
 def features(places: DataFrame) -> DataFrame:
     """A row a digest, from the stored bytes read back."""
     ship(places.sparkSession)
-    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, depth int, feature string"
+    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def one(data: bytes) -> tuple:
         payload = from_image(data)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), *read_header(data[:HEADER_BYTES]), feature_of(payload)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [x.split()[0] for x in schema.split(", ")]
         for digest, data in _ranges(batches, lambda length: length):
             cols = zip(*map(one, data))
@@ -221,6 +228,8 @@ def members(path: str) -> dict[str, bytes]:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(documents(spark, sf_dir), fresh_path(spark, "media"))
-    found = features(addressed(rows))
+    places = materialize(addressed(rows), "media-places")
+    # the metadata columns come from the headers alone, what needs the payload from the whole images
+    found = features(places).join(headers(places), "digest")
     out = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")

@@ -12,19 +12,23 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows whose texts a task holds as Python strings at a time.
-ROWS = 500
+#: Rows whose texts a task holds as Python strings at a time, and their bytes (a longer text is alone).
+ROWS, ROW_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; one of our own only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/quernstone-{spark.sparkContext.applicationId}"
+    """The cluster's shared folder, from spark.checkpoint.dir; one of our own only where that is unset, on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/quernstone-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -53,7 +57,45 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     """The batches' rows, a few at a time: what is made of their texts in Python is bounded by that and not by Arrow's batches."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            part = batch.slice(at, rows)
+            if part.nbytes <= ROW_BYTES:
+                yield part
+                continue
+            sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64") for c in part.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type))
+            start, held = 0, 0
+            for k, n in enumerate(sizes.tolist() if hasattr(sizes, "tolist") else [0] * part.num_rows):
+                if held and held + n > ROW_BYTES:
+                    yield part.slice(start, k - start)
+                    start, held = k, 0
+                held += n
+            yield part.slice(start)
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def kept(df: DataFrame, without: list[str] | None = None) -> list[Column]:
+    """All columns of df as they are, but for those `without` names (in any case)."""
+    gone = {c.lower() for c in without or []}
+    return [named(c) for c in df.columns if c.lower() not in gone]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that df has none of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """Into how many parts df's rows are dealt: the session's number of shuffle partitions, more where they'd have more than
+    part_bytes each by Spark's own estimate of df's size."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size > 1 << 60 else max(least, -(-size // part_bytes))  # a plan of unknown size states the greatest number
 
 
 def posix(path: str) -> str:

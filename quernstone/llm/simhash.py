@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import materialize, release, ship, sliced
+from quernstone.llm.shared import free, kept, materialize, named, release, ship, sliced
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Bytes of text split into words at a time.
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int, lanes:
                 w = np.stack([fingerprint(x, size, lanes) for x in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes))], names=["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 # Buckets --------------------------------------------------------------------------------------
@@ -360,7 +360,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for nodes of edges (u, v): root is the smallest node reachable, left out where it is the node itself.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges are stars. Each step
-    is a map-side combined minimum and a join that adaptive execution can split, so a hub is not one task's work."""
+    is a map-side combined minimum and a join. The minimum is written before the join: right above the aggregation the
+    join would need each node's edges in one task; apart from it, adaptive execution splits those of a hub."""
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
@@ -369,13 +370,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.filter("u <> v").distinct(), "links-large")
+        release(low)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "links-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         after = materialize(small, "links")
-        release(now)
+        for done in (now, large, low):
+            release(done)
         now, before = after, was
         was = state(now)
         if was == before:
@@ -452,12 +455,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int) ->
                 cols = [pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), *cols, pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "h1", "h2", "node", *names, "shingles"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_hashes(text_col), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), *_text_hashes(text_col), named(text_col).cast("string").alias("text")).filter("doc_id is not null")
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles binary")
 
 
 def _text_hashes(text_col: str) -> list[Column]:
-    text = F.col(text_col).cast("string")
+    text = named(text_col).cast("string")
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
@@ -547,14 +550,14 @@ def keep_one_per_group(docs: DataFrame, **how) -> DataFrame:
     row = F.struct("doc_id", "h1", "h2")
     best = groups.groupBy("grp").agg(F.min(row).alias("best"))
     stays = materialize(best.select("best.*"), "near-kept")
-    mark = ["_id", "_h1", "_h2"]
-    marks = [F.col("doc_id").cast("long").alias("_id"), *(c.alias(f"_{n}") for c, n in zip(_text_hashes("text"), ("h1", "h2")))]
-    marked = docs.select("*", *marks)
+    mark = [free(docs, n) for n in ("_id", "_h1", "_h2")]
+    marks = [F.col("doc_id").cast("long"), *_text_hashes("text")]
+    marked = docs.select("*", *(c.alias(n) for c, n in zip(marks, mark)))
     stays = stays.toDF(*mark)
-    kept = marked.join(stays, mark, "left_semi")
+    found = marked.join(stays, mark, "left_semi")
     twice = groups.groupBy("doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "h1", "h2").toDF(*mark).join(stays, mark, "left_semi")
     blank = docs.filter(F.col("doc_id").cast("long").isNull())
     if twice.isEmpty():
-        return kept.select(*docs.columns).unionByName(blank)
-    once = kept.join(twice, mark, "left_semi").dropDuplicates(mark)
-    return kept.join(twice, mark, "left_anti").unionByName(once).select(*docs.columns).unionByName(blank)
+        return found.select(*kept(docs)).unionByName(blank)
+    once = found.join(twice, mark, "left_semi").dropDuplicates(mark)
+    return found.join(twice, mark, "left_anti").unionByName(once).select(*kept(docs)).unionByName(blank)

@@ -8,18 +8,20 @@ encoded; its offsets need the tokens of the parts before, which come from a pref
 a part. Readers map the files into memory.
 
 Defined results: a null text counts as empty; an empty text has only the end id; a null document id
-sorts first and is read back as null; rows of the same id are ordered by their text and both written;
-an empty table gives a data set without parts; other columns are not read.
+sorts first and is read back as null; rows of the same id are ordered by a hash of their text and all written, and a
+part may begin among them, so that an id that many rows share is many parts' work; an empty table gives a data set without parts; other columns are not read.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from functools import cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, fresh_path, materialize, posix, ship
+from quernstone.llm.shared import documents, fresh_path, materialize, named, parts_for, posix, ship
 
 #: Stands for a null document id in the files.
 NO_ID = -(1 << 63)
@@ -43,6 +45,15 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1fΣ]")
 
 
+@cache
+def unassigned() -> re.Pattern[str]:
+    """Finds characters that Python's Unicode tables don't have: the tokenizer's and `regex` may have them already,
+    and not class and lower-case them alike. Words with such a character are left to the whole tokenizer."""
+    runs = groupby(range(0x80, sys.maxunicode + 1), key=lambda c: unicodedata.category(chr(c)) == "Cn")
+    edges = [(own[0], own[-1]) for odd, run in runs if odd for own in [list(run)]]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in edges) + "]")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves,
     the others follow from 256 on."""
@@ -97,7 +108,11 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for s in split:
             if s:
                 new.update(s)
-        parts = {c: WORD.findall(c) for c in new.difference(chunks)}
+        unseen = new.difference(chunks)
+        odd = sorted(c for c in unseen if not c.isascii() and unassigned().search(c))
+        for c, e in zip(odd, full.encode_batch_fast(odd, add_special_tokens=False) if odd else []):
+            chunks[c] = np.array(e.ids, np.uint16).tobytes()
+        parts = {c: WORD.findall(c) for c in unseen.difference(odd)}
         fresh = {w for p in parts.values() for w in p}.difference(words)
         if fresh:
             learn(sorted(fresh))
@@ -113,7 +128,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     """Writes the data set to `folder`, a mounted folder that all executors see, and returns a row a part:
     part, file, documents, tokens, base.
 
-    One shuffle deals the texts out by ranges of the id. A task writes under a name of its own attempt
+    One shuffle deals the texts out by ranges of the id, and of a hash of the text within an id; the number of parts follows
+    the size of docs. A task writes under a name of its own attempt
     and renames, so that a repeated or a second attempt leaves whole files; the table says which count."""
     spark = docs.sparkSession
     ship(spark)
@@ -152,9 +168,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
             os.replace(f"{place}/{name}.{suffix}.tmp", f"{place}/{name}.{suffix}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{place}/{name}"], "documents": [sum(map(len, ids))], "tokens": [tokens]})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    rows = rows.repartitionByRange(parts_for(rows), "doc_id", "own").sortWithinPartitions("doc_id", "own", "text").select("doc_id", "text")
     written = materialize(rows.mapInArrow(run, "part int, file string, documents long, tokens long"), "token-parts")
     listed = sorted((tuple(r) for r in written.collect()), key=lambda r: r[0])  # a row a part
     bases = [0, *accumulate(r[3] for r in listed)]
