@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids, checked by decoding, in place of the texts; and each row's place in the mix, whose order is (mix_slot, mix_place)."""
-    placed = mixing.mix(docs, **MIX).select(*docs.columns, F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
+    placed = mixing.placed(docs, names={"slot": "mix_slot", "place": "mix_place"}, **MIX)
     return sentpieces.encoded(placed, sentpieces.model_path()).drop("text")
 
 

@@ -15,17 +15,22 @@ The loss mask is an array of (start, length) spans of the formatted text, in cod
 assistant's turns, each of a merged turn for itself.
 
 Defined results: a null text or role counts as empty; turns are in order of their number, ties in order of role and text, and
-repeated rows are turns of their own; a null turn number comes first; rows with a null conversation id are one
-conversation; an empty table gives no rows; other columns are not read.
+repeated rows are turns of their own; a null turn number comes first; a row with a null conversation id is a
+conversation of its own (however many there are, they are spread like any other); an empty table gives no rows; other columns are not read.
 
-A conversation is one row of the output and so one task's work; the number of conversations, not their length, spreads it.
+A conversation is one row of the output and so one task's work; the number of conversations, not their length, spreads it. The work on
+one grows in proportion to its turns, but for the running sums of lengths, which are taken in runs of the square root of their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm.shared import named
+
 #: The role whose texts are learned from.
 LEARNED = "assistant"
 CONTROL = ("<turn:", "</turn>", "<also>")
@@ -43,38 +48,59 @@ def unescaped(text: Column) -> Column:
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often and deep inside lambdas the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def merged(turns: Column) -> Column:
     """array<struct<role, text>> -> array<struct<role, texts>>: adjacent turns of a role become one."""
-    start = F.expr("cast(array() as array<struct<role: string, texts: array<string>>>)")
-    alone = lambda x: F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))
+    order = F.filter(F.sequence(F.lit(0), F.greatest(F.size(turns) - 1, F.lit(0))), lambda i: i < F.size(turns))
+    firsts = F.filter(order, lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+    def blocks(starts: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(turns))
+        texts = lambda i, k: F.transform(F.slice(turns, i + 1, stop(k) - i), lambda x: x["text"])
+        return F.transform(starts, lambda i, k: F.struct(F.get(turns, i)["role"].alias("role"), texts(i, k).alias("texts")))
+
+    return let(firsts, blocks)
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        joined = F.struct(last["role"].alias("role"), F.array_append(last["texts"], x["text"]).alias("texts"))
-        same = F.coalesce(last["role"] == x["role"], F.lit(False))
-        return F.when(same, F.array_append(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.array_append(done, alone(x)))
 
-    return F.aggregate(turns, start, add)
+def running(lengths: Column) -> Column:
+    """array<int> -> the sum of all before each. Appending copies an array, so the sums are taken in runs."""
+    run = F.greatest(F.ceil(F.sqrt(F.size(lengths))).cast("int"), F.lit(1))
+    runs = F.transform(F.filter(F.sequence(F.lit(0), F.size(lengths), run), lambda a: a < F.size(lengths)), lambda a: F.slice(lengths, a + 1, run))
+    none = F.expr("cast(array() as array<int>)")
+
+    def sums(values: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), none.alias("before"))
+        return F.aggregate(values, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["before"], s["at"]).alias("before")), lambda s: s["before"])
+
+    def joined(cut: Column) -> Column:
+        totals = F.transform(cut, lambda r: F.aggregate(r, F.lit(0), lambda s, n: s + n))
+        return let(sums(totals, F.lit(0)), lambda starts: F.flatten(F.transform(cut, lambda r, k: sums(r, F.get(starts, k)))))
+
+    return let(runs, joined)
 
 
 def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row a conversation: conv_id, formatted, loss (array of start, length from 0)."""
-    kept = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"))
-    one = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    string = lambda c: F.coalesce(named(c).cast("string"), F.lit(""))
+    rows = turns.select(named(conv).alias("conv_id"), F.when(named(conv).isNull(), F.monotonically_increasing_id()).alias("alone"), F.struct(named(turn).alias("turn"), string(role).alias("role"), string(text).alias("text")).alias("t"))
+    one = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     plain = F.transform("turns", lambda x: F.struct(F.replace(escaped(x["role"]), F.lit(">"), F.lit("\\g")).alias("role"), escaped(x["text"]).alias("text")))
-    blocks = one.select("conv_id", merged(plain).alias("blocks"))
     # pieces in order: what is written, and whether it is learned from
     texts = lambda b: F.flatten(F.transform(b["texts"], lambda t, i: F.array(F.struct(F.when(i > 0, F.lit("<also>")).otherwise("").alias("s"), F.lit(False).alias("learned")), F.struct(t.alias("s"), (b["role"] == LEARNED).alias("learned")))))
     mark = lambda s: F.array(F.struct(s.alias("s"), F.lit(False).alias("learned")))
-    pieces = F.flatten(F.transform("blocks", lambda b: F.concat(mark(F.concat(F.lit("<turn:"), b["role"], F.lit(">"))), texts(b), mark(F.lit("</turn>\n")))))
-    laid = blocks.select("conv_id", pieces.alias("pieces"))
-    spans = F.aggregate(
-        F.transform("pieces", lambda p: F.struct(F.length(p["s"]).alias("n"), p["learned"].alias("learned"))),
-        F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, length: int>>))"),
-        lambda state, p: F.struct((state["at"] + p["n"]).alias("at"), F.when(p["learned"], F.array_append(state["spans"], F.struct(state["at"].alias("start"), p["n"].alias("length")))).otherwise(state["spans"]).alias("spans")),
-        lambda state: state["spans"],
-    )
-    return laid.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss"))
+    pieces = F.flatten(F.transform(let(plain, merged), lambda b: F.concat(mark(F.concat(F.lit("<turn:"), b["role"], F.lit(">"))), texts(b), mark(F.lit("</turn>\n")))))
+
+    def laid(p: Column) -> Column:
+        learned = F.filter(F.sequence(F.lit(0), F.size(p)), lambda i: F.coalesce(F.get(p, i)["learned"], F.lit(False)))
+        span = lambda before: F.transform(learned, lambda i: F.struct(F.get(before, i).alias("start"), F.length(F.get(p, i)["s"]).alias("length")))
+        spans = let(running(F.transform(p, lambda x: F.length(x["s"]))), span)
+        return F.struct(F.array_join(F.transform(p, lambda x: x["s"]), "").alias("formatted"), spans.alias("loss"))
+
+    return one.select("conv_id", let(pieces, laid).alias("laid")).select("conv_id", "laid.formatted", "laid.loss")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -109,18 +135,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH rows AS (
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
 escaped AS (
   SELECT *, length(replace(replace(replace(replace(text, '\', '\b'), '<turn:', '\lturn:'), '</turn>', '\l/turn>'), '<also>', '\lalso>')) AS text_chars,
     length(replace(replace(replace(replace(replace(role, '\', '\b'), '<turn:', '\lturn:'), '</turn>', '\l/turn>'), '<also>', '\lalso>'), '>', '\g')) AS role_chars,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+    lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before
   FROM rows)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(text_chars + CASE WHEN before IS NOT DISTINCT FROM role AND before IS NOT NULL THEN 6 ELSE role_chars + 15 END) AS BIGINT) AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, alone
 """

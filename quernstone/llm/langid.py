@@ -1,45 +1,51 @@
 """Language ID by compression: each language has a zstandard raw-content dictionary of its own text;
 a text belongs to the language whose dictionary makes it smallest, unless the margin is narrow.
 
-Texts are lower-cased, everything but letters becomes one space, a word repeated on the spot counts once, and the
-result is compressed in pieces of PIECE characters, so that a long text is measured against the dictionaries throughout and
-not against its own beginning. The sizes of all pieces count.
+Texts are lower-cased, everything but letters and their marks becomes one space, a word repeated on the spot counts once,
+and the result is compressed in pieces of PIECE characters, so that a long text is measured against the dictionaries
+throughout and not against its own beginning. The sizes of all pieces count, whatever the text's length.
 
-The dictionaries come from a bounded sample of the labelled rows: at most SAMPLE_ROWS rows a language,
-those with the smallest hash of their id, and of these about DICTIONARY_BYTES.
+The dictionaries come from a bounded sample of the labelled rows: SAMPLE_ROWS rows a language at most,
+those with the smallest hash of their id. Each of them has an equal share of the DICTIONARY_BYTES; a text that is longer than
+that gives stretches from its beginning to its end, evenly spaced.
 
-Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; ties go to
-the language that comes first by name; a null id counts as no held-out row and is not learned from;
+Defined results: a null text, or one without a letter (Unicode's category L), is `und` with score 0 and rejected; where two languages
+tie, pieces are measured again with their words rotated, and what ties even so goes to the language that comes first by name; a null id counts as no held-out row and is not learned from;
 repeated rows are all returned; without any labelled row every text is `und`; extra columns are kept
-by `keep_identified` and not read otherwise.
+by `keep_identified`, whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, ship, sliced
+from quernstone.llm.shared import documents, map_rows, named, ship, sliced
 
 #: Rows a language that the dictionaries are taken from, at most.
 SAMPLE_ROWS = 400
-#: Bytes of a dictionary, about; and characters of a sampled text that go into it, at most.
-DICTIONARY_BYTES, TEXT_CHARS = 100_000, 2_000
+#: Bytes of a dictionary, about.
+DICTIONARY_BYTES = 100_000
+#: Stretches that a sampled text is read in, and their characters: evenly spaced over the whole text.
+STRETCHES, STRETCH_CHARS = 8, 250
 #: Characters compressed at a time.
 PIECE = 400
 #: zstandard's level: below 7 or so, its matches in the dictionary are too few to tell languages apart.
 LEVEL = 9
+#: Rotations of a piece's words that settle a tie.
+TURNS = 8
 #: A text is rejected if the best size is not this share smaller than the second best.
 MARGIN = 0.01
 
 HASHES = 1 << 40
-NO_LETTERS = re.compile(r"[\W\d_]+")
+NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def normalised(text: str) -> str:
@@ -48,27 +54,42 @@ def normalised(text: str) -> str:
 
 
 def learn(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, bytes]:
-    """A dictionary for each language. The ids are picked from two narrow columns; then the picked rows' texts are read."""
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    """A dictionary for each language. The ids are picked from two narrow columns; then the picked rows' stretches are read:
+    SAMPLE_ROWS * STRETCHES * STRETCH_CHARS characters a language at most come to the driver."""
+    labelled = docs.filter(named(lang_col).isNotNull() & named(id_col).isNotNull() & named(text_col).isNotNull())
+    rows = labelled.select(named(id_col).alias("id"), named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
     # a share of the hash range that holds about twice the rows wanted, so that a large language isn't ranked in one task
-    ids = labelled.select(id_col, lang_col)
-    many = ids.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_many"))
-    near = ids.join(F.broadcast(many), lang_col).filter(F.pmod(F.xxhash64(id_col), F.lit(HASHES)) < F.lit(HASHES) * (2.0 * SAMPLE_ROWS + 100) / F.col("_many"))
-    order = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(HASHES)), id_col))
-    picked = near.select(id_col, lang_col).distinct().withColumn("_n", order).filter(F.col("_n") <= SAMPLE_ROWS).select(id_col, lang_col)
-    rows = labelled.select(id_col, lang_col, F.substring(text_col, 1, TEXT_CHARS).alias("_text")).join(F.broadcast(picked), [id_col, lang_col], "left_semi")
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for key, lang, text in rows.select(F.pmod(F.xxhash64(id_col), F.lit(HASHES)), F.col(lang_col).cast("string"), "_text").collect():
-        texts.setdefault(lang, []).append((key, text))
-    out = {}
-    for lang in sorted(texts):
-        data = b""
-        for _, text in sorted(texts[lang]):
-            if len(data) >= DICTIONARY_BYTES:
-                break
-            data += normalised(text).encode() + b" "
-        out[lang] = data[:DICTIONARY_BYTES] or b" " * 8
-    return out
+    ids = rows.select("id", "lang")
+    place = F.pmod(F.xxhash64("id"), F.lit(HASHES))
+    many = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
+    near = ids.join(F.broadcast(many), "lang").filter(place < F.lit(HASHES) * (2.0 * SAMPLE_ROWS + 100) / F.col("many"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    picked = near.select("id", "lang").distinct().withColumn("n", order).filter(F.col("n") <= SAMPLE_ROWS).select("id", "lang")
+    spare = F.greatest(F.length("text") - STRETCH_CHARS, F.lit(0))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(F.col("text"), F.floor(k * spare / (STRETCHES - 1)).cast("int") + 1, F.lit(STRETCH_CHARS)))
+    parts = F.when(F.length("text") <= STRETCHES * STRETCH_CHARS, F.array("text")).otherwise(spaced)
+    texts: dict[str, list[tuple[int, list[str]]]] = {}
+    for key, lang, some in rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").select(place, "lang", parts).collect():
+        texts.setdefault(lang, []).append((key, some))
+    return {lang: dictionary([x for _, x in sorted(texts[lang])]) for lang in sorted(texts)}
+
+
+def dictionary(texts: list[list[str]], size: int = DICTIONARY_BYTES) -> bytes:
+    """Equal shares of all texts, each given as stretches of it: what short ones leave goes to the longer ones."""
+    plain = [[p for x in some if (p := normalised(x).encode())] for some in texts]
+    lengths = sorted(sum(map(len, some)) + len(some) for some in plain)
+    room, share = size, size
+    for k, n in enumerate(lengths):
+        share = room // (len(lengths) - k)
+        if n > share:
+            break
+        room -= n
+    out = []
+    for some in plain:
+        each = max(1, share // max(1, len(some)))
+        fits = sum(map(len, some)) + len(some) <= share
+        out += some if fits else [x[:each] for x in some]
+    return b" ".join(out)[:size] or b" " * 8
 
 
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[str, float, bool]]:
@@ -80,28 +101,33 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[str | None], tuple[s
         d.precompute_compress(level=LEVEL)
         packers.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def sizes(text: str) -> list[int]:
-        total = [0] * len(langs)
+    def pieces(text: str) -> list[str]:
         step = -(-len(text) // -(-len(text) // PIECE))  # pieces of about the same length
-        for at in range(0, len(text), step):
-            piece = text[at : at + step].encode("utf-8", "replace")
+        return [text[at : at + step] for at in range(0, len(text), step)]
+
+    def sizes(parts: list[str]) -> list[int]:
+        total = [0] * len(langs)
+        for part in parts:
+            data = part.encode("utf-8", "replace")
             for k, p in enumerate(packers):
-                total[k] += len(p.compress(piece))
+                total[k] += len(p.compress(data))
         return total
 
+    def turned(part: str) -> list[str]:
+        """A piece with its words in every rotation, up to TURNS of them: bytes are coarse, their sum is less so."""
+        words = part.split()
+        return [" ".join(words[k:] + words[:k]) for k in range(min(TURNS, len(words)))] + [f" {part} "]
+
     def classify(text: str | None) -> tuple[str, float, bool]:
-        plain = normalised(text) if text else ""
+        plain = normalised(text) if text and LETTER.search(text) else ""
         if not plain or not langs:
             return "und", 0.0, True
         if len(langs) == 1:
             return langs[0], 1.0, False
-        # one byte is coarse for a short text: it is measured with every rotation of its words up to 8
-        total = sizes(plain)
-        if len(plain) < 200:
-            words = plain.split()
-            for k in range(1, min(8, len(words))):
-                total = [a + b for a, b in zip(total, sizes(" ".join(words[k:] + words[:k])))]
-            total = [a + b for a, b in zip(total, sizes(f" {plain} "))]
+        cut = pieces(plain)
+        total = sizes(cut)
+        if sorted(total)[0] == sorted(total)[1]:
+            total = sizes([x for part in cut for x in turned(part)])
         (best, k), (second, _) = sorted((s, i) for i, s in enumerate(total))[:2]
         margin = 1 - best / second
         return langs[k], min(1.0, margin * 4), margin < MARGIN
@@ -120,11 +146,11 @@ def predictions(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "
                 lang, score, rejected = zip(*map(classify, batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +163,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
     """The rows of docs whose language is told clearly, all columns as they are."""
     ship(docs.sparkSession)
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         classify = classifier(dictionaries)
         for batch in sliced(batches):
             keep = pa.array([not classify(x)[2] for x in batch.column(at).to_pylist()], pa.bool_())
-            yield batch.filter(keep)
+            yield batch.filter(keep).columns
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

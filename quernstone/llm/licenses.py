@@ -23,9 +23,8 @@ from typing import NamedTuple
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, ship, sliced
+from quernstone.llm.shared import documents, named, ship, sliced
 
 #: Phrases of the base count and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -35,15 +34,27 @@ NOTICES = {
     "released under the mit license": "mit",
     "licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "licensed under the isc license": "isc",
     "licensed under the apache license version 2 0": "apache-2",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution 4 0 international": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero v1 0 universal": "cc0",
     "licensed under the gnu general public license version 3": "gpl-3",
     "licensed under the gnu general public license version 2": "gpl-2",
+    "gnu affero general public license": "agpl",
     "gnu lesser general public license": "lgpl",
     "licensed under the mozilla public license version 2 0": "mpl-2",
+    "licensed under the eclipse public license": "epl",
+    "the boost software license version 1 0": "bsl-1",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse": "bsd-3",
+    "all advertising materials mentioning features or use of this software must display": "bsd-4",
+    "the origin of this software must not be misrepresented": "zlib",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 #: A notice may have one edit for so many characters.
@@ -206,7 +217,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols = zip(*map(one, batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

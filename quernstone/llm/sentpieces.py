@@ -1,34 +1,38 @@
-"""SentencePiece encoding and decoding over shared prefixes.
+"""SentencePiece encoding and decoding by Viterbi over shared prefixes.
 
 Texts are cut into marked words: a word with the mark of the space before it. No piece of such a
 model goes over the beginning of a marked word, so a text's ids are its words' ids one after another.
 The distinct new words of a batch are sorted, which walks their trie depth-first: each word keeps the
-forward states of the prefix that it shares with the word before and computes the rest.
+forward scores of the prefix that it shares with the word before and computes the rest.
 
-The forward state depends on the model's kind. A unigram model has the best score of each prefix
-(Viterbi). A BPE model ranks merges, and adding its scores up gives other ids than its merges do; but the
-encoding of a prefix is settled by its last piece: there is exactly one piece ending there whose
-pair with the last piece of the shorter prefix is left alone by the merges. That piece is the state, and the result
-is what the model's own merges give.
+A forward step takes the best of (score of the shorter prefix) + (gain of the piece that follows it); the best way back from the end
+gives the ids. The gain depends on the model's kind, which is read from its file. In a unigram model it is the
+piece's score. A BPE model ranks merges, and adding its ranks up gives other ids than its merges do; there the gain is that
+of a pair of neighbours: 0 if merging leaves the piece as it is right after the one before it, minus infinity if
+not, so that of all ways exactly one, that of the model's own merges, has a finite score.
+A character without a piece costs the unknown's score in both.
 
 Defined results: a null text counts as empty and has no ids; a text's own mark characters count as
 spaces, so that it decodes with spaces there (`same` is false for it); characters without a piece become their UTF-8 bytes'
 ids; runs of spaces are merged as the library merges them; repeated rows are all returned; null ids are
-returned as null; an empty table gives no rows; other columns are kept by `encoded` and not read.
+returned as null; an empty table gives no rows; other columns are kept by `encoded`, but for one that has the
+name of a column it adds (n_pieces, ids, same), whose place that takes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import documents, ship, sliced
+from quernstone.llm.shared import documents, map_rows, named, ship, sliced
 
 MARK = "▁"
 #: Entries of an encoder's word and pair caches; beyond, they start anew.
@@ -38,23 +42,57 @@ TOGETHER, TOGETHER_CHARS = 500, 1_000_000
 
 ONE_SPACE = re.compile(" [^ \n]*|[^ \n]+|\n")
 RUNS = re.compile(" +[^ \n]*|[^ \n]+|\n")
+#: What stands before a word's first piece, and after a character without a piece.
 START, UNKNOWN = -1, -2
 
 
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (data[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if data[at - 1] < 128:
+            return value, at
+
+
+def _field(data: bytes, number: int) -> bytes | int | None:
+    """A field of a protocol buffer message."""
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        wire = key & 7
+        if wire == 0:
+            value, at = _varint(data, at)
+        else:
+            n, at = _varint(data, at) if wire == 2 else ({1: 8, 5: 4}[wire], at)
+            value, at = data[at : at + n], at + n
+        if key >> 3 == number:
+            return value
+    return None
+
+
+def model_kind(path: str) -> str:
+    """The kind that a model file states: field 3 of its trainer's settings, which are field 2 (fixed values)."""
+    with open(path, "rb") as f:
+        settings = _field(f.read(), 2)
+    return {1: "unigram", 2: "bpe"}[_field(settings, 3) or 1 if settings else 1]
+
+
 class Pieces:
     """A model file's pieces, scores and kind."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str, kind: str | None = None):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         m, n = self.library, self.library.get_piece_size()
         if n > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.kind = kind
+        self.kind = kind or model_kind(path)
         normal = [k for k in range(n) if not (m.is_control(k) or m.is_unknown(k) or m.is_byte(k) or m.is_unused(k))]
         self.id = {m.id_to_piece(k).replace(MARK, " "): k for k in normal}
         self.score = {m.id_to_piece(k).replace(MARK, " "): m.get_score(k) for k in normal}
+        self.scores = {k: self.score[p] for p, k in self.id.items()}
         self.text = {k: p for p, k in self.id.items()}
         self.byte = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id))
@@ -87,7 +125,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.words: dict[str, bytes] = {"\n": self._unknown("\n") if "\n" not in pieces.id else np.array([pieces.id["\n"]], np.uint16).tobytes()}
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, float] = {}
         self.runs: dict[int, bytes] = {}
 
     def _unknown(self, char: str) -> bytes:
@@ -102,10 +140,11 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """words: distinct, sorted; runs of spaces are not among them."""
-        step = self._step_bpe if self.p.kind == "bpe" else self._step_unigram
-        last: list[int] = [START]  # the last piece of each prefix, UNKNOWN for a character without one
-        size: list[int] = [0]
-        score: list[float] = [0.0]
+        gain, only = (self._gain_bpe, True) if self.p.kind == "bpe" else (self._gain_unigram, False)
+        ids, longest, unknown = self.p.id, self.p.longest, self.p.unknown_score
+        last: list[int] = [START]  # of the best way to each prefix: its last piece, UNKNOWN for a character without one
+        size: list[int] = [0]  # that piece's characters
+        score: list[float] = [0.0]  # the forward scores
         prior = ""
         for w in words:
             n = 0
@@ -115,40 +154,29 @@ class Encoder:
                 n += 1
             del last[n + 1 :], size[n + 1 :], score[n + 1 :]
             for i in range(n + 1, len(w) + 1):
-                step(w, i, last, size, score)
+                best, piece, length = score[i - 1] + unknown, UNKNOWN, 1
+                if not only or w[i - 1] in ids:
+                    for m in range(1, min(i, longest) + 1):
+                        k = ids.get(w[i - m : i])
+                        if k is not None and (s := score[i - m] + gain(last[i - m], k)) > best:
+                            best, piece, length = s, k, m
+                            if only:  # no other way has a finite gain
+                                break
+                last.append(piece)
+                size.append(length)
+                score.append(best)
             self.words[w] = self._collected(w, last, size)
             prior = w
 
-    def _step_bpe(self, w: str, i: int, last: list[int], size: list[int], score: list[float]) -> None:
-        ids, pairs = self.p.id, self.pairs
-        score.append(0.0)
-        if w[i - 1] in ids:
-            for n in range(1, min(i, self.p.longest) + 1):
-                k = ids.get(w[i - n : i])
-                if k is not None:
-                    before = last[i - n]
-                    if before == UNKNOWN:
-                        before = START
-                    pair = before << 16 | k
-                    stays = pairs.get(pair)
-                    if stays is None:
-                        stays = pairs[pair] = self._stays(before, k)
-                    if stays:
-                        last.append(k)
-                        size.append(n)
-                        return
-        last.append(UNKNOWN)
-        size.append(1)
-
-    def _step_unigram(self, w: str, i: int, last: list[int], size: list[int], score: list[float]) -> None:
-        best, piece, length = score[i - 1] + self.p.unknown_score, UNKNOWN, 1
-        for n in range(1, min(i, self.p.longest) + 1):
-            part = w[i - n : i]
-            if part in self.p.id and (s := score[i - n] + self.p.score[part]) > best:
-                best, piece, length = s, self.p.id[part], n
-        last.append(piece)
-        size.append(length)
-        score.append(best)
+    def _gain_bpe(self, before: int, piece: int) -> float:
+        pair = max(before, START) << 16 | piece
+        stays = self.pairs.get(pair)
+        if stays is None:
+            stays = self.pairs[pair] = 0.0 if self._stays(max(before, START), piece) else -math.inf
+        return stays
+
+    def _gain_unigram(self, before: int, piece: int) -> float:
+        return self.p.scores[piece]
 
     def _collected(self, w: str, last: list[int], size: list[int]) -> bytes:
         out, i = [], len(w)
@@ -206,17 +234,13 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def encoded(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bpe", check: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, model: str, text_col: str = "text", kind: str | None = None, check: bool = True) -> DataFrame:
     """docs with n_pieces, ids and, where `check` is set, same: whether the ids decode to the text. No shuffle."""
     ship(docs.sparkSession)
     at = docs.columns.index(text_col)
-    taken = {"n_pieces", "ids", "same"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs has columns {sorted(taken)} already")
     added = [T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("same", T.BooleanType())] * check
-    schema = T.StructType([*docs.schema.fields, *added])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         encoder = Encoder(Pieces(model, kind))
         for batch in sliced(batches):
             texts = [x or "" for x in batch.column(at).to_pylist()]
@@ -227,9 +251,9 @@ def encoded(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bp
                 cols = [*batch.slice(a, b - a).columns, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))]
                 if check:
                     cols.append(pa.array([encoder.decode(values[i:j]) == t for i, j, t in zip(ends[:-1], ends[1:], texts[a:b])], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+                yield cols
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, added)
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -237,11 +261,12 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "
     ship(rows.sparkSession)
 
     @F.pandas_udf("string")
-    def text_of(ids):
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(Pieces(model))
-        return ids.map(lambda x: None if x is None else encoder.decode(np.asarray(x, np.int64)))
+        for ids in batches:
+            yield ids.map(lambda x: None if x is None else encoder.decode(np.asarray(x, np.int64)))
 
-    return rows.withColumn(text_col, text_of(F.col(ids_col)))
+    return rows.withColumn(text_col, text_of(named(ids_col)))
 
 
 def model_path() -> str:

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows whose texts a task holds as Python strings at a time, and their bytes (a longer text is alone).
 ROWS, ROW_BYTES = 500, 16 << 20
@@ -90,6 +91,22 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], added: list[T.StructField] | None = None) -> DataFrame:
+    """df through run(), which gets batches and yields columns: those of df and the added ones. For tables with any
+    column names, dots and all; an added column takes the place of one of df's that has its name (in any case)."""
+    fields = [*df.schema.fields, *(added or [])]
+    inner = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names=inner.fieldNames())
+
+    out = df.toDF(*inner.fieldNames()[: len(df.columns)]).mapInArrow(renamed, inner)
+    new = {f.name.lower() for f in added or []}
+    stay = [(k, f.name) for k, f in enumerate(fields) if k >= len(df.columns) or f.name.lower() not in new]
+    return out.select(*[F.col(f"c{k}").alias(name) for k, name in stay])
+
+
 def parts_for(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     """Into how many parts df's rows are dealt: the session's number of shuffle partitions, more where they'd have more than
     part_bytes each by Spark's own estimate of df's size."""

@@ -37,8 +37,8 @@ def test_template(spark):
 def test_order_nulls_and_empty(spark):
     rows = [(None, 1, "user", "x", ""), (None, 0, None, None, None), (5, None, "assistant", "z", ""), (5, 0, "assistant", "y", ""), (5, 0, "assistant", "y", ""), (5, 0, "assistant", "a", "")]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in C.read_back(C.formatted(df)).collect()}
-    assert got == {None: [("", ""), ("user", "x")], 5: [("assistant", t) for t in ("z", "a", "y", "y")]}
+    got = sorted(((r.conv_id or 0, [(t.role, t.text) for t in r.turns]) for r in C.read_back(C.formatted(df)).collect()), key=str)
+    assert got == [(0, [("", "")]), (0, [("user", "x")]), (5, [("assistant", t) for t in ("z", "a", "y", "y")])]
     assert C.read_back(C.formatted(df.limit(0))).count() == 0
 
 
@@ -50,3 +50,16 @@ def test_query_digests(spark, tmp_path):
     assert set(got) == {1, -7}
     assert got[1].n_turns == 3 and got[1].turns_sha256 == sha("user\nhi\nassistant\n</turn>\nassistant\n\n") and got[1].loss_sha256 == sha("</turn>")
     assert got[-7].turns_sha256 == sha(f"user\n{C.TRICKY}\nassistant\n{C.TRICKY}\n") and got[-7].loss_chars == len(C.TRICKY)
+
+
+def test_a_long_conversation(spark):
+    """20,000 turns of one conversation, half of them adjacent to another of their role."""
+    df = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 4 < 2, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    (r,) = C.read_back(C.formatted(df)).collect()
+    assert [t.text for t in r.turns] == [f"t{k}" for k in range(20_000)]
+    assert r.learned == [f"t{k}" for k in range(20_000) if k % 4 > 1]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x", "a", "b")], "conv_id long, turn long, role string, text string, alone string, `t.u` string")
+    assert C.read_back(C.formatted(df)).first().turns[0].text == "x"

@@ -52,3 +52,71 @@ def test_sample_is_bounded(spark, monkeypatch, bound):
     monkeypatch.setattr(L, "SAMPLE_ROWS", bound)
     df = spark.createDataFrame([(k, "w" + "abcdefghij"[k % 10] + "klmnopqrst"[k // 10], "en", "", 1) for k in range(100)], SCHEMA)
     assert len(L.learn(df, "text", "lang", "doc_id")["en"].split()) == bound
+
+
+def test_texts_without_a_letter(spark):
+    dictionaries = L.learn(spark.createDataFrame(rows(), SCHEMA), "text", "lang", "doc_id")
+    classify = L.classifier(dictionaries)
+    for odd in ("²", "½ ² Ⅷ ①②", "_ 12", "́̂", " \n\t", "🙂"):
+        assert classify(odd) == ("und", 0.0, True)
+    assert classify("ª ² der und nicht")[0] == "de"
+
+
+def by_hand(text, dictionaries):
+    """Sizes by a fresh compressor for each piece, with nothing shared or prepared."""
+    import itertools
+    import unicodedata
+
+    import zstandard
+
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split()
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    plain = " ".join(w for w, _ in itertools.groupby(words))
+    n = -(-len(plain) // L.PIECE)
+    step = -(-len(plain) // n)
+
+    def size(lang, part):
+        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=L.LEVEL)
+        return len(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(part.encode()))
+
+    cut = [plain[k * step : (k + 1) * step] for k in range(n)]
+    total = {lang: sum(size(lang, x) for x in cut) for lang in dictionaries}
+    least, next_ = sorted(total.values())[:2]
+    if least == next_:
+        more = [" ".join(x.split()[k:] + x.split()[:k]) for x in cut for k in range(min(L.TURNS, len(x.split())))] + [f" {x} " for x in cut]
+        total = {lang: sum(size(lang, x) for x in more) for lang in dictionaries}
+        least, next_ = sorted(total.values())[:2]
+    return min(lang for lang in total if total[lang] == least), min(1.0, 4 * (1 - least / next_))
+
+
+def test_against_brute_force(spark):
+    df = spark.createDataFrame([*rows(60), (1000, "the der le", "en", "", 1), (1001, "xyzzy", None, "", 1), (1002, None, "de", "", 1), (1003, "Été À l'ÉCOLE ́ 12 " * 90, None, "", 1)], SCHEMA)
+    dictionaries = L.learn(df.filter(~L.held_out()), "text", "lang", "doc_id")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in L.predictions(df, dictionaries).collect():
+        lang, score = by_hand(texts[r.doc_id], dictionaries)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score))
+
+
+def test_a_dictionary_has_a_share_of_each_text():
+    long, short = ["abc " * 60] * 8, [["hello"], ["world"]]
+    d = L.dictionary([long, *short], 400)
+    assert len(d) <= 400 and b"hello" in d and b"world" in d
+    tail = ["a " * 100, "b c " * 100, "tail end"]
+    assert b"tail" in L.dictionary([tail, *[["x y"]] * 5], 200)
+    assert L.dictionary([["..."]]) == b" " * 8
+
+
+def test_stretches_come_from_the_whole_text(spark, monkeypatch):
+    monkeypatch.setattr(L, "STRETCH_CHARS", 10)
+    text = "".join(chr(97 + k % 26) * 7 + " " for k in range(500)) + "thisistheend"
+    (d,) = L.learn(spark.createDataFrame([(1, text, "en", "", 1)], SCHEMA), "text", "lang", "doc_id").values()
+    assert b"istheend" in d and d.startswith(b"aaaaaaa")
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(k, t, lang, "s", "p") for k, t, lang, *_ in rows(30)], "doc_id long, text string, lang string, `a.b` string, rejected string")
+    kept = L.keep_identified(df, L.learn(df, "text", "lang", "doc_id"))
+    assert kept.columns == df.columns and {r["a.b"] for r in kept.collect()} == {"s"}

@@ -9,20 +9,27 @@ from quernstone.llm import mixing as M
 SCHEMA = "doc_id long, source string, text string, slot string, place int"
 
 
-def test_schedule_is_pfair(spark):
-    weights = {"a": 17, "b": 5, "c": 1, None: 9, "e": 2}
-    rows = M.schedule(spark.createDataFrame(list(weights.items()), "source string, weight long")).collect()
-    total = sum(weights.values())
-    assert sorted(r.slot for r in rows) == list(range(total))
+def pfair(rows, shares):
+    total = sum(shares)
+    assert [r.slot for r in rows] == list(range(len(rows)))
     seen = Counter()
-    for r in sorted(rows, key=lambda r: r.slot):
-        assert r.place == seen[r.source]
-        w = weights[r.source]
-        assert r.place * total // w <= r.slot < math.ceil((r.place + 1) * total / w)
-        seen[r.source] += 1
-        for s, w in weights.items():
-            assert abs(seen[s] - w * (r.slot + 1) / total) < 1
-    assert seen == weights
+    for r in rows:
+        assert r.place == seen[r.i]
+        a = shares[r.i]
+        assert r.place * total // a <= r.slot < math.ceil((r.place + 1) * total / a)
+        seen[r.i] += 1
+        assert all(abs(seen[i] - a * (r.slot + 1) / total) < 1 for i, a in enumerate(shares))
+    return seen
+
+
+@pytest.mark.parametrize("size", [(1 << 20, 256), (13, 4)])
+def test_schedule_is_pfair(spark, monkeypatch, size):
+    monkeypatch.setattr(M, "ROUND", size[0])
+    monkeypatch.setattr(M, "RUN", size[1])
+    for shares in ([17, 5, 1, 9, 2], [1], [3, 3]):
+        rows = M.schedule(spark, shares, sum(shares)).orderBy("slot").collect()
+        assert pfair(rows, shares) == dict(enumerate(shares))
+        assert M.schedule(spark, shares, 1).count() == 1
 
 
 def data():
@@ -64,7 +71,30 @@ def test_rows_as_they_are(spark):
     assert M.mixed(df.limit(0)).count() == 0
 
 
-def test_too_fine_weights(spark):
+def test_many_sources_and_odd_weights(spark):
+    """No bound on the number of sources or the sum of weights: sources of equal weight take their group's blocks in turn."""
+    weights = {"s0": 1_000_003, "s1": 70_001, "s2": 40}
+    df = spark.range(9_000).selectExpr("id AS doc_id", "concat('s', cast(pmod(id * id, 4001) as string)) AS source")
+    got = M.mix(df, weights=weights, default=9, block_rows=2).select("doc_id", "source", "weight", "slot", "release", "deadline", "block", "within").collect()
+    assert len(got) == 9_000
+    assert len({(r.source, r.block) for r in got}) == len({r.slot for r in got})
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    many = len({r.source for r in got if r.source not in weights})
+    assert many > 1_900 and {r.weight for r in got} == {9, *weights.values()}
+    assert {r.deadline - r.release for r in got if r.weight == 9} <= {(sum(weights.values()) + 9 * many) // 9 + k for k in (0, 1, 2)}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(k, "a" if k % 3 else "b", "x", k, "y") for k in range(60)], "doc_id long, source string, slot string, place int, `a.b` string")
+    out = M.mix(df)
+    assert out.columns == ["doc_id", "source", "a.b", *M.ADDED] and out.count() == 60
+    assert M.mixed(df).columns == df.columns and {r.slot for r in M.mixed(df).collect()} == {"x"}
+    named = M.placed(df, names={"slot": "mix_slot", "place": "mix_place"})
+    assert named.columns == [*df.columns, "mix_slot", "mix_place"]
+    assert sorted(r.mix_slot for r in named.collect()) == sorted(r.slot for r in out.collect())
+
+
+def test_weights_are_positive(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, source string")
-    with pytest.raises(ValueError, match="coarser"):
-        M.mix(df, weights={"a": M.MOST_SLOTS + 1})
+    with pytest.raises(ValueError, match="positive"):
+        M.mix(df, weights={"a": 0})

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from quernstone.llm import sentpieces as P
 
@@ -42,6 +43,7 @@ def test_unigram_is_viterbi(monkeypatch):
     p = P.Pieces(P.model_path(), "unigram")
     p.id = {w: k for k, w in enumerate([" ", "a", "b", "ab", "ba", " a", "aba", "bab"])}
     p.score = dict(zip(p.id, [-3.0, -2.1, -2.3, -3.1, -3.2, -4.0, -4.9, -5.05]))
+    p.scores = {k: p.score[w] for w, k in p.id.items()}
     p.longest = 3
     encoder = P.Encoder(p)
     rng = random.Random(2)
@@ -72,8 +74,30 @@ def test_rows(spark, library):
         assert (r.ids, r.n_pieces) == (want, len(want))
         assert r.same == (r.decoded == (r.text or "")) == ("▁" not in (r.text or ""))
     assert P.encoded(df.limit(0), P.model_path()).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        P.encoded(got, P.model_path())
+    again = P.encoded(got.withColumn("a.b", F.lit(1)).withColumnRenamed("n_pieces", "N_Pieces"), P.model_path())
+    assert again.columns == ["doc_id", "text", "piece", "a.b", "n_pieces", "ids", "same"] and again.count() == len(rows)
+
+
+def test_kind_is_read_from_the_file():
+    assert P.model_kind(P.model_path()) == P.Pieces(P.model_path()).kind == "bpe"
+
+
+def test_forward_scores_of_merges(library):
+    """All ways to write a word as pieces: the one whose neighbours all stay as they are is the model's own, and there is one."""
+    p = P.Pieces(P.model_path())
+    encoder = P.Encoder(p)
+
+    def ways(w):
+        if not w:
+            return [[]]
+        return [[p.id[w[:n]], *rest] for n in range(1, len(w) + 1) if w[:n] in p.id for rest in ways(w[n:])]
+
+    for w in (" the", " house", "ab", " aaaa", " erthe", "thth"):
+        finite = [x for x in ways(w) if sum(encoder._gain_bpe(a, b) for a, b in zip([P.START, *x], x)) == 0]
+        encoder.learn([w])
+        assert [np.frombuffer(encoder.words[w], "<u2").tolist()] == finite
+        if w.startswith(" "):
+            assert finite == [library.encode(w[1:])]
 
 
 def test_caches_start_anew(monkeypatch, library):
