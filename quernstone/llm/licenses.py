@@ -2,8 +2,9 @@
 
 A notice found with at most k edits has k + 1 pieces of which at least one stands exactly, so the notices are
 split into k + 1 pieces each, and one automaton finds all pieces in a text. Each find places a window where the notice
-would stand; windows of a notice that overlap become one; and the regex library matches the notice in it with at
-most k errors, giving the span and the number of errors.
+would stand; windows of a notice that overlap become one. An edit spoils GRAM runs of GRAM characters at most, so a stretch that
+has fewer of the notice's runs than k edits leave holds no find, and windows shrink to the stretches with enough of them. In
+these the regex library matches the notice with at most k errors, giving the span and the number of errors.
 
 Beside it a base count: places where a phrase's words stand consecutively.
 
@@ -17,6 +18,7 @@ count; a null id is returned as null; repeated rows are all returned; an empty t
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -59,6 +61,8 @@ NOTICES = {
 }
 #: A notice may have one edit for so many characters.
 CHARS_PER_EDIT = 10
+#: Characters of the runs that a stretch is judged by before it is matched.
+GRAM = 3
 #: Characters that a verified window may have; a longer chain of windows is verified in overlapping stretches of this.
 STRETCH = 4096
 
@@ -76,6 +80,7 @@ class Notice(NamedTuple):
     label: str
     edits: int
     pattern: regex.Pattern
+    grams: Counter[str]
 
 
 class Found(NamedTuple):
@@ -97,12 +102,16 @@ def pieces_of(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def grams_of(text: str) -> Counter[str]:
+    return Counter(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         import ahocorasick
 
         self.phrases = PHRASES if phrases is None else phrases
-        self.notices = [Notice(t, label, e := edits_of(t), regex.compile(f"(?:{regex.escape(t)}){{e<={e}}}", regex.BESTMATCH)) for t, label in (NOTICES if notices is None else notices).items()]
+        self.notices = [Notice(t, label, e := edits_of(t), regex.compile(f"(?:{regex.escape(t)}){{e<={e}}}", regex.BESTMATCH), grams_of(t)) for t, label in (NOTICES if notices is None else notices).items()]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(self.notices):
             for at, piece in pieces_of(n.text, n.edits):
@@ -150,6 +159,32 @@ class Scanner:
             out += [(k, a, b) for a, b in joined]
         return out
 
+    def dense(self, n: Notice, text: str, start: int, stop: int) -> list[tuple[int, int]]:
+        """The stretches of a window in which as many of the notice's runs stand as its edits leave. No find lies outside."""
+        need = n.grams.total() - GRAM * n.edits
+        if need <= 0:
+            return [(start, stop)]
+        room = len(n.text) + n.edits - GRAM + 1  # runs that the longest find has
+        want, have, shared = n.grams, Counter[str](), 0
+        out: list[tuple[int, int]] = []
+        for i in range(start, stop - GRAM + 1):
+            gram = text[i : i + GRAM]
+            if gram in want:
+                have[gram] += 1
+                shared += have[gram] <= want[gram]
+            if i - room >= start:
+                gram = text[i - room : i - room + GRAM]
+                if gram in want:
+                    shared -= have[gram] <= want[gram]
+                    have[gram] -= 1
+            if shared >= need:
+                a = max(start, i - room + 1)
+                if out and a <= out[-1][1]:
+                    out[-1] = (out[-1][0], i + GRAM)
+                else:
+                    out.append((a, i + GRAM))
+        return out
+
     def matches(self, n: Notice, text: str, start: int, stop: int) -> Iterator[Found]:
         """The best match of a stretch, and those of what is left on both sides of it: the pattern itself finds none before its best."""
         todo = [(start, stop)]
@@ -164,8 +199,7 @@ class Scanner:
         """Notices within their edits, by place. Of finds that overlap, the one of fewest errors for its length stays,
         the longer of equals: another version of a license is one edit away."""
         out = set()
-        for k, a, b in self.windows(text):
-            n = self.notices[k]
+        for n, a, b in [(self.notices[k], *some) for k, start, stop in self.windows(text) for some in self.dense(self.notices[k], text, start, stop)]:
             room = len(n.text) + 2 * n.edits
             for start in range(a, b, max(1, STRETCH - room)):
                 stop = min(b, start + STRETCH)
