@@ -14,7 +14,8 @@ the original text, `kept`, and what is removed its own, `removed`.
 Defined results: a null text counts as empty and stays null; blank lines stay, and go with the removed line
 before them never; a row's document is its id and its text: different texts under one id, or under null ids, are documents
 of their own (ranked by id, null first, then by a hash of the text), equal rows are one and don't make repeats of each other;
-repeated rows are all returned; an empty table gives no rows; other columns pass through untouched.
+repeated rows are all returned; an empty table gives no rows; other columns pass through untouched, but for one named
+`kept` or `removed` where those are asked for, whose place they take.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.shared import documents, materialize, ship, sliced
+from quernstone.llm.shared import documents, free, map_rows, materialize, named, ship, sliced
+from quernstone.llm.shared import kept as kept_columns
 
 #: Words of a line that is removed as a repeat of its own, and of a run of clauses, at least.
 LINE_WORDS, RUN_WORDS = 5, 25
@@ -230,7 +232,7 @@ def _units_of(docs: DataFrame) -> DataFrame:
 
 def _document(id_col: str, text_col: str) -> list[Column]:
     """What tells documents apart: the id, and a hash of the text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("own")]
+    return [F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(named(text_col).cast("string")).alias("own")]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,32 +249,29 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     each digest's rows in one task; apart from it, adaptive execution splits those of very frequent units."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(*_document(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*_document(id_col, text_col), named(text_col).cast("string").alias("text"))
     found = materialize(_units_of(rows), "units")
     first = materialize(found.groupBy("h1", "h2").agg(F.min(F.struct("key", "own", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.key").alias("first_key"), F.col("first.own").alias("first_own"), F.col("first.at").alias("first_at")), "first-units")
     later = found.join(first, ["h1", "h2"]).filter("key <> first_key or own <> first_own or at <> first_at").select("key", "own", "at")
     return later.groupBy("key", "own").agg(F.collect_set("at").alias("repeats"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cut, and with `kept` and `removed`: arrays of (start, end) in the original text."""
-    taken = {"kept", "removed", "_key", "_own", "repeats"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"docs has columns {sorted(taken)} already")
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", spans), T.StructField("removed", spans)])
-    at = docs.columns.index(text_col)
-    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col), ("_key", "_own"))))
-    found = _repeats(docs, id_col, text_col).withColumnsRenamed({"key": "_key", "own": "_own"})
-    with_repeats = keyed.join(found, ["_key", "_own"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "repeats")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """docs with the text cut, and where `spans` is set with `kept` and `removed`: arrays of (start, end) in the original text."""
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    mark = [free(docs, n) for n in ("_key", "_own")]
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_document(id_col, text_col), mark)))
+    own = free(docs, "repeats")
+    found = _repeats(docs, id_col, text_col).toDF(*mark, own)
+    with_repeats = keyed.join(found, mark, "left").select(*kept_columns(docs), named(own))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in sliced(batches):
             texts, cut, kept = batch.column(at).to_pylist(), [], []
-            marked = batch.column(batch.num_columns - 1).to_pylist()
-            for k, (text, own) in enumerate(zip(texts, marked)):
-                gone = cut_of(text, set(own)) if text and own else []
+            for k, (text, repeated) in enumerate(zip(texts, batch.column(width).to_pylist())):
+                gone = cut_of(text, set(repeated)) if text and repeated else []
                 stay, start = [], 0
                 for a, b in [*gone, (len(text or ""), 0)]:
                     if a > start:
@@ -282,11 +281,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     texts[k] = "".join(text[a:b] for a, b in stay)
                 cut.append([{"start": a, "end": b} for a, b in gone])
                 kept.append([{"start": a, "end": b} for a, b in stay])
-            cols = [*batch.columns[:-1], pa.array(kept, kind), pa.array(cut, kind)]
-            cols[at] = pa.array(texts, batch.column(at).type)
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+            columns = [*batch.columns, *([pa.array(kept, kind), pa.array(cut, kind)] if spans else [])]
+            columns[at] = pa.array(texts, batch.column(at).type)
+            yield columns
 
-    return with_repeats.mapInArrow(run, schema)
+    return map_rows(with_repeats, run, [T.StructField("kept", span), T.StructField("removed", span)] if spans else []).drop(own)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

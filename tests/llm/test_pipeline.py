@@ -99,3 +99,17 @@ def test_the_mix_outlives_files(spark, tmp_path):
     mixed = C.mixing.mix(out.select("doc_id", "source", "lang", "n_chars"), **C.MIX).orderBy("slot", "place").collect()
     assert [(r.doc_id, r.mix_slot, r.mix_place) for r in rows] == [(r.doc_id, r.slot, r.place) for r in mixed] and len({r.mix_slot for r in rows}) > 3
     assert len({(r.source, r.mix_place) for r in rows}) == len(rows)
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    docs, _ = corpus()
+    extra = ["a.b", "kept", "_id", "_key", "repeats", "slot", "weight", "rejected", "same", "mix_slot", "h1", "row"]
+    df = spark.createDataFrame(docs, SCHEMA).selectExpr("*", *[f"'{c}' AS `{c}`" for c in extra])
+    now = df
+    for name, stage in C.STAGES[:-1]:
+        now = C.materialize(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == df.columns
+        assert {r[c] for r in now.select(*[f"`{c}`" for c in extra]).collect() for c in extra} == set(extra)
+    out = C.encode(spark, now, str(tmp_path))
+    assert out.columns == [*[c for c in df.columns if c not in ("text", "same", "mix_slot")], "mix_slot", "mix_place", "n_pieces", "ids", "same"]
+    assert out.count() == now.count()

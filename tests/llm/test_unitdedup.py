@@ -99,8 +99,15 @@ def test_ids_that_repeat_or_are_null(spark):
     got = sorted(((r.doc_id, r.text) for r in U.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(None, line), (4, ""), (4, ""), (5, ""), (6, None)], key=str)
     assert U.deduplicated(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        U.deduplicated(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, kept int"))
+
+
+def test_clashing_columns(spark):
+    line = "alpha beta gamma delta epsilon zeta"
+    df = spark.createDataFrame([(k, line, k, "x", "y", "z") for k in range(3)], "doc_id long, text string, Kept int, repeats string, `a.b` string, _key string")
+    out = U.deduplicated(df)
+    assert out.columns == ["doc_id", "text", "repeats", "a.b", "_key", "kept", "removed"]
+    plain = U.deduplicated(df, spans=False)
+    assert plain.columns == df.columns and sorted(map(tuple, plain.collect())) == [(0, line, 0, "x", "y", "z"), (1, "", 1, "x", "y", "z"), (2, "", 2, "x", "y", "z")]
 
 
 def test_texts_under_null_and_shared_ids_are_their_own(spark):
