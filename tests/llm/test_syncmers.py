@@ -62,24 +62,59 @@ def test_anchors_are_context_free():
 def test_likeness():
     rng = random.Random(2)
     text, other = words(rng, 800), words(rng, 800)
-    f = lambda t: S.fingerprint(S.sketch(t))
+    f = lambda t: S.print_of(t)
     assert S.likeness(f(text), f(text)) == 1 == S.likeness(f(""), f(""))
     assert S.likeness(f(text), f(other)) < 0.1 and S.likeness(f(text), f("")) == 0
     assert 0.1 < S.likeness(f(text), f(S.edited(text, other))) < 0.6
 
 
-def slow(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()), reverse=True)
+def slow(spark, rows):
+    own = {r.text: r.h for r in spark.createDataFrame(rows, SCHEMA).selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, own[r[1]]), reverse=True)
     out = []
     for k, (d, t, *_) in enumerate(order):
         t, n = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
-        f, g, h = (S.fingerprint(S.sketch(x)) for x in (t, e, n))
+        f, g, h = (S.print_of(x) for x in (t, e, n))
         out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, S.likeness(f, g), S.likeness(f, h)))
     return out
 
 
+def test_ids_that_many_rows_share_are_cut(spark):
+    rng = random.Random(3)
+    rows = [(None if k % 2 == 0 else 5 if k % 4 == 1 else k, f"{k} {words(rng, 5)}", "x", 1) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: tuple(map(str, r))
+    assert sorted([tuple(r) for r in S.compared(df).collect()], key=key) == sorted(slow(spark, rows), key=key)
+    sizes = S.with_next(df, "doc_id", "text").filter("ahead = 0").groupBy("part").count().collect()
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 125  # half of the rows have no id
+
+
+def test_passages_by_position(spark):
+    rng = random.Random(12)
+    shared = words(rng, 120)
+    texts = [words(rng, 60) for _ in range(6)]
+    rows = [(1, texts[0] + shared, None, 1), (None, texts[1], None, 1), (3, shared + texts[2], None, 1), (3, shared + texts[2], None, 1), (4, texts[3] + shared + texts[4] + shared, None, 1), (5, texts[5], None, 1), (6, None, None, 1), (7, "", None, 1)]
+    got = sorted(tuple(r)[:5] for r in S.passages(spark.createDataFrame(rows, SCHEMA), every=2).collect())
+    want = []  # by the definition: equal anchors, tied to their first place, on one shift
+    first, ties = {}, {}
+    for d, t in sorted({(d or 0, t) for d, t, *_ in rows if t}):
+        for at, h in zip(*(x.tolist() for x in S.anchors(t))):
+            if h % 2 == 0:
+                f = first.setdefault(h, (d, at))
+                if f != (d, at):
+                    ties.setdefault((d, f[0], at - f[1]), set()).add(at)
+    for (d, other, shift), at in ties.items():
+        if len(at) >= S.LEAST:
+            want.append((d, min(at), max(at) + S.K, other, min(at) - shift))
+    assert got == sorted(want) and len(got) == 3
+    for d, start, stop, other, there in got:
+        text = {k: t for k, t, *_ in rows}
+        assert text[d][start:stop] == text[other][there : there + stop - start] and stop - start > 0.8 * len(shared)
+    assert S.passages(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 60])
 def test_next_document_against_brute_force(spark, n):
     rng = random.Random(n)
@@ -88,13 +123,13 @@ def test_next_document_against_brute_force(spark, n):
         rows += [(None, "null id", None, None), (None, "another null id", None, 1), (7, None, "", 1), (2000, "dup", None, 1), (2000, "dup", None, 1), (2000, "", None, 1), (1 << 62, "far", None, 1)]
     got = [tuple(r) for r in S.compared(spark.createDataFrame(rows, SCHEMA)).collect()]
     key = lambda r: tuple(map(str, r))
-    assert sorted(got, key=key) == sorted(slow(rows), key=key)
+    assert sorted(got, key=key) == sorted(slow(spark, rows), key=key)
     assert len({r[3] for r in got if r[0] == 2000}) <= 2
 
 
 def test_fingerprints_and_empty(spark):
     df = spark.createDataFrame([(1, "some text of a document", None, 1), (2, None, None, 1)], SCHEMA)
     got = {r.doc_id: r for r in S.fingerprints(df).collect()}
-    assert got[1].fingerprint == S.fingerprint(S.sketch("some text of a document")) and got[2].n_anchors == 0
+    assert got[1].fingerprint == S.print_of("some text of a document") and got[2].n_anchors == 0
     assert S.compared(df.limit(0)).count() == 0
-    assert np.all(S.sketch("") == S.EMPTY)
+    assert np.all(S.sketch(S.anchors("")[1]) == S.EMPTY)
