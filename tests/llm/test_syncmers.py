@@ -87,8 +87,8 @@ def test_ids_that_many_rows_share_are_cut(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     key = lambda r: tuple(map(str, r))
     assert sorted([tuple(r) for r in S.compared(df).collect()], key=key) == sorted(slow(spark, rows), key=key)
-    sizes = S.with_next(df, "doc_id", "text").filter("ahead = 0").groupBy("part").count().collect()
-    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 125  # half of the rows have no id
+    sizes = S.with_next(df, "doc_id", "text").filter("ahead = 0 and doc_id is null").groupBy("part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 100  # half of the 300 rows have no id
 
 
 def test_passages_by_position(spark):
