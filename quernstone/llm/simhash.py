@@ -441,22 +441,36 @@ def set_print(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, lanes: int) -> DataFrame:
-    """One row a row of docs with an id: doc_id, h1 and h2 of its text, node (a hash of its set of shingles), the set's fingerprint, the set."""
-    ship(docs.sparkSession)
+def _told(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h1 and h2 of the text, and the text, of rows with an id."""
+    return docs.select(named(id_col).cast("long").alias("doc_id"), *_text_hashes(text_col), named(text_col).cast("string").alias("text")).filter("doc_id is not null")
+
+
+def _set_prints(rows: DataFrame, size: int, lanes: int) -> DataFrame:
+    """doc_id, h1, h2, node (a hash of the text's set of shingles) and the set's fingerprint."""
+    ship(rows.sparkSession)
     names = [f"w{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            if batch.num_rows:
-                sets = [shingle_set(x, size) for x in batch.column(3).to_pylist()]
-                w = np.stack([set_print(x, lanes) for x in sets])
-                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                cols = [pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), *cols, pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "h1", "h2", "node", *names, "shingles"])
+            sets = [shingle_set(x, size) for x in batch.column(3).to_pylist()]
+            w = np.stack([set_print(x, lanes) for x in sets])
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            cols = [pa.array(np.ascontiguousarray(w[:, k]).view(np.int64)) for k in range(lanes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), *cols], names=["doc_id", "h1", "h2", "node", *names])
+
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, node long, " + ", ".join(f"{n} long" for n in names))
 
-    rows = docs.select(named(id_col).cast("long").alias("doc_id"), *_text_hashes(text_col), named(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, node long, " + ", ".join(f"{n} long" for n in names) + ", shingles binary")
+
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """grp, node and the text's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [shingle_set(x, size).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["grp", "node", "shingles"])
+
+    return rows.select("grp", "node", "text").mapInArrow(run, "grp long, node long, shingles binary")
 
 
 def _text_hashes(text_col: str) -> list[Column]:
@@ -533,20 +547,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the joined group and not along its stars, whose ends needn't be alike."""
     spark, lanes = docs.sparkSession, bits // 64
     names = [f"w{k}" for k in range(lanes)]
-    sets = materialize(_sets(docs, id_col, text_col, shingle, lanes).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    nodes = materialize(sets.groupBy("node", *names).agg(F.min("row").alias("row")), "nodes")
+    rows, row = _told(docs, id_col, text_col), ["doc_id", "h1", "h2"]
+    prints = materialize(_set_prints(rows, shingle, lanes), "set-prints")
+    nodes = materialize(prints.groupBy("node", *names).agg(F.min(F.struct(*row)).alias("row")), "nodes")
     keys = similarity_keys(bits, similarity, nodes.count(), recall)
     stars = components(spark, _links_of_cells(_cells(nodes, lanes, keys), lanes, radius_for(bits, similarity, deviations)))
     near = stars.select("node", F.col("root").alias("grp")).unionByName(stars.select(F.col("root").alias("node"), F.col("root").alias("grp")).distinct())
-    near = materialize(sets.select("row", "shingles").join(nodes.select("node", "row").join(near, "node"), "row").select("grp", "node", "shingles"), "candidates")
-    found = components(spark, _alike_in_groups(near, similarity))
-    return sets.select("doc_id", "h1", "h2", "node").join(found, "node", "left").select("doc_id", "h1", "h2", F.coalesce("root", "node").alias("grp"))
+    # one row of each node that may be alike to another; only these rows' shingles are compared, and written
+    asked = materialize(nodes.select("node", "row.*").join(near, "node"), "near-nodes")
+    sets = materialize(_sets(rows.join(asked, row), shingle).dropDuplicates(["grp", "node"]), "shingle-sets")
+    found = components(spark, _alike_in_groups(sets, similarity))
+    out = materialize(prints.select(*row, "node").join(found, "node", "left").select(*row, F.coalesce("root", "node").alias("grp")), "near-groups")
+    for done in (prints, nodes, asked, sets):
+        release(done)
+    return out
 
 
 def keep_one_per_group(docs: DataFrame, **how) -> DataFrame:
     """docs without the near copies: of each group one row stays, of the smallest doc_id, and among texts
     of that id of the smallest hash. Texts that differ under one id are rows of their own. Rows without a doc_id stay."""
-    groups = materialize(similar_groups(docs, **how), "near-groups")
+    groups = similar_groups(docs, **how)
     row = F.struct("doc_id", "h1", "h2")
     best = groups.groupBy("grp").agg(F.min(row).alias("best"))
     stays = materialize(best.select("best.*"), "near-kept")

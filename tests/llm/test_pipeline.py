@@ -64,10 +64,12 @@ def test_stages_against_brute_force(spark, tmp_path):
     seen, cut = {}, {}
     for d in kept:
         own = set()
-        for at, digest, _ in sorted(unitdedup.digests(texts[d])):
-            if seen.setdefault(digest, (d, at)) != (d, at):
+        one = unitdedup.Cut([texts[d]])
+        _, place, h1, h2, _ = (x.tolist() for x in one.units())
+        for at, *digest in sorted(zip(place, h1, h2)):
+            if seen.setdefault(tuple(digest), (d, at)) != (d, at):
                 own.add(at)
-        spans = unitdedup.removable(texts[d], own)
+        spans = one.removed(0, own)
         at, out = 0, ""
         for a, b in [*spans, (len(texts[d]), 0)]:
             out += texts[d][at:a]

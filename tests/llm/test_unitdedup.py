@@ -1,33 +1,106 @@
 import random
 
 import pytest
+import regex
 
 from quernstone.llm import unitdedup as U
 
 SCHEMA = "doc_id long, text string, kept_by string, lang string"
 
 
+CLAUSE = regex.compile(r"(?<=[.!?…]['\")\]]*)[^\S\n]+|(?<=[\p{Ll}\p{N},;:])[^\S\n]+(?=\p{Lu}\p{Ll}*)")
+SCRIPTLESS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = regex.compile(rf"(?V1)[{SCRIPTLESS}]\p{{M}}*|[[\p{{L}}\p{{N}}\p{{M}}]--[{SCRIPTLESS}]]+")
+
+
+def slow_spans(text):
+    """Clauses (start, end, first of the line) and their words, line by line."""
+    spans, words, start = [], [], 0
+    for own in text.split("\n"):
+        at, first = 0, len(spans)
+        for gap in [*CLAUSE.finditer(own), None]:
+            a, b = gap.span() if gap else (len(own), 0)
+            if a > at:
+                spans.append((start + at, start + a, first))
+                words.append([m[0].lower() for m in WORD.finditer(own, at, a)])
+            at = b
+        start += len(own) + 1
+    return spans, words
+
+
+def slow_units(text):
+    """(position, what the unit is told by, words), by the definition."""
+    spans, words = slow_spans(text)
+    out, lines = [], {}
+    for k, w in enumerate(words):
+        lines.setdefault(spans[k][2], []).append(k)
+        if w:
+            out.append((2 * k, ("clause", *w), len(w)))
+    for first, ks in lines.items():
+        line = [w for k in ks for w in words[k]]
+        if len(ks) > 1 and len(line) >= U.LINE_WORDS:
+            out.append((2 * first + 1, ("line", *line), len(line)))
+    flat = [(w, len(own) > U.LONG) for own in words for w in own]
+    if any(long for _, long in flat):
+        h = [int(U.Cut([w]).hash[0][0]) for w, _ in flat]
+        cuts = [i for i in range(len(h)) if i == 0 or all(h[i] <= h[j] for j in range(max(0, i - U.REACH), min(len(h), i + U.REACH + 1)))]
+        ranges = [(i, j) for i, j in zip(cuts, [*cuts[1:], len(h)]) if any(long for _, long in flat[i:j])]
+        out += [(U.PIECES + k, ("piece", *(w for w, _ in flat[i:j])), j - i) for k, (i, j) in enumerate(ranges)]
+    return sorted(out)
+
+
+def units(text):
+    doc, at, h1, h2, words = U.Cut([text]).units()
+    return sorted(zip(at.tolist(), zip(h1.tolist(), h2.tolist()), words.tolist()))
+
+
 def slow(docs):
     """Over all units in rank order: what has been seen before is a repeat."""
     seen, out = {}, {}
     for d, text in sorted(docs, key=lambda x: x[0]):
-        for at, digest, _ in sorted(U.digests(text or "")):
-            first = seen.setdefault(digest, (d, at))
-            if first != (d, at):
+        for at, unit, _ in slow_units(text or ""):
+            first = seen.setdefault(unit, (d, at))
+            if first != (d, at) and at < U.PIECES:
                 out.setdefault(d, set()).add(at)
     return out
 
 
+ODD = [
+    "", " ", "\n", "\n\n", "a", ".", ") x", "'\" A", "... Abc", "a. ", "a.\n", " a.  \n b. C", "x.)\"'] Y", "1 A, B; C: D e F", "日本語。テスト abcはい", "สวัสดีครับ hello ไทย", "é̀ x̀. ́ a", "ǅ Ǆ. İstanbul ß", "a B c D", "́́", "日́本áb日", "A) b. (C", "x\x1cY\x85Z",
+]
+
+
+def test_units_by_the_definition():
+    """Many texts at once give what each gives alone, and that is what regular expressions find line by line."""
+    rng = random.Random(20)
+    alphabet = ["a", "b", "Cd", "E", "é", "日", "ไ", "1", ".", "!", "…", ",", ")", "'", " ", " ", "  ", "\n", "-", "́"]
+    texts = ODD + ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(400)] + [" ".join(rng.choices(["ab", "c", "De", "f.", "日本", "ghi"], k=300)) for _ in range(10)]
+    told, digests = {}, {}
+    cut = U.Cut(texts)
+    doc, at, h1, h2, words = (x.tolist() for x in cut.units())
+    by = {}
+    for d, *unit in zip(doc, at, zip(h1, h2), words):
+        by.setdefault(d, []).append(tuple(unit))
+    for d, text in enumerate(texts):
+        spans, own = cut.spans(d)
+        assert (spans, own) == (slow_spans(text)[0], [len(w) for w in slow_spans(text)[1]])
+        got, want = sorted(by.get(d, [])), slow_units(text)
+        assert got == units(text)
+        assert [(a, n) for a, _, n in got] == [(a, n) for a, _, n in want]
+        for (_, digest, _), (_, unit, _) in zip(got, want):
+            assert told.setdefault(digest, unit) == unit and digests.setdefault(unit, digest) == digest
+
+
 def sentence(rng, n=None):
     return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n or rng.randint(4, 14))).capitalize() + "."
 
 
 def test_units_cover_the_text():
     text = 'One two. Three "four." Five\n\nsix, seven Eight nine\n  \n… Ten! 1.5 eleven'
-    spans, _, words = U.units(text)
-    assert [text[a:b].strip() for a, b, _, _ in spans if text[a:b].strip()] == ["One two.", 'Three "four."', "Five", "six, seven", "Eight nine", "…", "Ten!", "1.5 eleven"]
+    spans, words = U.Cut([text]).spans(0)
+    assert [text[a:b].strip() for a, b, _ in spans if text[a:b].strip()] == ["One two.", 'Three "four."', "Five", "six, seven", "Eight nine", "…", "Ten!", "1.5 eleven"]
     assert sum(words) == 13
-    assert all(a < b for a, b, _, _ in spans)
+    assert all(a < b for a, b, _ in spans)
 
 
 def test_removal_ends_and_spares_what_is_not_repeated():
@@ -36,12 +109,12 @@ def test_removal_ends_and_spares_what_is_not_repeated():
     parts = ["--", "...", "  ", "Of.", "\n", "\n---\n", "Alpha beta gamma delta epsilon zeta."] + [sentence(rng, 9) for _ in range(4)]
     for _ in range(3000):
         text = " ".join(rng.choices(parts, k=rng.randint(1, 12)))
-        spans, _, words = U.units(text)
-        at = [p for p, _, _ in U.digests(text)]
+        spans, words = U.Cut([text]).spans(0)
+        at = [p for p, _, _ in units(text) if p < U.PIECES]
         repeated = set(rng.sample(at, rng.randint(0, len(at))))
-        gone = U.removable(text, repeated)
+        gone = U.removable(len(text), spans, words, repeated)
         assert all(a < b for a, b in gone) and all(x[1] <= y[0] for x, y in zip(gone, gone[1:]))
-        for k, (a, b, _, first) in enumerate(spans):
+        for k, (a, b, first) in enumerate(spans):
             if words[k] and not {2 * k, 2 * first + 1} & repeated:
                 assert not any(s < b and a < e for s, e in gone)
 
