@@ -31,6 +31,8 @@ SPACE = re.compile(rb"[\x20\x09-\x0d]")
 PIECE = 1 << 22
 #: Nodes of a bucket that meet in one task; larger buckets are split into chunks, and chunk pairs are dealt out.
 CHUNK = 4096
+#: The same where the sets of shingles themselves are compared.
+ALIKE_CHUNK = 512
 #: Rows that a task compares in one go.
 GATHER = 65_536
 
@@ -503,16 +505,8 @@ def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.nda
     return root
 
 
-def _alike_in_groups(groups: DataFrame, similarity: float) -> DataFrame:
-    """groups: grp, node, shingles. Links u, v of nodes of a group, by exact comparison: stars, never all pairs. Groups of
-    more than CHUNK nodes are dealt out as pairs of chunks, like buckets."""
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = (
-        groups.join(sizes, "grp")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("side"), "node", "shingles")
-    )
+def _links_in_cells(dealt: DataFrame, similarity: float) -> DataFrame:
+    """dealt: grp, lo, hi (a cell of a group), side, node, shingles. Links u, v of nodes of a cell: stars, never all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sides, sets = None, [], [], []
@@ -538,6 +532,30 @@ def _alike_in_groups(groups: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "side", "node").mapInArrow(run, "u long, v long")
 
 
+def _alike_in_groups(spark: SparkSession, groups: DataFrame, similarity: float) -> DataFrame:
+    """groups: grp, node, shingles. (node, root) of nodes that are alike to others of their group, directly or through others,
+    by exact comparison.
+
+    A group is cut into chunks, and each is compared within itself and with the group's smallest node; what is near copies of
+    one text is then joined. Only nodes that didn't join the smallest one are compared with all chunks."""
+    sizes = materialize(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / ALIKE_CHUNK).cast("int")), "group-sizes")
+    rows = groups.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    at = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    cell = ["grp", "lo", "hi", "side", "node", "shingles"]
+    first = components(spark, _links_in_cells(rows.withColumns({"lo": F.explode(at), "hi": F.lit(0), "side": F.lit(False)}).select(*cell), similarity))
+    joined = groups.select("grp", "node").join(sizes.filter("chunks > 1"), "grp").join(first, "node", "left")
+    rest = materialize(joined.filter(F.coalesce("root", "node") != F.col("leader")).select("grp", "node"), "group-rest")
+    asked = materialize(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ALIKE_CHUNK).cast("int").alias("asks")), "group-asks")
+    if asked.isEmpty():
+        return first
+    again = rows.join(asked, "grp")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = again.join(rest, ["grp", "node"], "left_semi").withColumns({"lo": F.pmod(F.xxhash64("node"), F.col("asks")).cast("int"), "side": F.lit(False)}).withColumn("hi", every("chunks"))
+    answer = again.withColumns({"hi": F.col("own"), "side": F.lit(True)}).withColumn("lo", every("asks"))
+    more = _links_in_cells(ask.select(*cell).unionByName(answer.select(*cell)), similarity)
+    return components(spark, first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 256, deviations: float = 3, recall: float = 0.995) -> DataFrame:
     """doc_id, h1, h2 (of the text) and grp of each row with an id. Rows share a group if their sets of shingles have a Jaccard
     similarity of `similarity` or more, directly or through others.
@@ -556,7 +574,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row of each node that may be alike to another; only these rows' shingles are compared, and written
     asked = materialize(nodes.select("node", "row.*").join(near, "node"), "near-nodes")
     sets = materialize(_sets(rows.join(asked, row), shingle).dropDuplicates(["grp", "node"]), "shingle-sets")
-    found = components(spark, _alike_in_groups(sets, similarity))
+    found = _alike_in_groups(spark, sets, similarity)
     out = materialize(prints.select(*row, "node").join(found, "node", "left").select(*row, F.coalesce("root", "node").alias("grp")), "near-groups")
     for done in (prints, nodes, asked, sets):
         release(done)

@@ -184,3 +184,30 @@ def test_stage_follows_links_and_not_stars(spark, monkeypatch):
     assert got == sorted([(0, texts[0]), (3, other), (9, rows[5][1]), (9, rows[6][1]), (None, texts[0])], key=str)
     grouped = S.alike([np.unique(np.array([hash(x) & (1 << 63) - 1 for x in s], np.uint64)) for s in sets], np.zeros(5, bool), 0.8)
     assert grouped.tolist() == [0, 0, 0, 3, 3]
+
+
+@pytest.mark.parametrize("chunk", [3, 1000])
+def test_groups_in_chunks_against_all_pairs(spark, monkeypatch, chunk):
+    """Copies of one text, chains that leave it and texts apart: whatever the chunks, reachability by all pairs."""
+    monkeypatch.setattr(S, "ALIKE_CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    rows, sets = [], {}
+    for grp in range(5):
+        base = rng.integers(0, 1 << 62, 100)
+        for k in range(4 if grp == 4 else 30):
+            own = base.copy()
+            if k % 3 == 1:
+                own[: 9 * (k // 3)] = rng.integers(0, 1 << 62, 9 * (k // 3))  # a few, and too many, differ
+            elif k % 3 == 2:
+                own = np.roll(np.arange(100) + 1000 * grp + 9 * k, 0)  # each is alike to the next only
+            node = int(rng.integers(-(1 << 60), 1 << 60))
+            sets[node] = (grp, set(own.tolist()))
+            rows.append((grp, node, bytearray(np.unique(own.astype(np.uint64)).tobytes())))
+    got = {r.node: r.root for r in S._alike_in_groups(spark, spark.createDataFrame(rows, "grp long, node long, shingles binary"), 0.8).collect()}
+    root = {n: n for n in sets}
+    for _ in sets:
+        for a, (g, x) in sets.items():
+            for b, (h, y) in sets.items():
+                if g == h and len(x & y) >= 0.8 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert {n: got.get(n, n) for n in sets} == root and len(set(root.values())) > 10
