@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -214,5 +214,11 @@ def epoch_ms(x: Column) -> Column:
     return F.date_format(F.timestamp_millis(x), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, however often later expressions use it: a generator stands between,
+    through which projections and filters don't carry the expression."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def any_column(names: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])

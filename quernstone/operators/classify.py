@@ -39,12 +39,12 @@ def term_table(spark: SparkSession, families: Families = T.FAMILIES) -> DataFram
 def score_rows(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """The same scores as rows (key, family, score), for term tables too large for expressions.
 
-    Terms of one word meet the texts' distinct tokens in an equi-join; only terms of several words are compared
-    by substring, a broadcast of the few that there are."""
+    Terms of one word meet the texts' distinct tokens in an equi-join, which Spark broadcasts if the terms are few enough; only
+    terms of several words are compared by substring."""
     single, several = terms.filter("instr(term, ' ') = 0"), terms.filter("instr(term, ' ') > 0")
     tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term"))
-    hits = tokens.join(F.broadcast(single), "term").select(key, "family", "weight")
-    phrases = docs.join(F.broadcast(several), F.contains(F.col(text), F.col("term"))).select(key, "family", "weight")
+    hits = tokens.join(single, "term").select(key, "family", "weight")
+    phrases = docs.join(several, F.contains(F.col(text), F.col("term"))).select(key, "family", "weight")
     return hits.unionByName(phrases).groupBy(key, "family").agg(F.sum("weight").alias("score")).filter("score > 0")
 
 

@@ -38,7 +38,7 @@ def keyword_index(jobs: DataFrame, key: str, text: str, keywords: DataFrame) ->
     paired = F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.lit(" node js "))
     terms = kw.filter(~paired).select("keyword", F.array_distinct(F.split("folded", " ")).alias("t")).select("keyword", F.size("t").alias("need"), F.explode("t").alias("term"))
     hits = token_postings(jobs, key, text).join(terms, "term").groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need")).filter("have = need").select("id", "keyword")
-    whole = jobs.join(F.broadcast(kw.filter(paired)), keyword_match(F.col(text), F.col("folded"))).select(F.col(key).alias("id"), "keyword")
+    whole = jobs.join(kw.filter(paired), keyword_match(F.col(text), F.col("folded"))).select(F.col(key).alias("id"), "keyword")
     found = hits.unionByName(whole)
     return found.select(F.lit("keyword").alias("kind"), F.explode(aliases_of(F.col("keyword"))).alias("value"), "id").distinct()
 

@@ -143,3 +143,25 @@ def search(jobs: DataFrame, index: DataFrame, q: Query, page: Page, profile: lis
         by = F.coalesce("match_score", F.lit(0))
         order = [by.desc() if q.match_sort == "desc" else by.asc(), *order]
     return page_of(rows, order, page), source
+
+
+#: Words that a long passage is looked up by.
+ANCHOR = 8
+
+
+def passages_in(texts: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str) -> DataFrame:
+    """(passage_key, key) wherever a folded passage stands in a folded text as a substring.
+
+    A passage may begin and end inside words, so it is looked up by what follows its first word, ANCHOR words or
+    if it has fewer than two more, its second word alone: equi-joins. Only passages of one or two words are compared with all texts."""
+    words = F.split(F.col(passage), " ")
+    asked = passages.select(passage_key, passage, F.size(words).alias("_n"), F.xxhash64(F.slice(words, 2, ANCHOR)).alias("_many"), F.xxhash64(F.slice(words, 2, 1)).alias("_one"))
+    cut = texts.select(key, F.split(text, " ").alias("_w"))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - ANCHOR + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(F.col("_w"), k, ANCHOR)))
+    many = cut.select(key, F.explode(F.array_distinct(windows)).alias("_many")).join(asked.filter(F.col("_n") >= ANCHOR + 2).select(passage_key, "_many"), "_many")
+    one = cut.select(key, F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(F.array(w))))).alias("_one")).join(asked.filter(F.col("_n").between(3, ANCHOR + 1)).select(passage_key, "_one"), "_one")
+    pairs = many.select(passage_key, key).unionByName(one.select(passage_key, key)).distinct()
+    stands = F.contains(F.col(text), F.col(passage))
+    found = pairs.join(texts.select(key, text), key).join(asked.select(passage_key, passage), passage_key).filter(stands).select(passage_key, key)
+    short = texts.select(key, text).join(asked.filter("_n < 3").select(passage_key, passage), stands).select(passage_key, key)
+    return found.unionByName(short)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import infer, predicates, text
-from quernstone.operators import classify, dedup, index
+from quernstone.operators import classify, dedup, index, search
 from quernstone.session import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -154,25 +154,25 @@ def bytes_format(spark, d):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents) WHERE {token_sql('t', 'Für')}")
 def token_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
+    docs = _texts(spark, d).select("doc_id", "t")
     return docs.filter(predicates.token_match(F.col("t"), predicates.fold_word("Für"))).select("doc_id")
 
 
 @query(f"SELECT doc_id, {token_sql('t', 'of the')} AS of_the, {any_sql('t', ['und die', 'de la', 'licensed under'])} AS any_phrase FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents)")
 def phrase_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
+    docs = _texts(spark, d).select("doc_id", "t")
     return docs.select("doc_id", predicates.token_match(F.col("t"), "of the").alias("of_the"), predicates.any_of(F.col("t"), ["und die", "de la", "licensed under"]).alias("any_phrase"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents) WHERE {token_sql('t', 'the')} AND {token_sql('t', 'was')} AND {token_sql('t', 'for')}")
 def all_terms_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
+    docs = _texts(spark, d).select("doc_id", "t")
     return docs.filter(predicates.all_terms(F.col("t"), F.lit("the was for"))).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents) WHERE {any_sql('t', ['the', 'der', 'la'])} AND {any_sql('t', ['was', 'und', 'que'])}")
 def synonym_match(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
+    docs = _texts(spark, d).select("doc_id", "t")
     return docs.filter(predicates.synonym_groups(F.col("t"), [["the", "der", "la"], ["was", "und", "que"]])).select("doc_id")
 
 
@@ -181,7 +181,7 @@ LEVEL_RULES = [("estagio", ["en", "una"]), ("senior", ["der", "licensed under"])
 
 @query(f"SELECT doc_id, {rules_sql('t', LEVEL_RULES, 'pleno')} AS level FROM (SELECT doc_id, {fold_sql('text')} AS t FROM documents)")
 def level_case(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("t"))
+    docs = _texts(spark, d).select("doc_id", "t")
     return docs.select("doc_id", infer.first_rule(F.col("t"), LEVEL_RULES, "pleno").alias("level"))
 
 
@@ -234,7 +234,7 @@ RANKED_SQL = f"{SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY doc
 
 
 def _texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", "lang", text.fold(F.col("text")).alias("t"))
+    return text.once(table(spark, d, "documents").select("doc_id", "source", "lang", "text"), "t", text.fold(F.col("text"))).drop("text")
 
 
 @query(f"WITH {SCORES_SQL} SELECT doc_id, family, CAST(score AS BIGINT) AS score FROM s WHERE score > 0")
@@ -373,15 +373,4 @@ def index_subterms(spark, d):
 
 @query(f"SELECT item_id, doc_id FROM benchmark b JOIN documents x ON contains({fold_sql('x.text')}, {fold_sql('b.text')})")
 def benchmark_passages(spark, d):
-    """Passages that stand in a document whole. Their rarest meeting point is their first eight words, an equi-join."""
-    docs = _texts(spark, d).select("doc_id", "t")
-    items = table(spark, d, "benchmark").select("item_id", text.fold(F.col("text")).alias("b"))
-    head = lambda words, k: F.xxhash64(F.slice(words, k, 8))
-    # a passage may begin inside a word, so it is anchored at its second word, which begins where one does
-    keyed = items.select("item_id", "b", head(F.split("b", " "), F.lit(2)).alias("h"), (F.size(F.split("b", " ")) >= 10).alias("long"))
-    words = F.split("t", " ")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1))), lambda k: head(words, k)))).alias("h"))
-    pairs = grams.join(keyed.filter("long").select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
-    hits = pairs.join(docs, "doc_id").join(keyed.select("item_id", "b"), "item_id").filter(F.contains("t", F.col("b"))).select("item_id", "doc_id")
-    short = docs.join(F.broadcast(keyed.filter("not long")), F.contains("t", F.col("b"))).select("item_id", "doc_id")
-    return hits.unionByName(short)
+    return search.passages_in(_texts(spark, d), "doc_id", "t", table(spark, d, "benchmark").select("item_id", text.fold(F.col("text")).alias("b")), "item_id", "b").select("item_id", "doc_id")
