@@ -182,3 +182,55 @@ SEARCH_COUNTRIES = [
     ),
     ("portugal", ["portugal", "lisboa", "porto"]),
 ]
+
+#: What a title that is accepted as a technology job has, and what it must not have.
+NON_CONCRETE = ["banco de talentos", "talent pool", "cadastro reserva"]
+HARD_NEGATIVE = [
+    "motorista", "motorista de van", "atendente", "operador", "operadora", "promotor", "promotora", "vendedor", "vendedora", "recepcionista",
+    "auxiliar", "assistente", "estagiario administrativo", "analista qualidade", "analista de qualidade",
+]
+STRONG_ROLES = [
+    "software engineer", "software developer", "engenheiro de software", "engenheira de software", "arquiteto de software", "arquiteta de software",
+    "software architect", "desenvolvedor", "desenvolvedora", "programador", "programadora", "backend", "back end", "frontend", "front end",
+    "full stack", "fullstack", "mobile developer", "desenvolvedor mobile", "devops", "site reliability", "sre", "data engineer", "data analyst",
+    "analytics engineer", "engenheiro de dados", "cientista de dados", "analista de dados", "qa engineer", "analista qa", "quality assurance", "sdet",
+    "security engineer", "engenheiro de seguranca", "cloud engineer", "platform engineer", "go engineer", "tech lead", "technical lead",
+]
+GENERIC_TITLES = ["analista de sistemas", "arquiteto de software", "arquiteta de software", "software", "tecnologia da informacao"]
+SIGNALS = [
+    "java", "spring", "python", "django", "fastapi", "php", "laravel", "symfony", "javascript", "typescript", "node", "nodejs", "node js",
+    "nestjs", "react", "nextjs", "next js", "react native", "angular", "vue", "golang", "kotlin", "swift", "flutter", "ruby", "rails",
+    "dotnet", "csharp", "kubernetes", "docker", "aws", "azure", "gcp", "terraform", "postgresql", "mysql", "mongodb", "redis", "kafka",
+]
+ROLE_SIGNALS = [
+    "developer", "desenvolvedor", "desenvolvedora", "engineer", "engenheiro", "engenheira", "programador", "programadora", "analista de sistemas", "analista desenvolvedor",
+]
+
+#: continent of a list's filter: what a location has, first match wins
+UI_CONTINENTS = [
+    ("América do Norte", ["united states", "estados unidos", "usa", "canada", "canadá", "mexico", "méxico"]),
+    ("América do Sul", ["brazil", "brasil", "argentina", "chile", "colombia", "colômbia", "peru", "uruguay", "paraguay", "bolivia", "ecuador", "venezuela"]),
+    (
+        "Europa",
+        [
+            "portugal", "spain", "españa", "espanha", "france", "frança", "germany", "alemania", "reino unido", "united kingdom", "uk", "netherlands", "países baixos",
+            "holanda", "italy", "irlanda", "poland", "switzerland", "belgium", "austria", "sweden", "norway", "denmark", "finland",
+        ],
+    ),
+    ("Ásia", ["india", "singapore", "japan", "china", "coreia", "korea", "thailand", "vietnam", "malaysia", "indonesia", "philippines", "pakistan", "bangladesh"]),
+    ("África", ["south africa", "áfrica do sul", "nigeria", "kenya", "egito", "egypt", "morocco", "marrocos"]),
+    ("Oceania", ["australia", "austrália", "new zealand", "nova zelândia"]),
+    ("Global / Remoto", ["remote", "remoto", "global", "worldwide"]),
+]
+
+#: filter: the work models that it lets through, all of them where none is named
+MODEL_FILTERS = {
+    "Todos": [],
+    "Remoto": ["Remoto"],
+    "Híbrido": ["Híbrido"],
+    "Presencial": ["Presencial"],
+    "RemotoHibrido": ["Remoto", "Híbrido"],
+    "RemotoPresencial": ["Remoto", "Presencial"],
+    "HibridoPresencial": ["Híbrido", "Presencial"],
+}
+MENTOR_WORDS, RECRUITER_WORDS = ["mentor", "mentoria"], ["recruiter", "recrutador", "rh"]

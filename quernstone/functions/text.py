@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +107,49 @@ def strip_tags(x: Column) -> Column:
     return collapse(F.regexp_replace(x, r"<[^>]*>", " "))
 
 
+#: Texts of embedded JSON that a detail page gives, their characters at least, and characters of the whole, at most (fixed values).
+DETAIL_STRINGS, DETAIL_LEAST, DETAIL_CHARS = 300, 3, 12_000
+#: Scripts that hold a page's data (fixed value).
+_DATA = re.compile(r"""(?is)<script[^>]*(?:id=["']__NEXT_DATA__["']|type=["']application/json["'])[^>]*>(.*?)</script>""")
+_HIDDEN = re.compile(r"(?is)<(script|style)[^>]*>.*?</\1>")
+_TAG = re.compile(r"(?is)<[^>]+>")
+
+
+def _detail_plain(value: str) -> str:
+    value = html.unescape(value)
+    for code, char in (("\\u003c", "<"), ("\\u003e", ">"), ("\\u0026", "&")):
+        value = value.replace(code, char)
+    return " ".join(_TAG.sub(" ", value).split())[:DETAIL_CHARS]
+
+
+def _detail(page: str) -> str:
+    parts: list[str] = []
+    for data in _DATA.findall(page):
+        try:
+            todo = [json.loads(html.unescape(data))]
+        except ValueError:
+            continue
+        found: list[str] = []
+        while todo and len(found) < DETAIL_STRINGS:  # depth first, in the order of the document
+            value = todo.pop()
+            if isinstance(value, str):
+                if len(plain := _detail_plain(value)) >= DETAIL_LEAST:
+                    found.append(plain)
+            elif isinstance(value, (list, dict)):
+                todo += reversed(list(value.values() if isinstance(value, dict) else value))
+        parts += found
+    return _detail_plain(" ".join([*parts, _TAG.sub(" ", _HIDDEN.sub(" ", page))]))
+
+
+def detail_text(page: Column) -> Column:
+    """The strings of a page's embedded JSON, however deep, and its visible text; empty for null."""
+
+    def of_all(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: _detail(x) if x else "")
+
+    return F.pandas_udf(of_all, "string")(page)
+
+
 def slug(x: Column) -> Column:
     plain = F.lower(without_accents(F.replace(entities(x), F.lit("&"), F.lit(" and "))))
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")

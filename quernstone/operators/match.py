@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.predicates import fold_word, token_match
@@ -47,15 +47,33 @@ def scored(rows: DataFrame, n: Column, coverage: Column) -> DataFrame:
     return rows.withColumn("match_score", F.when(n == 0, F.lit(45)).otherwise(value).cast("int"))
 
 
-def score_profiles(texts: DataFrame, profiles: DataFrame) -> DataFrame:
+#: The share of a profile's weight without which no number of technologies gives HIGH: 55 + 35 * share + 9.
+HIGH_SHARE = (HIGH - 55 - 9 - 0.5) / 35
+
+
+def score_profiles(texts: DataFrame, profiles: DataFrame, share: float = 0.0) -> DataFrame:
     """texts (id, text folded) by profiles (user_id, term folded, years): user_id, id, match_score for every pair that
-    shares a technology. Terms meet tokens in an equi-join, so that users and texts never cross."""
+    shares a technology and, where a share is given, at least that of the profile's weight.
+
+    Terms meet tokens in an equi-join, so that users and texts never cross. With a share, only a profile's rarest terms look for
+    texts: as many as it takes that the others together have less than the share. Their pairs are then scored with all terms."""
     last = profiles.groupBy("user_id", "term").agg(F.max_by("years", "ordinal").alias("years"))
     weights = last.withColumn("w", F.greatest(F.lit(1.0), F.greatest(F.lit(0.0), F.col("years"))))
     totals = weights.groupBy("user_id").agg(F.sum("w").alias("total"))
     tokens = texts.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("term")).filter("term <> ''")
-    hits = tokens.join(weights, "term").groupBy("user_id", "id").agg(F.sum("w").alias("matched"), F.count(F.lit(1)).alias("n"))
-    return scored(hits.join(totals, "user_id"), F.col("n"), F.col("matched") / F.col("total")).select("user_id", "id", "match_score")
+    asking = weights
+    if share > 0:
+        common = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("_many"))
+        rest = Window.partitionBy("user_id").orderBy(F.coalesce("_many", F.lit(0)), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        ranked = weights.join(common, "term", "left").withColumn("_rest", F.sum("w").over(rest)).join(totals, "user_id")
+        asking = ranked.filter(F.col("_rest") >= F.lit(share) * F.col("total") - 1e-9).select("user_id", "term", "w")
+        pairs = tokens.join(asking, "term").select("user_id", "id").distinct()
+        hits = pairs.join(weights, "user_id").join(tokens, ["id", "term"])
+    else:
+        hits = tokens.join(weights, "term")
+    found = hits.groupBy("user_id", "id").agg(F.sum("w").alias("matched"), F.count(F.lit(1)).alias("n")).join(totals, "user_id")
+    found = found.filter(F.col("matched") >= F.lit(share) * F.col("total") - 1e-9)
+    return scored(found, F.col("n"), F.col("matched") / F.col("total")).select("user_id", "id", "match_score")
 
 
 def high_matches(scores: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -96,9 +97,9 @@ def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def inserted_if_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table and the rows whose key it doesn't have; of rows with the same key one."""
+    """table and the rows whose key it doesn't have; of rows with the same key the smallest by all columns."""
     fresh = rows.join(table.select(*keys), keys, "left_anti")
-    return table.unionByName(fresh.dropDuplicates(keys))
+    return table.unionByName(fresh.groupBy(*keys).agg(F.min(F.struct(*fresh.columns)).alias("_r")).select("_r.*"))
 
 
 def status_changes(old: DataFrame, new: DataFrame, key: str, status: str, at: Column) -> DataFrame:
@@ -136,5 +137,23 @@ def backfill(table: DataFrame, plain: str, filled: str, value: Column) -> DataFr
     return table.withColumn("changed", due).withColumn(filled, F.when(due, value).otherwise(F.col(filled))).withColumn(plain, F.when(F.col("changed"), F.lit(None)).otherwise(F.col(plain)))
 
 
+def disconnectable(accounts: DataFrame, passwords: DataFrame, user: str, provider: str) -> DataFrame:
+    """(user, provider, allowed) of each account: whether another way to sign in is left without that provider."""
+    own = accounts.select(user, provider).distinct()
+    known = passwords.select(user).distinct().withColumn("_password", F.lit(1))
+    many = own.groupBy(user).agg(F.count(F.lit(1)).alias("_n")).join(known, user, "left")
+    return own.join(many, user).select(user, provider, (F.col("_n") - 1 + F.coalesce("_password", F.lit(0)) > 0).alias("allowed"))
+
+
+def glob(pattern: str) -> str:
+    """A key pattern with * and ? as a regular expression for whole keys."""
+    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+
+
+def cleared_keys(table: DataFrame, key: str, patterns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """cleared() of the rows whose key meets one of the patterns."""
+    return cleared(table, F.rlike(F.col(key), F.lit("(?s)" + "|".join(map(glob, patterns)))))
+
+
 def critical(action: Column) -> Column:
     return F.rlike(F.lower(action), F.lit("|".join(CRITICAL)))

@@ -6,7 +6,7 @@ Quantiles of cumulative buckets interpolate linearly inside a bucket."""
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,11 +80,8 @@ def on_grid(events: DataFrame, start: str, end: str, step: int, window: int, by:
     hi = F.least(F.ceil((t + window * 1_000_000 - first) / unit) - 1, F.floor((last - first) / unit)).cast("long")
     near = events.filter((t >= first - window * 1_000_000) & (t <= last)).withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi")
     counted = near.select(*(by or []), F.explode(F.sequence("_lo", "_hi")).alias("_k")).groupBy(*(by or []), "_k").agg(F.count(F.lit(1)).alias("n"))
-    spark = events.sparkSession
-    points = spark.range(1).select(F.posexplode(grid(start, end, step)).alias("_k", "point")).withColumn("_k", F.col("_k").cast("long"))
-    if by:
-        keys = events.select(*by).distinct()
-        points = keys.join(F.broadcast(points), F.lit(True))
+    keys = events.select(*by).distinct() if by else events.sparkSession.range(1)
+    points = keys.select(*(by or []), F.posexplode(grid(start, end, step)).alias("_k", "point")).withColumn("_k", F.col("_k").cast("long"))
     return points.join(counted, [*(by or []), "_k"], "left").select(*(by or []), "point", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -111,25 +108,54 @@ def fixed_windows(events: DataFrame, key: str, ts: str, seconds: int, most: int)
     """Rate limiting by windows that begin with a key's first event outside the window before; later
     events of the window over `most` are denied. Adds window_start, n_in_window, allowed.
 
-    Where the next window begins depends on where the one before did, event by event. A key's history is walked by
-    batches in order, in constant memory; keys are spread over tasks."""
+    Where the next window begins depends on where the one before did. A key's history is walked by batches in order, in
+    constant memory and window by window, not event by event; keys are spread over tasks."""
     out = T.StructType([*events.schema.fields, T.StructField("window_start", events.schema[ts].dataType), T.StructField("n_in_window", T.LongType()), T.StructField("allowed", T.BooleanType())])
     names = events.columns
-    length = pd.Timedelta(seconds=seconds)
+    length = np.timedelta64(seconds, "s")
 
     def run(batches):
         current, start, n = None, None, 0
         for pdf in batches:
-            starts, counts = [], []
-            for k, t in zip(pdf[key], pdf[ts]):
-                if k != current or t >= start + length:
-                    current, start, n = k, t, 0
-                n += 1
-                starts.append(start)
-                counts.append(n)
+            times, keys = pdf[ts].to_numpy().astype("datetime64[ns]"), pdf[key]
+            starts, counts = np.empty(len(pdf), "datetime64[ns]"), np.empty(len(pdf), np.int64)
+            edges = [*np.flatnonzero(np.append(True, (keys != keys.shift())[1:])), len(pdf)] if len(pdf) else [0]
+            for a, b in zip(edges, edges[1:]):
+                own = keys.iloc[a]
+                if own != current:
+                    current, start, n = own, times[a], 0
+                while a < b:
+                    if times[a] >= start + length:
+                        start, n = times[a], 0
+                    stop = a + int(np.searchsorted(times[a:b], start + length))
+                    starts[a:stop], counts[a:stop] = start, np.arange(n + 1, n + 1 + stop - a)
+                    n, a = n + stop - a, stop
             pdf = pdf[names].copy()
             pdf["window_start"], pdf["n_in_window"] = starts, counts
             pdf["allowed"] = pdf["n_in_window"] <= most
             yield pdf
 
     return events.repartition(key).sortWithinPartitions(key, ts).mapInPandas(run, out)
+
+
+def used_share(idle: DataFrame, seconds: int, series: list[str]) -> DataFrame:
+    """Per bucket, the percentage that isn't idle: 100 less 100 times the mean over the series of the idle counter's rate.
+
+    idle: ts, the series' columns, and value, a counter of idle seconds."""
+    rates = counter_rate(idle, seconds, series, series)
+    return rates.groupBy("bucket").agg((F.lit(100.0) - F.avg("rate") * 100).alias("used"))
+
+
+def used_amount(total: DataFrame, available: DataFrame, value: str = "value") -> DataFrame:
+    """total less available wherever both were measured: ts, used."""
+    free = available.select("ts", F.col(value).alias("_free"))
+    return total.select("ts", F.col(value).alias("_all")).join(free, "ts").select("ts", (F.col("_all") - F.col("_free")).alias("used"))
+
+
+#: Which of a series' labels names it, the first that it has (fixed values).
+LABELS = ["adapter", "route", "path", "handler", "container_label_com_docker_compose_service", "container", "name", "job"]
+
+
+def series_label(labels: Column) -> Column:
+    """labels: a map."""
+    return F.coalesce(*[F.element_at(labels, n) for n in LABELS], F.lit("serie"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import timeseries as ts
-from quernstone.session import table
+from quernstone.session import scratch, table
 from quernstone.streaming import streams
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -189,11 +187,18 @@ def due_sources(spark, d):
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    where = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernstone-stream-")
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
+    """The stream's result, written batch by batch and read back: a complete result replaces the one before."""
+    spark = stream.sparkSession
+    where = scratch(spark, "stream")
+    schema = stream.schema
+
+    def put(batch: DataFrame, n: int) -> None:
+        # a batch that is repeated writes the same folder again
+        batch.write.mode("overwrite").parquet(f"{where}/rows" if mode == "complete" else f"{where}/rows/batch={n}")
+
+    run = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(f"{where}/rows").select(*schema.fieldNames())
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -210,3 +215,34 @@ def stream_dedup(spark, d):
 @query(f"SELECT {bucket_sql(3600)} AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
     return _drained(streams.counters(_event_stream(spark, d), 3600, ["event_type"]), "complete")
+
+
+# Gauges and labels
+
+
+@query(f"""
+WITH s AS (SELECT user_id % 20 AS cpu, ts, event_id, sum(1 + event_id % 5) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS v FROM events),
+l AS (SELECT cpu, ts, max(v) AS v FROM s GROUP BY cpu, ts),
+i AS (SELECT *, lag(v) OVER (PARTITION BY cpu ORDER BY ts) AS before FROM l),
+r AS (SELECT {bucket_sql(86400)} AS bucket, cpu, sum(CASE WHEN before IS NULL THEN 0 ELSE v - before END) / 86400 AS rate FROM i GROUP BY 1, 2)
+SELECT bucket, round(100 - avg(rate) * 100, 6) AS used FROM r GROUP BY 1
+""")
+def gauge_used_share(spark, d):
+    e = events(spark, d).select((F.col("user_id") % 20).alias("cpu"), "ts", "event_id")
+    own = Window.partitionBy("cpu").orderBy("ts", "event_id")
+    idle = e.withColumn("v", F.sum(1 + F.col("event_id") % 5).over(own)).groupBy("cpu", "ts").agg(F.max("v").cast("double").alias("value"))
+    return ts.used_share(idle, 86400, ["cpu"]).select("bucket", F.round("used", 6).alias("used"))
+
+
+@query("SELECT o_orderdate AS ts, sum(o_totalprice)::DECIMAL(18, 2) - (sum(o_totalprice) FILTER (o_orderstatus = 'O'))::DECIMAL(18, 2) AS used FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') > 0")
+def gauge_used_amount(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_orderdate", "ts")
+    amount = F.sum(F.col("o_totalprice")).cast("decimal(18,2)").alias("value")
+    return ts.used_amount(o.groupBy("ts").agg(amount), o.filter("o_orderstatus = 'O'").groupBy("ts").agg(amount))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'route ' || user_id WHEN 2 THEN 'job ' || user_id ELSE 'serie' END AS label FROM events")
+def series_labels(spark, d):
+    k, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    labels = F.when(k == 0, F.create_map(F.lit("route"), F.lit("x"), F.lit("adapter"), F.col("event_type"))).when(k == 1, F.create_map(F.lit("job"), F.lit("y"), F.lit("route"), F.concat(F.lit("route "), user))).when(k == 2, F.create_map(F.lit("job"), F.concat(F.lit("job "), user))).otherwise(F.create_map(F.lit("le"), F.lit("1")))
+    return table(spark, d, "events").select("event_id", ts.series_label(labels).alias("label"))

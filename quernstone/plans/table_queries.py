@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text
 from quernstone.operators import dedup, match, paging, relational, search
-from quernstone.session import table
+from quernstone.session import scratch, table
 from quernstone.sources import sinks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -119,7 +119,7 @@ def match_high_new(spark, d):
     owned = bought.join(p.select("p_partkey", F.col("p_name").alias("id")), "p_partkey").select("user_id", "id").distinct()
     profile = owned.select("user_id", F.lower(F.split("id", " ")[0]).alias("term")).distinct().withColumns({"years": F.lit(1.0), "ordinal": F.lit(0)})
     texts = p.select(F.col("p_name").alias("id"), F.lower("p_name").alias("text")).distinct()
-    return match.high_matches(match.score_profiles(texts, profile), owned, ["user_id", "id"])
+    return match.high_matches(match.score_profiles(texts, profile, match.HIGH_SHARE), owned, ["user_id", "id"])
 
 
 # Paging and order
@@ -138,10 +138,10 @@ def page_totals(spark, d):
     return n.select(F.lit(3).alias("page"), F.lit(50).alias("page_limit"), "total", pages.alias("total_pages"), (F.lit(3) < pages).alias("has_next"))
 
 
-@query("SELECT c_custkey, seg FROM (SELECT c_custkey, nullif(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END, '') AS seg FROM customer) ORDER BY seg DESC NULLS LAST, c_custkey LIMIT 1300")
+@query("SELECT c_custkey, seg FROM (SELECT c_custkey, nullif(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END, '') AS seg FROM customer) ORDER BY seg DESC NULLS LAST, c_custkey")
 def sort_nulls_last(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.nullif(F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_mktsegment")), F.lit("")).alias("seg"))
-    return rows.orderBy(paging.nulls_last("seg", descending=True), "c_custkey").limit(1300)
+    return rows.orderBy(paging.nulls_last("seg", descending=True), "c_custkey")
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 8")
@@ -392,3 +392,40 @@ def delete_cascade(spark, d):
 def cross_run_new(spark, d):
     existing = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return dedup.new_only(table(spark, d, "customer").select("c_custkey"), existing, "c_custkey")
+
+
+@query("WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority FROM orders) SELECT o_custkey, o_orderpriority, (count(*) OVER (PARTITION BY o_custkey)) - 1 + CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0) THEN 1 ELSE 0 END > 0 AS allowed FROM a")
+def last_method_guard(spark, d):
+    passwords = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return relational.disconnectable(table(spark, d, "orders"), passwords, "o_custkey", "o_orderpriority")
+
+
+@query("SELECT key FROM (SELECT 'jobs:' || p_type || ':' || p_partkey AS key FROM part) WHERE key NOT LIKE 'jobs:PROMO:%' AND key NOT LIKE 'jobs:%:1_'")
+def cleared_by_pattern(spark, d):
+    keys = table(spark, d, "part").select(F.concat_ws(":", F.lit("jobs"), "p_type", F.col("p_partkey").cast("string")).alias("key"))
+    return relational.cleared_keys(keys, "key", ["jobs:PROMO:*", "jobs:*:1?"])[0]
+
+
+@query("SELECT lower(trim(p_name)) AS keyword, min(p_partkey) AS ordinal FROM part GROUP BY 1")
+def keyword_store(spark, d):
+    path = scratch(spark, "keywords")
+    sinks.save_keywords(table(spark, d, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("keyword"), F.col("p_partkey").alias("ordinal")), path)
+    return sinks.load_keywords(spark, path)
+
+
+@query("SELECT 'family' AS kind, p_type AS value, p_partkey AS id FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 'brand', p_brand, p_partkey FROM part")
+def published_postings(spark, d):
+    """A second run replaces the kind that it has and leaves the other."""
+    p, path = table(spark, d, "part"), scratch(spark, "index")
+    entries = lambda rows, kind, c: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("value"), F.col("p_partkey").alias("id"))
+    sinks.publish_index(entries(p, "family", "p_brand").unionByName(entries(p, "brand", "p_brand")), path)
+    sinks.publish_index(entries(p.filter("p_size % 2 = 0"), "family", "p_type"), path)
+    return sinks.published_index(spark, path)
+
+
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY 1")
+def cached_result(spark, d):
+    """Made once, then read; never made again while it is fresh."""
+    root, made = scratch(spark, "results"), table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    sinks.result_cache(spark, root, "types", lambda: made)
+    return sinks.result_cache(spark, root, "types", lambda: made.limit(0))[0]

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from functools import reduce
+from urllib.parse import quote, unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.keywords import normalised
+
 #: Days that payloads and index entries stay.
 TTL_DAYS = 9
 
@@ -14,9 +22,13 @@ def unexpired(rows: DataFrame, now: Column) -> DataFrame:
     return rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def new_payloads(batch: DataFrame, stored: DataFrame, key: str, now: Column) -> DataFrame:
-    """Rows of the batch of which no unexpired payload is stored, with their expiry; of the same id one."""
-    fresh = batch.join(unexpired(stored, now).select(key), key, "left_anti").dropDuplicates([key])
+def new_payloads(batch: DataFrame, stored: DataFrame, key: str, now: Column, ordinal: str | None = None) -> DataFrame:
+    """Rows of the batch of which no unexpired payload is stored, with their expiry; of the same id the first by the
+    ordinal, or without one the smallest by all columns."""
+    rest = batch.join(unexpired(stored, now).select(key), key, "left_anti")
+    first = [ordinal] if ordinal else []
+    best = F.min_by(F.struct(*rest.columns), F.struct(*first, *[F.col(c).cast("string") for c in rest.columns]))
+    fresh = rest.groupBy(F.col(key).alias("_k")).agg(best.alias("_r")).select("_r.*")
     return fresh.withColumn("expires_at", now + F.expr(f"interval {TTL_DAYS} days"))
 
 
@@ -24,9 +36,43 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop.Path
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """kind -> folder of what is published; empty before the first time."""
+    fs, of = _files(spark, path)
+    if not fs.exists(of(f"{path}/manifest.json")):
+        return {}
+    (line,) = spark.read.text(f"{path}/manifest.json").first()
+    return json.loads(line)
+
+
 def publish_index(entries: DataFrame, path: str) -> None:
-    """Replaces the postings of every kind that the run touches and no others; readers see the old or the new."""
-    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+    """Replaces the postings of every kind that the run touches and no others. The run's folder is written whole, and
+    then the list of folders is renamed over the one before: readers see the old or the new. One writer at a time."""
+    spark, run = entries.sparkSession, f"{path}/run-{uuid.uuid4().hex}"
+    entries.write.partitionBy("kind").parquet(run)
+    fs, of = _files(spark, path)
+    kinds = [unquote(s.getPath().getName().split("=", 1)[1]) for s in fs.listStatus(of(run)) if "=" in s.getPath().getName()]
+    fresh = f"{path}/manifest-{uuid.uuid4().hex}"
+    out = fs.create(of(fresh), True)
+    out.write(bytearray(json.dumps({**_manifest(spark, path), **{k: f"{run}/kind={quote(k, safe='')}" for k in kinds}}).encode()))
+    out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = rename
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(of(path).toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(of(fresh), of(f"{path}/manifest.json"), options)
+
+
+def published_index(spark: SparkSession, path: str, kinds: list[str] | None = None) -> DataFrame:
+    """(kind, value, id) of all published kinds, or of some."""
+    folders = {k: f for k, f in _manifest(spark, path).items() if kinds is None or k in kinds}
+    parts = [spark.read.parquet(f).withColumn("kind", F.lit(k)).select("kind", "value", "id") for k, f in sorted(folders.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "kind string, value string, id string")
 
 
 def accumulate_ids(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -47,14 +93,37 @@ def sample_of(ids: DataFrame, key: str, n: int) -> DataFrame:
     return ids.orderBy(key).limit(n) if n > 0 else ids
 
 
-def result_cache(spark: SparkSession, root: str, key: str, make) -> tuple[DataFrame, bool]:
-    """The result stored under a key, or made and stored; whether it was there."""
-    path = f"{root}/{key}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-    if not there:
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), bool(there)
+#: Seconds that a stored result is good for.
+RESULT_SECONDS = 600
+
+
+def result_cache(spark: SparkSession, root: str, key: str, make, seconds: float = RESULT_SECONDS) -> tuple[DataFrame, bool]:
+    """The result stored under a key no longer ago than that, or made and stored; whether it was there. Each result is
+    a folder of its own, named by its time, so that readers of an older one keep it."""
+    fs, of = _files(spark, root)
+    where, now = f"{root}/{key}", time.time()
+    made = [float(s.getPath().getName()) for s in fs.listStatus(of(where))] if fs.exists(of(where)) else []
+    good = [t for t in made if now - t < seconds and fs.exists(of(f"{where}/{t:.6f}/_SUCCESS"))]
+    if good:
+        return spark.read.parquet(f"{where}/{max(good):.6f}"), True
+    make().write.parquet(f"{where}/{now:.6f}")
+    return spark.read.parquet(f"{where}/{now:.6f}"), False
+
+
+def save_keywords(keywords: DataFrame, path: str) -> None:
+    """Replaces the stored search keywords (keyword, ordinal), which never expire."""
+    normalised(keywords).write.mode("overwrite").json(path)
+
+
+def load_keywords(spark: SparkSession, path: str, defaults: str | None = None) -> DataFrame:
+    """The stored keywords; else those of a file {"KEYWORDS": [..]}; else none. keyword, ordinal."""
+    fs, of = _files(spark, path)
+    if fs.exists(of(path)):
+        return spark.read.schema("keyword string, ordinal long").json(path)
+    if defaults and fs.exists(of(defaults)):
+        listed = spark.read.schema("KEYWORDS array<string>").json(defaults, multiLine=True)
+        return normalised(listed.select(F.posexplode("KEYWORDS").alias("ordinal", "keyword")).select(F.col("ordinal").cast("long"), "keyword"))
+    return spark.createDataFrame([], "keyword string, ordinal long")
 
 
 def summary(runs: DataFrame) -> DataFrame:

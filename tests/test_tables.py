@@ -1,9 +1,10 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import keywords, relational, timeseries
+from quernstone.operators import keywords, match, relational, timeseries
 from quernstone.sources import sinks
 
 T0 = datetime(2024, 1, 1)
@@ -79,11 +80,13 @@ def test_payload_sinks(spark, tmp_path):
     first = spark.createDataFrame([("k1", "v", "1"), ("k2", "v", "1")], "kind string, value string, id string")
     sinks.publish_index(first, path)
     sinks.publish_index(spark.createDataFrame([("k1", "v", "9")], "kind string, value string, id string"), path)
-    assert sorted((r.kind, r.id) for r in spark.read.parquet(path).collect()) == [("k1", "9"), ("k2", "1")]
+    assert sorted((r.kind, r.id) for r in sinks.published_index(spark, path).collect()) == [("k1", "9"), ("k2", "1")]
+    assert [r.id for r in sinks.published_index(spark, path, ["k2"]).collect()] == ["1"] and sinks.published_index(spark, f"{tmp_path}/none").count() == 0
     made = []
     for hit in (False, True):
         df, there = sinks.result_cache(spark, f"{tmp_path}/cache", "k", lambda: made.append(1) or first)
         assert (there, df.count(), len(made)) == (hit, 2, 1)
+    assert sinks.result_cache(spark, f"{tmp_path}/cache", "k", lambda: first.limit(1), seconds=0)[1] is False
     assert [r.id for r in sinks.sample_of(first, "id", 1).collect()] == ["1"] and sinks.sample_of(first, "id", 0).count() == 2
 
 
@@ -157,3 +160,29 @@ def test_query_variants(spark):
     kw = spark.createDataFrame([("dev",), ("qa",)], "keyword string")
     syn = spark.createDataFrame([("dev", "developer"), ("qa", "tester"), ("dev", "tester")], "keyword string, synonym string")
     assert {r.query: r.keywords for r in keywords.query_variants(kw, syn).collect()} == {"dev": ["dev"], "qa": ["qa"], "developer": ["dev"], "tester": ["dev", "qa"]}
+
+
+def test_high_matches_by_rare_terms(spark):
+    """The pairs that a share leaves are those of the whole join that have it."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    texts = spark.createDataFrame([(k, " ".join(rng.sample(words, rng.randint(1, 7)))) for k in range(80)], "id int, text string")
+    profiles = spark.createDataFrame([(u, w, rng.choice([0.0, 1.0, 4.0]), 0) for u in range(20) for w in rng.sample(words, rng.randint(1, 5))], "user_id int, term string, years double, ordinal int")
+    every = {(r.user_id, r.id): r.match_score for r in match.score_profiles(texts, profiles).collect()}
+    some = {(r.user_id, r.id): r.match_score for r in match.score_profiles(texts, profiles, match.HIGH_SHARE).collect()}
+    assert {k: v for k, v in some.items() if v >= match.HIGH} == {k: v for k, v in every.items() if v >= match.HIGH} and some.items() <= every.items() and len(some) < len(every)
+
+
+def test_rate_limit_windows_across_batches(spark):
+    rng = random.Random(5)
+    rows = sorted((rng.choice("aab"), at(rng.random() * 400)) for _ in range(500))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = timeseries.fixed_windows(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 600, 3).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, start, n = [], {}, {}
+    for k, t in rows:
+        if k not in start or t >= start[k] + timedelta(seconds=600):
+            start[k], n[k] = t, 0
+        n[k] += 1
+        want.append((k, t, start[k], n[k], n[k] <= 3))
+    assert sorted(map(tuple, got)) == sorted(want)
