@@ -40,9 +40,9 @@ CACHE = 400_000
 
 #: What the tokenizer file states as its pre-tokenizer's pattern (fixed value).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Texts in which words can't be encoded one by one: literal special tokens, characters that only Python
-#: takes for space, and the letter whose lower case depends on its place.
-WHOLE = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|[\x1c-\x1fΣ]")
+#: What a text must not have if its words are to be encoded one by one: what begins special tokens, characters that only
+#: Python takes for space, and the letter whose lower case depends on its place.
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
 
 
 @cache
@@ -62,12 +62,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+@cache
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> their ids as unsigned 16-bit bytes, by the tokenizers library.
 
     The vocabulary marks the end of a word and no token goes over a space, so a text's ids are its words'
     ids one after another. Each distinct word is encoded once, the new ones of a batch together, by the
-    file's own model; texts that need more than that go through the whole tokenizer."""
+    file's own model; texts that need more than that go through the whole tokenizer. A process has one encoder, as
+    reading the file takes as long as encoding some megabytes."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -98,21 +100,27 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 words[w] = data[at:stop]
                 at = stop
 
+    def by_words(text: str) -> bool:
+        first, a, b, c, d, sigma = WHOLE
+        odd = first in text or a in text or b in text or c in text or d in text or (not text.isascii() and (sigma in text or not unicodedata.is_normalized("NFC", text)))
+        return not odd
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(chunks) > CACHE:
             chunks.clear()
         if len(words) > CACHE:
             words.clear()
-        split: list[list[str] | None] = [None if WHOLE.search(t) or not unicodedata.is_normalized("NFC", t) else t.lower().split() for t in texts]
+        split: list[list[str] | None] = [t.lower().split() if by_words(t) else None for t in texts]
         new: set[str] = set()
         for s in split:
             if s:
                 new.update(s)
         unseen = new.difference(chunks)
-        odd = sorted(c for c in unseen if not c.isascii() and unassigned().search(c))
+        beyond = [c for c in unseen if not c.isascii()]
+        odd = sorted(c for c in beyond if unassigned().search(c)) if beyond and unassigned().search(" ".join(beyond)) else []
         for c, e in zip(odd, full.encode_batch_fast(odd, add_special_tokens=False) if odd else []):
             chunks[c] = np.array(e.ids, np.uint16).tobytes()
-        parts = {c: WORD.findall(c) for c in unseen.difference(odd)}
+        parts = {c: [c] if c.isalpha() else WORD.findall(c) for c in unseen.difference(odd)}
         fresh = {w for p in parts.values() for w in p}.difference(words)
         if fresh:
             learn(sorted(fresh))
