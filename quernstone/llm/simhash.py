@@ -32,7 +32,7 @@ PIECE = 1 << 22
 #: Nodes of a bucket that meet in one task; larger buckets are split into chunks, and chunk pairs are dealt out.
 CHUNK = 4096
 #: The same where the sets of shingles themselves are compared.
-ALIKE_CHUNK = 512
+ALIKE_CHUNK = 128
 #: Rows that a task compares in one go.
 GATHER = 65_536
 
