@@ -12,6 +12,7 @@ from quernstone.llm.simhash import op1_simhash
 from quernstone.llm.syncmers import op6_syncmers
 from quernstone.llm.tokenfiles import op3_token_files
 from quernstone.llm.unitdedup import op8_substring_dedup
+from quernstone.llm.whitening import op11_whitening
 
 LLM_QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,6 +25,7 @@ LLM_QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
 }
 
 #: SQL can't express the others: hashing with a given seed and reachability, trained or learned models, files, automata.
