@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quernstone.llm.chat import OP9_SQL, op9_chat
+from quernstone.llm.kdclusters import OP12_SQL, op12_clusters
 from quernstone.llm.langid import op2_langid
 from quernstone.llm.licenses import op10_licenses
 from quernstone.llm.media import op5_media
@@ -12,6 +13,7 @@ from quernstone.llm.simhash import op1_simhash
 from quernstone.llm.syncmers import op6_syncmers
 from quernstone.llm.tokenfiles import op3_token_files
 from quernstone.llm.unitdedup import op8_substring_dedup
+from quernstone.llm.warc import OP13_SQL, op13_warc
 from quernstone.llm.whitening import op11_whitening
 
 LLM_QUERIES = {
@@ -26,7 +28,9 @@ LLM_QUERIES = {
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
     "op11_whitening": op11_whitening,
+    "op12_clusters": op12_clusters,
+    "op13_warc": op13_warc,
 }
 
 #: SQL can't express the others: hashing with a given seed and reachability, trained or learned models, files, automata.
-LLM_ORACLE = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL}
+LLM_ORACLE = {"op4_mixing": OP4_SQL, "op9_chat": OP9_SQL, "op12_clusters": OP12_SQL, "op13_warc": OP13_SQL}
