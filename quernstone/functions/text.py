@@ -6,12 +6,13 @@ import html
 import json
 import re
 import unicodedata
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.entities import unescaped
+
 
 def _folding() -> tuple[str, str]:
     """Letters whose canonical decomposition is one base letter and marks, and their bases."""
@@ -29,8 +30,8 @@ ACCENTED, PLAIN = _folding()
 #: The accent map of one board's location names (fixed values).
 PT_ACCENTED, PT_PLAIN = "áàãâéêíóôõúç", "aaaaeeiooouc"
 
-#: Named entities that HTML texts of the feeds hold; others go through `unescape_html` (fixed values).
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Runs of white space of any script.
+SPACES = r"[\s\x0B\x{85}\p{Z}]+"
 
 
 def without_accents(x: Column) -> Column:
@@ -47,12 +48,12 @@ comparable = index_value = fold
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
 def soft(x: Column) -> Column:
     """Entities resolved, lower case, slashes and dashes to spaces; accents and other punctuation stay."""
-    return collapse(F.translate(F.lower(entities(x)), "/-", "  "))
+    return collapse(F.translate(F.lower(unescaped(x)), "/-", "  "))
 
 
 def accents_pt(x: Column) -> Column:
@@ -60,7 +61,7 @@ def accents_pt(x: Column) -> Column:
 
 
 def punctuation_to_space(x: Column) -> Column:
-    return collapse(F.translate(F.lower(entities(x)), "/-_.,;:|()[]", " " * 12))
+    return collapse(F.translate(F.lower(unescaped(x)), "/-_.,;:|()[]", " " * 12))
 
 
 def ui_text(x: Column) -> Column:
@@ -91,20 +92,21 @@ def url_ui(x: Column) -> Column:
     return F.concat(F.lower(origin), F.regexp_replace(F.substr(plain, F.length(origin) + 1), "/+$", ""))
 
 
-def entities(x: Column) -> Column:
-    for name, char in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
-
-
 def strip_html(x: Column) -> Column:
-    """Visible text: without scripts, styles and tags."""
-    bare = F.regexp_replace(F.regexp_replace(x, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
-    return collapse(F.regexp_replace(bare, r"<[^>]*>", " "))
+    """Visible text: without scripts, styles and tags, also where these are written as character references; those that are
+    left afterwards are resolved, too."""
+    bare = F.regexp_replace(F.regexp_replace(unescaped(x), r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
+    return tag_text(bare)
 
 
 def strip_tags(x: Column) -> Column:
-    return collapse(F.regexp_replace(x, r"<[^>]*>", " "))
+    """The same with the text of scripts and styles."""
+    return tag_text(unescaped(x))
+
+
+def tag_text(x: Column) -> Column:
+    """The text between tags, references resolved."""
+    return collapse(unescaped(F.regexp_replace(x, r"<[^>]+>", " ")))
 
 
 #: Texts of embedded JSON that a detail page gives, their characters at least, and characters of the whole, at most (fixed values).
@@ -151,7 +153,7 @@ def detail_text(page: Column) -> Column:
 
 
 def slug(x: Column) -> Column:
-    plain = F.lower(without_accents(F.replace(entities(x), F.lit("&"), F.lit(" and "))))
+    plain = F.lower(without_accents(F.replace(unescaped(x), F.lit("&"), F.lit(" and "))))
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
@@ -197,11 +199,6 @@ def initials(x: Column) -> Column:
     return F.upper(F.array_join(F.transform(F.slice(words, 1, 2), lambda w: F.substring(w, 1, 1)), ""))
 
 
-def first_text(*parts: Column) -> Column:
-    """The first part that isn't blank, trimmed; else empty."""
-    return F.coalesce(*[F.nullif(F.trim(p), F.lit("")) for p in parts], F.lit(""))
-
-
 def longest(x: Column, ordinal: Column) -> Column:
     """Aggregate: the longest by bytes, the first of equals."""
     return F.max_by(x, F.struct(F.octet_length(x), -ordinal))
@@ -265,7 +262,3 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """rows with a column that is computed once a row, however often later expressions use it: a generator stands between,
     through which projections and filters don't carry the expression."""
     return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
-def any_column(names: Sequence[str]) -> Column:
-    return F.concat_ws(" ", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])

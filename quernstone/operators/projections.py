@@ -15,6 +15,8 @@ NO_TITLE, NO_SAVED_TITLE, NO_COMPANY, NO_PLACE, NO_SALARY, NO_TAGS = "Oportunida
 NO_DATE, SEARCHED, TYPED, JUST_NOW = "Não informado", "Busca automática", "Manual", "Agora mesmo"
 MODELS = [("Híbrido", ["hibrid", "hybrid"]), ("Remoto", ["remot", "home office", "teletrabalho", "anywhere", "worldwide"])]
 LEVELS = [("Estágio/Trainee", T.TRAINEE_SEARCH), ("Sênior", T.SENIOR), ("Júnior", T.JUNIOR)]
+#: Where addresses begin that are made for jobs without one.
+BASE = "https://jobs.invalid/"
 #: Tags that a row shows, at most (a limit of the view).
 TAGS = 6
 
@@ -37,19 +39,20 @@ def tags_of(*lists: Column) -> Column:
     return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(NO_TAGS)))
 
 
-def _link(title: Column, company: Column, location: Column, source: Column, url: Column, ordinal: Column) -> Column:
+def _link(title: Column, company: Column, location: Column, source: Column, url: Column, ordinal: Column, base: str) -> Column:
     """The address, or one made of what identifies the job where that isn't an absolute one."""
-    made = F.concat(F.lit("https://canddate.local/jobs/"), F.replace(F.url_encode(text.join_non_empty("|", title, company, location, source, ordinal.cast("string"))), F.lit("+"), F.lit("%20")))
+    made = F.concat(F.lit(base), F.replace(F.url_encode(text.join_non_empty("|", title, company, location, source, ordinal.cast("string"))), F.lit("+"), F.lit("%20")))
     return F.when(F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"), F.trim(url)).otherwise(made)
 
 
-def recommended(jobs: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Found jobs (the feeds' columns, and matchScore where it is known) as rows of the recommendations."""
+def recommended(jobs: DataFrame, ordinal: str = "ordinal", base: str = BASE) -> DataFrame:
+    """Found jobs (the feeds' columns, and matchScore where it is known) as rows of the recommendations. base begins the addresses made
+    for jobs that have none."""
     c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     title, place = or_else(c("title"), NO_TITLE), or_else(c("location"), NO_PLACE)
     none = F.expr("cast(array() as array<string>)")
     source = F.coalesce(F.nullif(F.trim(c("source")), F.lit("")), F.nullif(F.trim(F.get("sources", F.lit(0))), F.lit("")))
-    link = _link(c("title"), c("company"), c("location"), F.coalesce(source, F.lit("unknown")), c("url"), F.col(ordinal))
+    link = _link(c("title"), c("company"), c("location"), F.coalesce(source, F.lit("unknown")), c("url"), F.col(ordinal), base)
     known = F.col("matchScore").cast("int") if "matchScore" in jobs.columns else F.lit(None).cast("int")
     return jobs.select(
         F.concat(F.lit("recommended:"), link, F.lit(":"), F.col(ordinal).cast("string")).alias("id"),

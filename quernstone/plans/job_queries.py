@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import filters, infer, secrets, text
 from quernstone.functions import taxonomy as T
 from quernstone.operators import classify, index, paging, projections
-from quernstone.plans.text_queries import any_sql, fold_sql, rules_sql
+from quernstone.plans.text_queries import any_sql, fold_sql, rules_sql, unescape_sql
 from quernstone.session import table
 from quernstone.sources import feeds
 
@@ -181,9 +181,7 @@ def index_global(spark, d):
 
 
 def soft_sql(c: str) -> str:
-    for name, char in text.ENTITIES.items():
-        c = f"replace({c}, {lit_sql(name)}, {lit_sql(char)})"
-    return rf"trim(regexp_replace(translate(lower({c}), '/-', '  '), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(translate(lower({unescape_sql(c)}), '/-', '  '), '\s+', ' ', 'g'))"
 
 
 def has_sql(t: str, words) -> str:

@@ -40,7 +40,28 @@ def rules_sql(t: str, rules, default: str) -> str:
 
 
 URL_SQL = "regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')"
-HTML_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+SPACES_SQL = r"[\s\x0B\x{85}\p{Z}]+"
+#: Character references of the queries' texts and what they stand for, the ampersand last: nothing is resolved twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&eacute;": "é", "&Aring;": "Å", "&euro;": "€", "&#8364;": "€", "&#128;": "€", "&notit;": "¬it;", "&hellip;": "…", "&amp;": "&"}
+
+
+def unescape_sql(c: str) -> str:
+    for name, char in REFERENCES.items():
+        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+def html_sql(c: str, hidden: bool = True) -> str:
+    c = unescape_sql(c)
+    if hidden:
+        c = rf"regexp_replace(regexp_replace({c}, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+    bare = rf"regexp_replace({c}, '<[^>]+>', ' ', 'g')"
+    return f"trim(regexp_replace({unescape_sql(bare)}, '{SPACES_SQL}', ' ', 'g'))"
+
+
+#: References that the tables' texts lack: of names with and without accents, of numbers, of one that is a reference itself, of markup.
+WRITTEN = "caf&eacute; &Aring;&#x27;q&#39; 5&nbsp;&euro; &#8364;&#128; &notit; &hellip; &amp;lt;kept&amp;gt; &lt;script&gt;x()&lt;/script&gt;&lt;b&gt;A/b-c &amp; d&lt;/b&gt;"
+WRITTEN_SQL = "'" + WRITTEN.replace("'", "''") + "'"
 
 
 # Normalisers
@@ -61,22 +82,29 @@ def norm_url_ui_pages(spark, d):
     return table(spark, d, "pages").select("page_id", text.url_ui(F.col("url")).alias("url_ui"))
 
 
-@query(f"SELECT page_id, {HTML_SQL} AS visible FROM pages")
+@query(f"SELECT page_id, {html_sql(f'html || {WRITTEN_SQL}')} AS visible FROM pages")
 def html_strip_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("visible"))
+    return table(spark, d, "pages").select("page_id", text.strip_html(F.concat("html", F.lit(WRITTEN))).alias("visible"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM pages")
+@query(f"SELECT page_id, {html_sql(f'html || {WRITTEN_SQL}', hidden=False)} AS bare FROM pages")
 def html_strip_tags_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("bare"))
+    return table(spark, d, "pages").select("page_id", text.strip_tags(F.concat("html", F.lit(WRITTEN))).alias("bare"))
 
 
-@query(r"""
-SELECT doc_id, trim(regexp_replace(translate(lower(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '/-', '  '), '\s+', ' ', 'g')) AS soft
-FROM documents
-""")
+@query(f"SELECT doc_id, trim(regexp_replace(translate(lower({unescape_sql(f'text || {WRITTEN_SQL}')}), '/-', '  '), '{SPACES_SQL}', ' ', 'g')) AS soft FROM documents")
 def norm_soft_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.soft(F.col("text")).alias("soft"))
+    return table(spark, d, "documents").select("doc_id", text.soft(F.concat("text", F.lit(WRITTEN))).alias("soft"))
+
+
+@query(f"SELECT p_partkey, trim(regexp_replace(translate(lower({unescape_sql(f'p_name || {WRITTEN_SQL}')}), '/-_.,;:|()[]', '            '), '{SPACES_SQL}', ' ', 'g')) AS plain FROM part")
+def norm_punctuation_parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.punctuation_to_space(F.concat("p_name", F.lit(WRITTEN))).alias("plain"))
+
+
+@query(f"SELECT page_id, {unescape_sql('html')} AS page FROM pages")
+def unescaped_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", text.unescaped(F.col("html")).alias("page"))
 
 
 @query("SELECT p_partkey, translate(lower(trim(p_name)), 'áàãâéêíóôõúç', 'aaaaeeiooouc') AS plain, substr(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9_]', '', 'g'), 1, 20) AS username, regexp_replace(p_brand, '[^0-9]', '', 'g') AS digits FROM part")
@@ -85,9 +113,9 @@ def norm_names_parts(spark, d):
     return table(spark, d, "part").select("p_partkey", text.accents_pt(c).alias("plain"), text.username(c).alias("username"), text.digits(F.col("p_brand")).alias("digits"))
 
 
-@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(replace(p_name || ' & ' || p_type, '&', ' and '))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@query(f"""SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(replace({unescape_sql(f"p_name || ' & ' || p_type || {WRITTEN_SQL}")}, '&', ' and '))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part""")
 def slug_parts(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" & "), "p_type")).alias("slug"))
+    return table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" & "), "p_type", F.lit(WRITTEN))).alias("slug"))
 
 
 @query(f"SELECT p_partkey, substr(sha256({fold_sql('p_name')} || '|' || {fold_sql('p_brand')} || '|' || {fold_sql('p_type')}), 1, 24) AS id FROM part")

@@ -84,7 +84,7 @@ def greenhouse(raw: DataFrame, company: str = "board") -> DataFrame:
     pairs = text.unique_ci(F.transform(F.filter(metadata, lambda m: (s(m["name"]) != "") & (s(m["value"]) != "")), lambda m: F.concat(s(m["name"]), F.lit(": "), s(m["value"]))))
     listed = lambda title, values, sep: F.when(F.size(values) > 0, F.concat(F.lit(title), F.array_join(values, sep)))
     places = F.concat(F.array(s("r.location.name")), F.flatten(F.transform(offices, lambda o: F.array(s(o["location"]), s(o["name"])))))
-    body = text.join_non_empty("\n\n", text.strip_html(text.entities(s("r.content"))), listed("Departamentos: ", text.unique_ci(names("departments")), ", "), listed("Escritórios: ", office_names, ", "), listed("Metadados: ", pairs, "; "))
+    body = text.join_non_empty("\n\n", text.strip_html(s("r.content")), listed("Departamentos: ", text.unique_ci(names("departments")), ", "), listed("Escritórios: ", office_names, ", "), listed("Metadados: ", pairs, "; "))
     searched = text.soft(F.concat_ws(" ", s("r.title"), s("r.content"), s("r.location.name"), F.array_join(names("departments"), " "), F.array_join(office_names, " "), F.array_join(pairs, " ")))
     key = F.coalesce(F.nullif(s("r.absolute_url"), F.lit("")), F.when(F.coalesce("r.id", F.lit(0)) != 0, F.concat(F.lit("greenhouse:"), F.col("r.id").cast("string"))), s("r.title"))
     return records(r, "Greenhouse", id=key, title=s("r.title"), company=own, location=F.array_join(text.unique_ci(places), " | "), url=s("r.absolute_url"), modality=modality(searched, F.lit(""), remote=[*REMOTE, "anywhere", "worldwide", "global"]), description=body, postedAt=s("r.updated_at"))
@@ -160,7 +160,7 @@ def linkedin(pages: DataFrame, html: str = "html") -> DataFrame:
     """Cards of result pages: the fields by their classes, with the fallbacks of older pages."""
     card = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1)))
     r = pages.withColumn("c", card)
-    field = lambda *marks: F.coalesce(*[F.nullif(text.entities(text.strip_tags(F.regexp_extract("c", rf'(?s)<(\w+)[^>]*class="[^"]*{m}[^"]*"[^>]*>(.*?)</\1>', 2))), F.lit("")) for m in marks], F.lit(""))
+    field = lambda *marks: F.coalesce(*[F.nullif(text.tag_text(F.regexp_extract("c", rf'(?s)<(\w+)[^>]*class="[^"]*{m}[^"]*"[^>]*>(.*?)</\1>', 2)), F.lit("")) for m in marks], F.lit(""))
     url = text.url_key(F.regexp_extract("c", r'<a[^>]*href="([^"]+)"', 1))
     out = records(r, "LinkedIn", id=url, title=field("base-search-card__title", "job-title", "sr-only"), company=field("base-search-card__subtitle", "company-name"), location=field("job-search-card__location", "location"), url=url, postedAt=F.regexp_extract("c", r'<time[^>]*datetime="([^"]+)"', 1))
     return out.filter("title <> ''")

@@ -26,6 +26,13 @@ def one(spark, value, expr, kind="string"):
         (text.url_ui, "HTTPS://A.B/Path/?q", "https://a.b/Path"),
         (text.strip_html, "<p>a<script>var x='</p>'</script> b</p>\n<style>p{}</style>c", "a b c"),
         (text.strip_tags, "<b>x</b>&y", "x &y"),
+        (text.strip_html, "&lt;script&gt;x()&lt;/script&gt;&lt;p&gt;Hi&lt;/p&gt; &amp;lt;b&amp;gt;", "Hi <b>"),
+        (text.strip_html, "Ol&aacute;,&nbsp;&eacute;&#x27;s &#233;", "Olá, é's é"),
+        (text.strip_tags, "&lt;style&gt;p&lt;/style&gt;&middot;", "p ·"),
+        (text.soft, "Caf&Eacute;&nbsp;/&ndash;", "café –"),
+        (text.punctuation_to_space, "a&#46;b&semi;c", "a b c"),
+        (text.slug, "P&amp;D &Ccedil;", "p-and-d-c"),
+        (text.unescaped, "&amp;lt; &notit; &notin &copy &#0; &#xD800; &#x110000; &#128; &#129; &#; &x; &", "&lt; ¬it; ¬in © � � � € \x81 &#; &x; &"),
         (text.slug, "Ação &amp; Reação -- 2!", "acao-and-reacao-2"),
         (text.initials, "  ana  maria braga", "AM"),
         (text.initials, "ana", "A"),
@@ -104,3 +111,19 @@ def test_fold_is_idempotent(spark):
     values = ["Ação", "ß É x̂ y", "日本 ﬁ Ω", "a_b-c"]
     df = spark.createDataFrame([(v,) for v in values], "x string").select(text.fold(F.col("x")).alias("y"))
     assert all(r.y == r.z for r in df.withColumn("z", text.fold(F.col("y"))).collect())
+
+
+def test_every_reference(spark):
+    import html
+    import random
+
+    from quernstone.functions.entities import html5
+
+    pick = random.Random(1)
+    names = sorted(html5)
+    texts = ["&" + n + pick.choice(["", "x", " ", ";"]) for n in names]
+    texts += ["".join(pick.choice(["&", pick.choice(names), ";", "#", "34", " ", "é"]) for _ in range(12)) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", text.unescaped(F.col("t")).alias("u")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != html.unescape(t)] == []
+    assert one(spark, None, text.unescaped) is None
