@@ -6,17 +6,22 @@ would stand; windows of a notice that overlap become one. An edit spoils GRAM ru
 has fewer of the notice's runs than k edits leave holds no find, and windows shrink to the stretches with enough of them. In
 these the regex library matches the notice with at most k errors, giving the span and the number of errors.
 
+Licenses differ by a few letters, as many as an edit or two change. So a notice has words that identify it (name, version, clauses); these
+stand exactly, and edits go to the others. What is close to a notice but for its name has no label.
+
 Beside it a base count: places where a phrase's words stand consecutively.
 
 Words are runs of ASCII letters (lower-cased) and digits and of any characters beyond ASCII; a text is searched as its words
 with single spaces between, so that punctuation and line breaks don't count as edits.
 
-Defined results: a null text counts as empty: no words, no places, empty labels, score 0; overlapping places of a phrase all
+Defined results: a null text counts as empty: no words, no places, empty labels, score 0; a very long text is scanned whole, in
+windows around what was found; of finds that overlap, that of the fewest errors for its length stays, of equals the longer, then the one by name; overlapping places of a phrase all
 count; a null id is returned as null; repeated rows are all returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -31,33 +36,43 @@ from quernstone.llm.shared import documents, named, ship, sliced
 #: Phrases of the base count and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices that the fuzzy search looks for and their labels.
+#: Notices that the fuzzy search looks for and their labels. What stands in brackets tells a license from others: it must stand there word for word.
 NOTICES = {
-    "released under the mit license": "mit",
-    "licensed under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "licensed under the isc license": "isc",
-    "licensed under the apache license version 2 0": "apache-2",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution 4 0 international": "cc-by",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noderivatives": "cc-by-nd",
-    "creative commons zero v1 0 universal": "cc0",
-    "licensed under the gnu general public license version 3": "gpl-3",
-    "licensed under the gnu general public license version 2": "gpl-2",
-    "gnu affero general public license": "agpl",
-    "gnu lesser general public license": "lgpl",
-    "licensed under the mozilla public license version 2 0": "mpl-2",
-    "licensed under the eclipse public license": "epl",
-    "the boost software license version 1 0": "bsl-1",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse": "bsd-3",
-    "all advertising materials mentioning features or use of this software must display": "bsd-4",
-    "the origin of this software must not be misrepresented": "zlib",
-    "this is free and unencumbered software released into the public domain": "unlicense",
+    "released under the [mit] license": "mit",
+    "licensed under the [mit] license": "mit",
+    "permission is hereby granted free of charge to [any person obtaining] a copy of this software": "mit",
+    "with or without fee is [hereby granted provided that] the above copyright notice": "isc",
+    "with or without fee is [hereby granted the software] is provided as is": "0bsd",
+    "licensed under the [isc] license": "isc",
+    "licensed under the [bsd] license": "bsd",
+    "licensed under the [zlib] license": "zlib",
+    "licensed under the [apache] license version [2 0]": "apache-2",
+    "you may obtain a copy of the license at http www [apache org licenses license 2 0]": "apache-2",
+    "licensed under [cc by 4 0]": "cc-by",
+    "licensed under [cc by sa 4 0]": "cc-by-sa",
+    "licensed under [cc by nd 4 0]": "cc-by-nd",
+    "licensed under [cc by nc 4 0]": "cc-by-nc",
+    "licensed under [cc by nc sa 4 0]": "cc-by-nc-sa",
+    "licensed under [cc by nc nd 4 0]": "cc-by-nc-nd",
+    "[creative commons attribution noncommercial]": "cc-by-nc",
+    "[creative commons attribution 4 0] international": "cc-by",
+    "[creative commons attribution sharealike]": "cc-by-sa",
+    "[creative commons attribution noderivatives]": "cc-by-nd",
+    "[creative commons attribution noncommercial sharealike]": "cc-by-nc-sa",
+    "[creative commons attribution noncommercial noderivatives]": "cc-by-nc-nd",
+    "[creative commons zero] v1 0 universal": "cc0",
+    "licensed under the [gnu general public] license version [3]": "gpl-3",
+    "licensed under the [gnu general public] license version [2]": "gpl-2",
+    "licensed under the [gnu affero general public] license": "agpl",
+    "licensed under the [gnu lesser general public] license": "lgpl",
+    "licensed under the [mozilla public] license version [2 0]": "mpl-2",
+    "licensed under the [eclipse public] license": "epl",
+    "the [boost software] license version 1 0": "bsl-1",
+    "[redistribution and use in source and binary forms] with or without modification are permitted": "bsd",
+    "[neither the name] of the copyright holder nor the names of its contributors may be used to [endorse]": "bsd-3",
+    "all [advertising materials] mentioning features or use of this software must display": "bsd-4",
+    "the [origin of this software must not be misrepresented]": "zlib",
+    "this is free and unencumbered software released into the [public domain]": "unlicense",
 }
 #: A notice may have one edit for so many characters.
 CHARS_PER_EDIT = 10
@@ -75,14 +90,36 @@ def plain(text: str | None) -> str:
     return b" ".join((text or "").encode("utf-8", "replace").translate(TABLE).split()).decode()
 
 
+class Part(NamedTuple):
+    """A stretch of a notice: exact words, or fuzzy ones with the pattern of their place (before, between or after exact ones)."""
+
+    text: str
+    pattern: regex.Pattern | None
+
+
 class Notice(NamedTuple):
     text: str
     label: str
     edits: int
-    pattern: regex.Pattern
+    parts: list[Part]
     grams: Counter[str]
 
 
+def notice_of(marked: str, label: str) -> Notice:
+    """A notice from its text with brackets around what is exact."""
+    text = marked.replace("[", "").replace("]", "")
+    edits = edits_of(text)
+    pieces = [x for x in (p.strip() for p in re.split(r"(\[[^]]*\])", marked)) if x]
+    parts = []
+    for k, x in enumerate(pieces):
+        if x.startswith("["):
+            parts.append(Part(x[1:-1], None))
+        else:
+            end = "$" if k + 1 < len(pieces) else ""
+            parts.append(Part(x, regex.compile(f"(?:{regex.escape(x)}){{e<={edits}}}{end}", regex.BESTMATCH)))
+    return Notice(text, label, edits, parts, grams_of(text))
+
+
 class Found(NamedTuple):
     label: str
     notice: str
@@ -106,12 +143,45 @@ def grams_of(text: str) -> Counter[str]:
     return Counter(text[i : i + GRAM] for i in range(len(text) - GRAM + 1))
 
 
+def _places(text: str, words: str, start: int, stop: int) -> Iterator[int]:
+    """Where words stand in text[start:stop] as whole words."""
+    at = text.find(words, start, stop)
+    while at >= 0:
+        if (at == 0 or text[at - 1] == " ") and text[at + len(words) : at + len(words) + 1] in ("", " "):
+            yield at
+        at = text.find(words, at + 1, stop)
+
+
+def _following(text: str, parts: list[Part], at: int, stop: int, edits: int) -> Iterator[tuple[int, int]]:
+    """Ends and numbers of edits of the ways in which parts follow exact words that end at a place."""
+    if edits < 0:
+        return
+    if not parts:
+        yield at, 0
+        return
+    fuzzy, more = parts[0], parts[1:]
+    if text[at : at + 1] != " ":
+        return
+    at += 1
+    if not more:
+        m = fuzzy.pattern.match(text[at : min(stop, at + len(fuzzy.text) + edits)])
+        if m and (errors := sum(m.fuzzy_counts)) <= edits:
+            yield at + m.end(), errors
+        return
+    near = at + max(0, len(fuzzy.text) - edits)
+    for there in _places(text, more[0].text, near, min(stop, at + len(fuzzy.text) + edits + 1 + len(more[0].text))):
+        m = fuzzy.pattern.fullmatch(text[at : there - 1])
+        if m and (errors := sum(m.fuzzy_counts)) <= edits:
+            for b, rest in _following(text, more[1:], there + len(more[0].text), stop, edits - errors):
+                yield b, errors + rest
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] | None = None, phrases: dict[str, str] | None = None):
         import ahocorasick
 
         self.phrases = PHRASES if phrases is None else phrases
-        self.notices = [Notice(t, label, e := edits_of(t), regex.compile(f"(?:{regex.escape(t)}){{e<={e}}}", regex.BESTMATCH), grams_of(t)) for t, label in (NOTICES if notices is None else notices).items()]
+        self.notices = [notice_of(t, label) for t, label in (NOTICES if notices is None else notices).items()]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(self.notices):
             for at, piece in pieces_of(n.text, n.edits):
@@ -186,14 +256,20 @@ class Scanner:
         return out
 
     def matches(self, n: Notice, text: str, start: int, stop: int) -> Iterator[Found]:
-        """The best match of a stretch, and those of what is left on both sides of it: the pattern itself finds none before its best."""
-        todo = [(start, stop)]
-        while todo:
-            a, b = todo.pop()
-            if b - a >= len(n.text) - n.edits and (m := n.pattern.search(text, a, b)):
-                errors = sum(m.fuzzy_counts)
-                yield Found(n.label, n.text, m.start(), m.end(), errors, 1 - errors / len(n.text))
-                todo += [(a, m.start()), (m.end(), b)]
+        """A find for each place of a notice's first exact words in a stretch, where what stands around has few enough edits."""
+        first = next(k for k, p in enumerate(n.parts) if p.pattern is None)
+        for at in _places(text, n.parts[first].text, start, stop):
+            a, errors = at, 0
+            if first:
+                if at == 0:
+                    continue
+                low = max(start, at - 1 - len(n.parts[0].text) - n.edits)
+                m = n.parts[0].pattern.search(text[low : at - 1])
+                if m is None:
+                    continue
+                a, errors = low + m.start(), sum(m.fuzzy_counts)
+            for b, more in _following(text, n.parts[first + 1 :], at + len(n.parts[first].text), stop, n.edits - errors):
+                yield Found(n.label, n.text, a, b, errors + more, 1 - (errors + more) / len(n.text))
 
     def fuzzy(self, text: str) -> list[Found]:
         """Notices within their edits, by place. Of finds that overlap, the one of fewest errors for its length stays,
