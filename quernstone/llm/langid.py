@@ -6,12 +6,12 @@ and the result is compressed in pieces of PIECE characters, so that a long text
 throughout and not against its own beginning. The sizes of all pieces count, whatever the text's length.
 
 The dictionaries come from a bounded sample of the labelled rows: SAMPLE_ROWS rows a language at most,
-those with the smallest hash of their id. Each of them has an equal share of the DICTIONARY_BYTES; a text that is longer than
+those with the smallest hash of their id and text, a repeated row once, whatever number of rows share an id. Each of them has an equal share of the DICTIONARY_BYTES; a text that is longer than
 that gives stretches from its beginning to its end, evenly spaced.
 
 Defined results: a null text, or one without a letter (Unicode's category L), is `und` with score 0 and rejected; where two languages
 tie, pieces are measured again with their words rotated, and what ties even so goes to the language that comes first by name; a null id counts as no held-out row and is not learned from;
-repeated rows are all returned; without any labelled row every text is `und`; extra columns are kept
+repeated rows are all returned, and learned from once; a very long text is compressed in pieces, whole; without any labelled row every text is `und`; extra columns are kept
 by `keep_identified`, whatever their names, and not read otherwise.
 """
 
@@ -23,13 +23,15 @@ from itertools import groupby
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, map_rows, named, ship, sliced
+from quernstone.llm.shared import documents, map_rows, materialize, named, release, ship, sliced
 
 #: Rows a language that the dictionaries are taken from, at most.
 SAMPLE_ROWS = 400
+#: Languages that are learned, at most: those with the most rows (of equals the first by name). The rest counts as not labelled.
+LANGUAGES = 100
 #: Bytes of a dictionary, about.
 DICTIONARY_BYTES = 100_000
 #: Stretches that a sampled text is read in, and their characters: evenly spaced over the whole text.
@@ -53,24 +55,50 @@ def normalised(text: str) -> str:
     return " ".join([w for w, _ in groupby(NO_LETTERS.sub(" ", text.lower()).split())])
 
 
+def picks(rows: DataFrame) -> dict[str, int]:
+    """For each language that is learned, the place up to which its rows are in the sample. rows: lang, place (of id and text, so
+    repeated rows have one place).
+
+    Distinct places are spread evenly, so a share of their range is ranked that holds about twice as many as wanted; where it holds
+    fewer it is widened, at last to all. A row a language comes to the driver, of LANGUAGES languages at most."""
+    places = materialize(rows.distinct(), "sample-places")
+    many = places.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many"), "lang").limit(LANGUAGES)
+    share = {lang: (2.0 * SAMPLE_ROWS + 100) / n for lang, n in many.collect()}
+    found: dict[str, int] = {}
+    while share:
+        bound = _by_language({lang: min(HASHES, int(HASHES * x)) for lang, x in share.items()})
+        near = places.filter(F.col("place") < bound).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("n") <= SAMPLE_ROWS)
+        got = {lang: (n, last) for lang, n, last in near.groupBy("lang").agg(F.count(F.lit(1)), F.max("place")).collect()}
+        settled = {lang: got[lang][1] for lang, x in share.items() if lang in got and (got[lang][0] == SAMPLE_ROWS or x >= 1)}
+        found |= settled
+        share = {lang: x * 4 for lang, x in share.items() if lang not in settled}
+    release(places)
+    return found
+
+
+def _by_language(values: dict[str, int]) -> Column:
+    """A value for each language, null for the others."""
+    keys, longs = (F.array(*[F.lit(x) for x in xs]) for xs in (values.keys(), values.values()))
+    return F.element_at(F.map_from_arrays(keys, longs.cast("array<long>")), F.col("lang"))
+
+
 def learn(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, bytes]:
-    """A dictionary for each language. The ids are picked from two narrow columns; then the picked rows' stretches are read:
-    SAMPLE_ROWS * STRETCHES * STRETCH_CHARS characters a language at most come to the driver."""
+    """A dictionary for each language. A place for each row is written, of which the smallest SAMPLE_ROWS a language are
+    picked; then the picked rows' stretches are read, once for rows that are repeated: SAMPLE_ROWS * STRETCHES *
+    STRETCH_CHARS characters a language at most come to the driver, of LANGUAGES languages at most (the most frequent ones)."""
     labelled = docs.filter(named(lang_col).isNotNull() & named(id_col).isNotNull() & named(text_col).isNotNull())
     rows = labelled.select(named(id_col).alias("id"), named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
-    # a share of the hash range that holds about twice the rows wanted, so that a large language isn't ranked in one task
-    ids = rows.select("id", "lang")
-    place = F.pmod(F.xxhash64("id"), F.lit(HASHES))
-    many = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
-    near = ids.join(F.broadcast(many), "lang").filter(place < F.lit(HASHES) * (2.0 * SAMPLE_ROWS + 100) / F.col("many"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
-    picked = near.select("id", "lang").distinct().withColumn("n", order).filter(F.col("n") <= SAMPLE_ROWS).select("id", "lang")
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)).alias("place"))
+    last = picks(rows.select("lang", "place"))
+    if not last:
+        return {}
     spare = F.greatest(F.length("text") - STRETCH_CHARS, F.lit(0))
     spaced = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(F.col("text"), F.floor(k * spare / (STRETCHES - 1)).cast("int") + 1, F.lit(STRETCH_CHARS)))
     parts = F.when(F.length("text") <= STRETCHES * STRETCH_CHARS, F.array("text")).otherwise(spaced)
+    picked = rows.filter(F.col("place") <= _by_language(last)).select("lang", "place", parts.alias("parts")).groupBy("lang", "place").agg(F.min("parts").alias("parts"))
     texts: dict[str, list[tuple[int, list[str]]]] = {}
-    for key, lang, some in rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").select(place, "lang", parts).collect():
-        texts.setdefault(lang, []).append((key, some))
+    for lang, place, some in picked.collect():
+        texts.setdefault(lang, []).append((place, some))
     return {lang: dictionary([x for _, x in sorted(texts[lang])]) for lang in sorted(texts)}
 
 

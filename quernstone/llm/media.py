@@ -10,7 +10,7 @@ Readers take the columns from the index: a range read of the image's header fill
 depth without the payload; features need the payload, read by the same offsets.
 
 Defined results: a null text counts as empty (one row of 64 zeros); equal texts have equal values in every
-column; a null id is returned as null; repeated rows are all returned; an empty table writes no shard; other
+column; a very long text is one image, whole; a null id is returned as null; repeated rows are all returned; an empty table writes no shard; other
 columns are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, fresh_path, materialize, named, posix, ship, sliced
+from quernstone.llm.shared import documents, fresh_path, materialize, named, posix, release, ship, sliced
 
 WIDTH = 64
 #: Bytes after which a task begins another shard.
@@ -230,6 +230,8 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = store(documents(spark, sf_dir), fresh_path(spark, "media"))
     places = materialize(addressed(rows), "media-places")
     # the metadata columns come from the headers alone, what needs the payload from the whole images
-    found = features(places).join(headers(places), "digest")
+    # and are written: a join above a join on the same key couldn't split the rows of a frequent digest
+    found = materialize(features(places).join(headers(places), "digest"), "media-columns")
+    release(places)
     out = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "depth")

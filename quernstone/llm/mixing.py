@@ -76,7 +76,9 @@ def schedule(spark: SparkSession, shares: list[int], slots: int) -> DataFrame:
     given, parts = [0] * len(shares), []
     for start in range(0, slots, ROUND):
         stop = min(slots, start + ROUND)
-        one = materialize(spark.range(1).select(_round(given, shares, start, stop).alias("r")).select("r.*"), "mix-round")
+        one = spark.range(1).select(_round(given, shares, start, stop).alias("r")).select("r.*")
+        if slots > ROUND:  # a round is read for its slots and for what the next one begins with
+            one = materialize(one, "mix-round")
         if stop < slots:
             given = list(one.select("given").first()[0])
         parts.append(one.select(F.posexplode(F.flatten("runs")).alias("at", "s")).select("s.i", "s.place", (F.col("at") + F.lit(start)).cast("long").alias("slot")))
@@ -87,9 +89,9 @@ def schedule(spark: SparkSession, shares: list[int], slots: int) -> DataFrame:
 
 
 def places(rows: DataFrame, source: str, order: list[str], size: DataFrame) -> DataFrame:
-    """Adds `place`: 0, 1, .. within each source, in order of the md5 of the first order column and then of the
-    order columns. Ranges of the md5 are the buckets. size: a row a source with its number of rows, n."""
-    key = F.md5(F.coalesce(F.col(order[0]).cast("string"), F.lit("")))
+    """Adds `place`: 0, 1, .. within each source, in order of the md5 of the order columns together and then of the
+    order columns. Ranges of the md5 are the buckets: a key that many rows share is dealt out by the other columns. size: a row a source with its number of rows, n."""
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("_n") / BUCKET_ROWS)).cast("long")
     part = F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int")
     # a key without nulls, so that the window and the join are dealt alike and the rows move once
@@ -111,7 +113,7 @@ def _mix(rows: DataFrame, source: str, order: list[str], weights: dict[str, int]
     size allows it, and elsewhere splits what is frequent."""
     spark = rows.sparkSession
     size = materialize(rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")), "mix-sources")
-    weighted = materialize(size.select(F.col(source).alias("source"), "n", weight_of(F.col(source), weights, default).alias("weight")), "mix-weights")
+    weighted = size.select(F.col(source).alias("source"), "n", weight_of(F.col(source), weights, default).alias("weight"))
     # a row a different weight: as many as the caller named, and the default
     groups = sorted(tuple(r) for r in weighted.groupBy("weight").agg(F.count(F.lit(1)), F.max("n")).collect())
     if not groups:
@@ -192,7 +194,7 @@ fold AS (
 slots AS (
   SELECT l.s[k].weight AS weight, t - 1 AS slot, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS place, l.period, l.s[k].share AS share FROM fold, listed l WHERE k IS NOT NULL),
 placed AS (
-  SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, lang, n_chars) - 1) // 16 AS block FROM documents),
+  SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(lang, '') || '|' || coalesce(CAST(n_chars AS VARCHAR), '')), doc_id, lang, n_chars) - 1) // 16 AS block FROM documents),
 gaps AS (
   SELECT min(((ceil(z.n / 16)::BIGINT * z.many + z.turn) // x.share) * x.period + x.slot) AS gap
   FROM members z JOIN slots x ON z.weight = x.weight AND x.place = (ceil(z.n / 16)::BIGINT * z.many + z.turn) % x.share)

@@ -8,7 +8,7 @@ reports a star for each group it finds, never its pairs, and stars are joined in
 
 Defined results: null or blank texts have fingerprint 0 and link like any other; a null id gets a
 null component and links nothing; rows that share an id link what any of their texts link;
-repeated rows are all returned; an empty table gives no rows; other columns are not read.
+repeated rows are all returned; a very long text is hashed in pieces, whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ def _cells(nodes: DataFrame, lanes: int, keys: list[list[int]]) -> DataFrame:
     """Buckets of two or more, dealt out as cells. A bucket of more than CHUNK nodes becomes chunks by
     a hash of the node, and each pair of chunks a cell: no task holds more than about two chunks of a bucket."""
     rows = _bucketed(nodes, lanes, keys)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    # written before the join: right above the aggregation it would need each bucket in one task
+    sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "bucket-sizes")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     return (
         rows.join(sizes, "bucket")
@@ -385,33 +386,31 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         was = state(now)
         if was == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._written_to = now._written_to  # type: ignore[attr-defined]
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 256, radius: int | None = None, recall: float = 0.98, bands: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, radius: int = 3, bands: int = 5) -> DataFrame:
     """doc_id, fingerprint words w0.., component_id (the smallest doc_id reachable) for each row of docs.
 
-    With `bands`, keys are chosen so that every pair within the radius meets. Without, fingerprints of
-    texts at `similarity` meet with probability `recall` at least, and the radius is the distance expected
-    at that similarity and one standard deviation."""
+    The keys are chosen so that every pair within the radius meets."""
     spark, lanes = docs.sparkSession, bits // 64
     names = [f"w{k}" for k in range(lanes)]
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, lanes), "fingerprints")
-    nodes = materialize(prints.filter("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
-    if bands:
-        assert radius is not None
-        keys = exact_keys(bits, radius, bands)
-    else:
-        radius = radius_for(bits, similarity) if radius is None else radius
-        keys = similarity_keys(bits, similarity, nodes.count(), recall)
-    found = _links_of_cells(_cells(nodes, lanes, keys), lanes, radius)
+    some = prints.filter("doc_id is not null")
+    nodes = materialize(some.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    found = _links_of_cells(_cells(nodes, lanes, exact_keys(bits, radius, bands)), lanes, radius)
     # Two fingerprints may share their smallest id if rows share an id; then ids link, too.
-    ids = prints.filter("doc_id is not null").join(nodes, names).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
-    repeated = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("u"))
-    stars = components(spark, found.unionByName(ids.join(repeated, "u", "left_semi")))
-    roots = nodes.join(stars, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    repeated = materialize(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    ids = some.join(repeated, "doc_id", "left_semi").join(nodes, names).select(F.col("doc_id").alias("u"), F.col("node").alias("v")).filter("u <> v")
+    stars = components(spark, found.unionByName(ids))
+    roots = materialize(nodes.join(stars, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id")), "roots")
     linked = prints.join(roots, names, "left")
-    return linked.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = materialize(linked.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "near-duplicates")
+    for done in (prints, nodes, repeated, stars, roots):
+        release(done)
+    return out
 
 
 def hex_words(names: list[str]) -> Column:
@@ -422,7 +421,7 @@ def hex_words(names: list[str]) -> Column:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.shared import documents
 
-    out = near_duplicates(documents(spark, sf_dir), shingle=3, bits=64, radius=3, bands=5)
+    out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", hex_words(["w0"]).alias("fingerprint"), "component_id")
 
 
@@ -576,7 +575,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = materialize(_sets(rows.join(asked, row), shingle).dropDuplicates(["grp", "node"]), "shingle-sets")
     found = _alike_in_groups(spark, sets, similarity)
     out = materialize(prints.select(*row, "node").join(found, "node", "left").select(*row, F.coalesce("root", "node").alias("grp")), "near-groups")
-    for done in (prints, nodes, asked, sets):
+    for done in (prints, nodes, stars, asked, sets, found):
         release(done)
     return out
 

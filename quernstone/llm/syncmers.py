@@ -5,7 +5,8 @@ edges. Whether it is one depends on its own k code points only, so an edit moves
 near it and no others: shared passages keep their anchors wherever they stand.
 
 `passages` matches by position: an anchor that other texts have before is tied to its first occurrence of all, and ties
-of two texts with the same shift between their positions make a passage. Each anchor has one tie, however many texts share it:
+of two texts with the same shift between their positions make a passage. `compared` does the same for a text against its edited form and against the
+next document, and counts the code points that such passages cover. Each anchor has one tie, however many texts share it:
 no pairs are made within a group. Both places of a copied passage may be tied to a third.
 
 A fingerprint keeps the smallest anchor hash of each of BINS ranges of hash values, 16 bits of it, as hex.
@@ -14,7 +15,7 @@ of the Jaccard similarity of their anchor sets.
 
 Defined results: a null text counts as empty; a text without a syncmer (shorter than K) has one anchor, its
 whole self; the empty text has none, its fingerprint is all `----`, and its likeness is 1 to another such and 0 to
-any other; equal texts have equal fingerprints; rows of the same id follow each other by a hash of their text, descending,
+any other; equal texts have equal fingerprints; a very long text is hashed in pieces, whole; rows of the same id follow each other by a hash of their text, descending,
 and then by the text; null ids come last; an id that many rows share, and null ids, are several parts' work; in `passages` a document
 is its id and its text, repeated rows are one; a table of one row is its own next; an empty table gives no rows; other columns are not read.
 """
@@ -96,6 +97,26 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def matched(at: np.ndarray, h: np.ndarray, at_: np.ndarray, h_: np.ndarray, least: int = LEAST) -> int:
+    """Code points of a text that stand in another one, too, in the same order: each anchor is tied to its first occurrence there, ties of the
+    same shift make a passage, and passages of `least` anchors or more count, from their anchors' first code points to their last."""
+    first, where = np.unique(h_, return_index=True)
+    if not len(first) or not len(h):
+        return 0
+    k = np.minimum(np.searchsorted(first, h), len(first) - 1)
+    tied = first[k] == h
+    own = at[tied]
+    shift = own - at_[where[k[tied]]]
+    order = np.lexsort((own, shift))
+    own, shift = own[order], shift[order]
+    edges = np.flatnonzero(np.r_[True, shift[1:] != shift[:-1]]) if len(own) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[edges, len(own)])
+    own = np.sort(own[np.repeat(counts >= least, counts)])
+    if not len(own):
+        return 0
+    return int(np.minimum(np.diff(own), K).sum()) + K
+
+
 def print_of(text: str | None) -> str:
     return fingerprint(sketch(anchors(text)[1]))
 
@@ -198,23 +219,28 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's fingerprint, that of its edited text, and its likeness to that and to the next document's."""
+    """Each row's fingerprint, that of its edited text, its likeness to that and to the next document's, and how many of its code points stand
+    in passages of these (matched by position). A task holds one row's anchors at a time, and those of the one before."""
     ship(docs.sparkSession)
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, matched_edited long, matched_next long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int | None, str, str] | None = None  # a row waits for the one that follows
-        for batch in sliced(batches):
+        held: tuple | None = None  # a row waits for the one that follows
+        for batch in sliced(batches, 100):
             out = []
             for part, ahead, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = print_of(text)
+                at, h = anchors(text)
+                own = fingerprint(sketch(h))
                 if held and held[0] == part:
-                    other = edited(held[2], text)
-                    theirs = print_of(other)
-                    out.append((held[1], len(held[2]), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), held[3], theirs, likeness(held[3], theirs), likeness(held[3], own)))
-                held = None if ahead else (part, doc_id, text, own)
+                    _, held_id, before, its, at_, h_ = held
+                    other = edited(before, text)
+                    to, other_h = anchors(other)
+                    theirs = fingerprint(sketch(other_h))
+                    digest = hashlib.sha256(other.encode("utf-8", "replace")).hexdigest()
+                    out.append((held_id, len(before), digest, its, theirs, likeness(its, theirs), likeness(its, own), matched(at_, h_, to, other_h), matched(at_, h_, at, h)))
+                held = None if ahead else (part, doc_id, text, own, at, h)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 

@@ -120,3 +120,28 @@ def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(k, t, lang, "s", "p") for k, t, lang, *_ in rows(30)], "doc_id long, text string, lang string, `a.b` string, rejected string")
     kept = L.keep_identified(df, L.learn(df, "text", "lang", "doc_id"))
     assert kept.columns == df.columns and {r["a.b"] for r in kept.collect()} == {"s"}
+
+
+@pytest.mark.parametrize("ids", [1, 10, 100, 5000])
+def test_rows_that_share_ids_are_sampled_one_by_one(spark, monkeypatch, ids):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 40)
+    reached = []
+    monkeypatch.setattr(L, "dictionary", lambda texts: reached.append(len(texts)) or b"".join(x for t in texts for x in map(str.encode, t)))
+    df = spark.range(5000).selectExpr(f"id % {ids} AS doc_id", "concat('w', id) AS text", "if(id < 30, 'few', 'many') AS lang")
+    got = L.learn(df.unionAll(df).unionAll(df), "text", "lang", "doc_id")
+    assert sorted(got) == ["few", "many"] and sorted(reached) == [30, 40]
+
+
+def test_a_row_that_is_most_of_the_table_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_ROWS", 20)
+    reached = []
+    monkeypatch.setattr(L, "dictionary", lambda texts: reached.append(texts) or b"x")
+    df = spark.range(2000).selectExpr("if(id < 1900, 7, id) AS doc_id", "if(id < 1900, 'same', concat('w', id)) AS text", "'en' AS lang")
+    assert L.learn(df, "text", "lang", "doc_id") == {"en": b"x"}
+    assert len(reached[0]) == 20 and sum(t == ["same"] for t in reached[0]) <= 1
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 3)
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('w', id) AS text", "concat('l', cast(least(sqrt(id), 9) as int)) AS lang")
+    assert sorted(L.learn(df, "text", "lang", "doc_id")) == ["l7", "l8", "l9"]

@@ -82,3 +82,14 @@ def test_query_takes_metadata_from_headers(spark, tmp_path):
     for k, t in enumerate(TEXTS):
         n, payload = M.payload_of(t)
         assert (got[k].n_bytes, got[k].payload_bytes, got[k].width, got[k].height, got[k].depth) == (n, len(payload), 64, len(payload) // 64, 8)
+
+
+def test_rows_of_a_frequent_digest_are_dealt_out(spark, tmp_path):
+    """Both sides of the last join come from files through exchanges of their own, so that adaptive execution may split either."""
+    spark.createDataFrame([(k, "same", None, 1) for k in range(50)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.op5_media(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(digest") == 2 and "Aggregate" not in plan

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quernstone.llm import mixing as M
 
 SCHEMA = "doc_id long, source string, text string, slot string, place int"
@@ -62,6 +64,16 @@ def test_all_rows_and_less_than_a_block_off(spark, monkeypatch, bucket):
         assert all(abs(seen[s] - w * (t + 1) / total) < 1 for s, w in weights.items())
 
 
+def test_rows_of_one_id_are_dealt_out_by_the_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 16)
+    df = spark.range(1000).selectExpr("cast(null as long) AS doc_id", "'a' AS source", "id AS n")
+    plan = M.mix(df, order=["doc_id", "n"], weights={"a": 2})
+    got = plan.collect()
+    assert sorted(r.place for r in got) == list(range(1000))
+    parts = F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(""), F.col("n").cast("string"))), 1, 8), 16, 10).cast("long") * 63 / F.lit(1 << 32))
+    assert df.groupBy(parts).count().agg(F.max("count")).first()[0] < 60
+
+
 def test_rows_as_they_are(spark):
     rows = data() + [(None, "a", None, None, None), (None, "a", None, None, None), (1, "b", "", "y", 2), (1, "b", "", "y", 2)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -77,10 +77,36 @@ def slow(spark, rows):
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
         f, g, h = (S.print_of(x) for x in (t, e, n))
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, S.likeness(f, g), S.likeness(f, h)))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), f, g, S.likeness(f, g), S.likeness(f, h), covered(t, e), covered(t, n)))
     return out
 
 
+def covered(text, other):
+    """Code points of text in passages of other, by the definition."""
+    first, ties, out = {}, {}, set()
+    for p, h in zip(*(x.tolist() for x in S.anchors(other))):
+        first.setdefault(h, p)
+    for p, h in zip(*(x.tolist() for x in S.anchors(text))):
+        if h in first:
+            ties.setdefault(p - first[h], []).append(p)
+    for at in ties.values():
+        if len(at) >= S.LEAST:
+            out |= {x for p in at for x in range(p, p + S.K)}
+    return len(out)
+
+
+def test_matched_code_points():
+    rng = random.Random(8)
+    for _ in range(40):
+        shared = words(rng, rng.randint(0, 60))
+        a, b = words(rng, 30) + shared + words(rng, 10), words(rng, rng.randint(0, 30)) + shared + words(rng, 5) + shared[: rng.randint(0, 200)]
+        got = S.matched(*S.anchors(a), *S.anchors(b))
+        assert got == covered(a, b)
+        if len(shared) > 150:
+            assert 0.7 * len(shared) < got < len(shared) + 3 * S.K
+    assert S.matched(*S.anchors(""), *S.anchors("")) == 0 == S.matched(*S.anchors(a), *S.anchors(""))
+
+
 def test_ids_that_many_rows_share_are_cut(spark):
     rng = random.Random(3)
     rows = [(None if k % 2 == 0 else 5 if k % 4 == 1 else k, f"{k} {words(rng, 5)}", "x", 1) for k in range(300)]
