@@ -1,6 +1,6 @@
 """From raw documents to token ids: each stage calls one operator and works on all that the one before kept.
 
-Every stage takes nulls in any column, repeated rows and an empty table, and hands on further columns of docs whatever their
+Every stage takes nulls in any column, repeated rows, very long texts (worked on whole, in pieces) and an empty table, and hands on further columns of docs whatever their
 names; `encode` puts a column of its own (mix_slot, mix_place, n_pieces, ids, same) in the place of one of that name."""
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import langid, mixing, sentpieces, simhash, unitdedup
-from quernstone.llm.shared import documents, materialize, named
+from quernstone.llm.shared import documents, materialize, named, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns])
 
 
-#: How mix_sources and encode mix: the same rows by the same key have the same places.
+#: How mix_sources and encode mix: the same rows by the same key have the same places. A stage between others returns the columns of
+#: documents and no more, so encode works the places out again, from narrow columns; they aren't handed on.
 MIX = {"order": ["doc_id", "lang", "n_chars"], "weights": mixing.WEIGHTS}
 
 
@@ -66,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = materialize(stage(spark, docs, sf_dir), f"stage-{name}"), docs
+        release(before)  # what the stage before wrote; the table itself stays
     return docs
