@@ -1,7 +1,8 @@
 """Rates, ratios and quantiles of metric series.
 
-Samples are rows (series, ts, value) of counters that may be reset, or plain events. Rates are increases in a
-window by its length: a reset counts from zero, and nothing is extrapolated to the window's edges.
+Samples are rows (series, ts, value) of counters that may be reset, or plain events. Two kinds of rates: of tumbling windows, increases
+by the window's length, a reset counting from zero and nothing extrapolated; and at the points of a grid, from what a sliding window
+before each point holds, extrapolated to the window's edges as the monitoring system's own query language does.
 Quantiles of cumulative buckets interpolate linearly inside a bucket."""
 
 from __future__ import annotations
@@ -50,10 +51,13 @@ def histogram(rows: DataFrame, value: str, bounds: list[float], by: list[str] |
 
 
 def bucket_quantile(buckets: DataFrame, q: float, by: list[str] | None = None) -> DataFrame:
-    """The quantile that cumulative buckets (le, n) give. In the bucket of infinity it is the largest finite bound."""
+    """The quantile that cumulative buckets (le, n) give: counts, or rates. In the bucket of infinity it is the largest finite bound. A
+    bucket with less than a smaller one counts as much as that; without a bucket of infinity, or with nothing in it, there is no quantile."""
     groups = by or []
-    listed = buckets.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("le", "n"))).alias("b"))
-    total = F.get("b", F.size("b") - 1)["n"]
+    listed = buckets.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("le", "n"))).alias("_b"))
+    upto = lambda x, i: F.struct(x["le"].alias("le"), F.array_max(F.transform(F.slice("_b", 1, i + 1), lambda y: y["n"])).alias("n"))
+    listed = listed.withColumn("b", F.transform("_b", upto))
+    total = F.when(F.get("b", F.size("b") - 1)["le"] == float("inf"), F.get("b", F.size("b") - 1)["n"])
     rank = total * F.lit(q)
     at = F.array_position(F.transform("b", lambda x: x["n"] >= rank), True).cast("int") - 1
     work = listed.withColumns({"_rank": rank, "_at": at, "_total": total})
@@ -64,6 +68,102 @@ def bucket_quantile(buckets: DataFrame, q: float, by: list[str] | None = None) -
     return work.select(*groups, value.cast("double").alias("quantile"))
 
 
+# Range vectors: what a sliding window before each point of a grid holds
+
+
+def running_increase(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None, span: int = 86_400) -> DataFrame:
+    """Adds `total`: how much the counter has risen since its series' first sample, over all resets.
+
+    A series is summed in spans of so many seconds side by side. A row a span then tells what it adds and what was added between
+    the last sample of one and the first of the next, so no task needs a whole series."""
+    place = [ts] + [tie] * bool(tie)
+    own = Window.partitionBy(*series, "_span").orderBy(*place)
+    rise = lambda now, before: F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
+    dealt = samples.withColumn("_span", F.floor(F.unix_seconds(ts) / span)).withColumn("_step", rise(F.col(value), F.lag(value).over(own)))
+    rows = dealt.withColumn("_inside", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = dealt.groupBy(*series, "_span").agg(F.min_by(value, F.struct(*place)).alias("_first"), F.max_by(value, F.struct(*place)).alias("_last"), F.sum("_step").alias("_sum"))
+    line = Window.partitionBy(*series).orderBy("_span")
+    joints = spans.withColumn("_joint", rise(F.col("_first"), F.lag("_last").over(line)) + F.coalesce(F.lag("_sum").over(line), F.lit(0.0)))
+    base = joints.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(series)], F.col("_span").alias("_of"), F.sum("_joint").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
+    same = F.col("_span") == F.col("_of")
+    for k, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    return rows.join(base, same).select(*samples.columns, (F.col("_base") + F.col("_inside")).alias("total"))
+
+
+def _points(rows: DataFrame, start: str, end: str, step: int, window: int, ts: str) -> DataFrame:
+    """rows once for each point of the grid within whose window they lie: `_k`, the number of the point. By arithmetic, no join."""
+    first, last = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (start, end))
+    t, unit = F.unix_micros(F.col(ts)), step * 1_000_000
+    lo = F.greatest(F.ceil((t - first) / unit), F.lit(0)).cast("long")
+    hi = F.least(F.ceil((t + window * 1_000_000 - first) / unit) - 1, F.floor((last - first) / unit)).cast("long")
+    near = rows.filter((t > first - window * 1_000_000) & (t <= last)).withColumns({"_lo": lo, "_hi": hi}).filter("_lo <= _hi")
+    return near.select(*rows.columns, F.explode(F.sequence("_lo", "_hi")).alias("_k"))
+
+
+def _point(start: str, step: int) -> Column:
+    return F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("_k") * step * 1_000_000)
+
+
+def range_vectors(samples: DataFrame, series: list[str], start: str, end: str, step: int, window: int, ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+    """series.., point, n, first_ts, first_value, last_ts, rise: of the samples in (point - window, point], how many there are, the ends, and
+    the increase between them over all resets. Points without samples have no row. Only differences of running sums count,
+    so samples before the first window aren't summed; null values are no samples."""
+    at = F.unix_micros(F.col(ts))
+    low, high = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (start, end))
+    near = samples.filter(F.col(value).isNotNull() & (at > low - window * 1_000_000) & (at <= high))
+    rows = running_increase(near, series, ts, value, tie)
+    seen = F.struct(F.col(ts).alias("ts"), *([F.col(tie).alias("tie")] if tie else []), F.col(value).cast("double").alias("v"), F.col("total"))
+    ends = _points(rows, start, end, step, window, ts).groupBy(*series, "_k").agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("a"), F.max(seen).alias("b"))
+    return ends.select(*series, _point(start, step).alias("point"), "n", F.col("a.ts").alias("first_ts"), F.col("a.v").alias("first_value"), F.col("b.ts").alias("last_ts"), (F.col("b.total") - F.col("a.total")).alias("rise"))
+
+
+def increase_at(vectors: DataFrame, window: int) -> Column:
+    """The increase of a counter over the window, from range_vectors(); null with fewer than two samples.
+
+    The samples' increase is carried on at the mean rate to the window's edges: on a side where the nearest sample is further away than 1.1 mean gaps
+    by half a gap only, and at the beginning no further than to where the counter would have been zero."""
+    seconds = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
+    c = lambda name: vectors[name]
+    sampled = seconds(c("first_ts"), c("last_ts"))
+    some = lambda x: F.nullif(x, F.lit(0))
+    gap = sampled / some(c("n") - 1)
+    near = lambda x: F.when(x >= gap * 1.1, gap / 2).otherwise(x)
+    before = near((F.unix_micros(c("first_ts")) - F.unix_micros(c("point"))) / 1e6 + window)
+    zero = F.when((c("rise") > 0) & (c("first_value") >= 0), sampled * (c("first_value") / some(c("rise"))))
+    after = near(seconds(c("last_ts"), c("point")))
+    return F.when((c("n") > 1) & (sampled > 0), c("rise") * ((sampled + F.least(before, F.coalesce(zero, before)) + after) / some(sampled)))
+
+
+def rates_at(samples: DataFrame, series: list[str], start: str, end: str, step: int, window: int, by: list[str] | None = None, **how) -> DataFrame:
+    """sum by (..)(rate(counter[window])) at the points of a grid: by.., point, rate, increase. Without `by` a row a series."""
+    v = range_vectors(samples, series, start, end, step, window, **how)
+    rates = v.select(*series, "point", increase_at(v, window).alias("increase")).filter("increase IS NOT NULL").withColumn("rate", F.col("increase") / window)
+    return rates if by is None else rates.groupBy(*by, "point").agg(F.sum("rate").alias("rate"), F.sum("increase").alias("increase"))
+
+
+def quantile_of_rates(samples: DataFrame, q: float, series: list[str], start: str, end: str, step: int, window: int, by: list[str], le: str = "le", **how) -> DataFrame:
+    """histogram_quantile(q, sum by (le, ..)(rate(bucket[window]))) at the points of a grid: by.., point, quantile."""
+    rates = rates_at(samples, series, start, end, step, window, [*by, le], **how)
+    return bucket_quantile(rates.select(*by, "point", F.col(le).alias("le"), F.col("rate").alias("n")), q, [*by, "point"])
+
+
+def mean_of_rates(samples: DataFrame, kind: str, series: list[str], start: str, end: str, step: int, window: int, by: list[str], **how) -> DataFrame:
+    """rate(sum[window]) / rate(count[window]) at the points of a grid: by.., point, mean. `kind` is the column that tells samples of
+    'sum' from those of 'count'; both are rated in one pass. Null where nothing was counted."""
+    rates = rates_at(samples, [*series, kind], start, end, step, window, **how)
+    of = lambda k: F.sum(F.when(F.col(kind) == k, F.col("rate")))
+    both = rates.groupBy(*by, "point").agg(of("sum").alias("_sum"), of("count").alias("_count"))
+    return both.select(*by, "point", F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count")).alias("mean"))
+
+
+def gauges_at(samples: DataFrame, series: list[str], start: str, end: str, step: int, lookback: int = 300, ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+    """Each series' last value within the lookback before each point: series.., point, value."""
+    near = _points(samples.filter(F.col(value).isNotNull()), start, end, step, lookback, ts)
+    last = near.groupBy(*series, "_k").agg(F.max_by(value, F.struct(ts, *[tie] * bool(tie))).alias("value"))
+    return last.select(*series, _point(start, step).alias("point"), "value")
+
+
 def grid(start: str, end: str, step: int) -> Column:
     """The points of a range query."""
     return F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {step} seconds"))
@@ -72,14 +172,7 @@ def grid(start: str, end: str, step: int) -> Column:
 def on_grid(events: DataFrame, start: str, end: str, step: int, window: int, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """Events in the `window` seconds up to each point of the grid. Each event finds its points by arithmetic; points without
     events are there with zero."""
-    first = F.unix_micros(F.lit(start).cast("timestamp"))
-    last = F.unix_micros(F.lit(end).cast("timestamp"))
-    t = F.unix_micros(F.col(ts))
-    unit = step * 1_000_000
-    lo = F.greatest(F.ceil((t - first) / unit), F.lit(0)).cast("long")
-    hi = F.least(F.ceil((t + window * 1_000_000 - first) / unit) - 1, F.floor((last - first) / unit)).cast("long")
-    near = events.filter((t >= first - window * 1_000_000) & (t <= last)).withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi")
-    counted = near.select(*(by or []), F.explode(F.sequence("_lo", "_hi")).alias("_k")).groupBy(*(by or []), "_k").agg(F.count(F.lit(1)).alias("n"))
+    counted = _points(events.select(*(by or []), ts), start, end, step, window, ts).groupBy(*(by or []), "_k").agg(F.count(F.lit(1)).alias("n"))
     keys = events.select(*by).distinct() if by else events.sparkSession.range(1)
     points = keys.select(*(by or []), F.posexplode(grid(start, end, step)).alias("_k", "point")).withColumn("_k", F.col("_k").cast("long"))
     return points.join(counted, [*(by or []), "_k"], "left").select(*(by or []), "point", F.coalesce("n", F.lit(0)).alias("n"))
@@ -98,6 +191,13 @@ def deltas(snapshots: DataFrame, series: list[str], ts: str, value: str) -> Data
     return snapshots.withColumns({"delta": F.col(value) - F.lag(value).over(w), "since_first": F.col(value) - F.first(value).over(w)})
 
 
+def delta_summary(snapshots: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
+    """A row a series: its last value, the last delta, the delta since the first snapshot, and the largest absolute delta of two neighbours."""
+    steps = deltas(snapshots, series, ts, value)
+    last = lambda c: F.max_by(c, ts).alias(f"last_{c}" if c != "since_first" else c)
+    return steps.groupBy(*series).agg(last(value), last("delta"), last("since_first"), F.max(F.abs("delta")).alias("largest_delta"))
+
+
 def last_snapshots(snapshots: DataFrame, ts: str, arrival: str, n: int) -> DataFrame:
     """The last n times, of each the one that arrived last."""
     best = snapshots.groupBy(ts).agg(F.max_by(F.struct(*[F.col(c) for c in snapshots.columns]), F.col(arrival)).alias("r")).select("r.*")

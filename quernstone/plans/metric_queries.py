@@ -89,6 +89,104 @@ def hist_quantile_95(spark, d):
     return ts.bucket_quantile(h, 0.95, ["event_type"]).select("event_type", F.round("quantile", 9).alias("quantile"))
 
 
+# Counters at the points of a grid
+
+START, END, STEP, WINDOW = "2024-01-02 00:00:00", "2024-01-30 00:00:00", 21600, 86400
+POINTS_SQL = f"points AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL {STEP} SECONDS)) AS point)"
+
+
+def rates_sql(series: str, tie: str = "0") -> str:
+    """CTEs from `samples` (series.., ts, v, and the tie) to `rates` (series.., point, increase, rate)."""
+    return f"""
+i AS (SELECT *, {tie} AS tie, lag(v) OVER (PARTITION BY {series} ORDER BY ts, {tie}) AS before FROM samples),
+t AS (SELECT *, sum(CASE WHEN before IS NULL THEN 0 WHEN v < before THEN v ELSE v - before END) OVER (PARTITION BY {series} ORDER BY ts, tie) AS total FROM i),
+{POINTS_SQL},
+w AS (
+  SELECT {series}, point, count(*) AS n, min(ts) AS t0, max(ts) AS t1, arg_min(v, {{'a': ts, 'b': tie}}) AS v0, arg_max(total, {{'a': ts, 'b': tie}}) - arg_min(total, {{'a': ts, 'b': tie}}) AS rise
+  FROM points JOIN t ON ts > point - INTERVAL {WINDOW} SECONDS AND ts <= point GROUP BY ALL),
+g AS (
+  SELECT *, (epoch_us(t1) - epoch_us(t0)) / 1e6 AS sampled, (epoch_us(t0) - epoch_us(point)) / 1e6 + {WINDOW} AS before, (epoch_us(point) - epoch_us(t1)) / 1e6 AS after,
+    (epoch_us(t1) - epoch_us(t0)) / 1e6 / (n - 1) AS gap FROM w WHERE n > 1 AND t1 > t0),
+e AS (
+  SELECT *, least(CASE WHEN before >= gap * 1.1 THEN gap / 2 ELSE before END, CASE WHEN rise > 0 AND v0 >= 0 THEN sampled * (v0 / rise) ELSE 1e300 END) AS s, CASE WHEN after >= gap * 1.1 THEN gap / 2 ELSE after END AS f FROM g),
+rates AS (SELECT {series}, point, rise * ((sampled + s + f) / sampled) AS increase, rise * ((sampled + s + f) / sampled) / {WINDOW} AS rate FROM e)"""
+
+
+COUNTER_SQL = "samples AS (SELECT user_id, ts, event_id, CAST(event_id // 50 % 7 * 10 + event_id % 50 AS DOUBLE) AS v FROM events)"
+
+
+@query(f"WITH {COUNTER_SQL}, {rates_sql('user_id', 'event_id')} SELECT user_id, point, round(increase, 6) AS increase, round(rate, 9) AS rate FROM rates")
+def rate_grid_counter(spark, d):
+    """increase(counter[1d]) and rate(counter[1d]) each six hours, of a counter for each user that falls back now and then."""
+    s = events(spark, d).select("user_id", "ts", "event_id", (F.expr("event_id div 50 % 7 * 10 + event_id % 50")).cast("double").alias("value"))
+    rates = ts.rates_at(s, ["user_id"], START, END, STEP, WINDOW, tie="event_id")
+    return rates.select("user_id", "point", F.round("increase", 6).alias("increase"), F.round("rate", 9).alias("rate"))
+
+
+@query(f"WITH {COUNTER_SQL.replace('SELECT user_id', 'SELECT event_type, user_id')}, {rates_sql('event_type, user_id', 'event_id')} SELECT event_type, point, round(sum(rate), 9) AS rate FROM rates GROUP BY 1, 2")
+def rate_grid_by_type(spark, d):
+    """sum by (event_type)(rate(counter[1d]))."""
+    s = events(spark, d).select("event_type", "user_id", "ts", "event_id", (F.expr("event_id div 50 % 7 * 10 + event_id % 50")).cast("double").alias("value"))
+    return ts.rates_at(s, ["event_type", "user_id"], START, END, STEP, WINDOW, by=["event_type"], tie="event_id").select("event_type", "point", F.round("rate", 9).alias("rate"))
+
+
+HOURLY_SQL = """
+h AS (SELECT event_type, le, time_bucket(INTERVAL 3600 SECONDS, ts, TIMESTAMP '1970-01-01') AS ts, count(*) FILTER (value <= le) AS n
+  FROM events, (SELECT unnest([1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 'infinity'::DOUBLE]) AS le) GROUP BY ALL),
+samples AS (SELECT event_type, le, ts, CAST(sum(n) OVER (PARTITION BY event_type, le ORDER BY ts) AS DOUBLE) AS v FROM h)"""
+
+
+@query(f"""
+WITH {HOURLY_SQL}, {rates_sql('event_type, le')},
+m AS (SELECT event_type, point, le, max(rate) OVER (PARTITION BY event_type, point ORDER BY le) AS n FROM rates),
+q AS (SELECT *, max(n) OVER p * 0.9 AS rank, coalesce(lag(n) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0) AS low, max(n) OVER p AS total FROM m WINDOW w AS (PARTITION BY event_type, point ORDER BY le), p AS (PARTITION BY event_type, point)),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_type, point ORDER BY le) AS k FROM q WHERE n >= rank)
+SELECT event_type, point, round(CASE WHEN total = 0 THEN NULL WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (n - below) END, 6) AS quantile FROM f WHERE k = 1
+""")
+def quantile_of_rates(spark, d):
+    """histogram_quantile(0.9, sum by (le, event_type)(rate(bucket[1d]))) of buckets that are counters, read each hour."""
+    e = events(spark, d).withColumn("hour", ts.bucket(F.col("ts"), 3600))
+    h = ts.histogram(e, "value", BOUNDS, ["event_type", "hour"]).withColumnRenamed("hour", "ts")
+    counters = h.withColumn("value", F.sum("n").over(Window.partitionBy("event_type", "le").orderBy("ts")).cast("double")).drop("n")
+    q = ts.quantile_of_rates(counters, 0.9, ["event_type", "le"], START, END, STEP, WINDOW, ["event_type"])
+    return q.select("event_type", "point", F.round("quantile", 6).alias("quantile"))
+
+
+@query(f"""
+WITH h AS (SELECT event_type, time_bucket(INTERVAL 3600 SECONDS, ts, TIMESTAMP '1970-01-01') AS ts, count(*) AS c, CAST(sum(floor(value)) AS BIGINT) AS s FROM events GROUP BY ALL),
+samples AS (SELECT event_type, kind, ts, CAST(sum(CASE kind WHEN 'sum' THEN s ELSE c END) OVER (PARTITION BY event_type, kind ORDER BY ts) AS DOUBLE) AS v FROM h, (SELECT unnest(['sum', 'count']) AS kind)),
+{rates_sql('event_type, kind')},
+b AS (SELECT event_type, point, sum(rate) FILTER (kind = 'sum') AS s, sum(rate) FILTER (kind = 'count') AS c FROM rates GROUP BY 1, 2)
+SELECT event_type, point, round(CASE WHEN c > 0 THEN s / c END, 6) AS mean FROM b
+""")
+def mean_of_rates(spark, d):
+    """rate(sum[1d]) / rate(count[1d]) of counters read each hour."""
+    h = events(spark, d).groupBy("event_type", ts.bucket(F.col("ts"), 3600).alias("ts")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.floor("value")).alias("s"))
+    both = h.select("event_type", "ts", F.explode(F.array(F.struct(F.lit("sum").alias("kind"), F.col("s").alias("n")), F.struct(F.lit("count").alias("kind"), F.col("c").alias("n")))).alias("x")).select("event_type", "ts", "x.*")
+    counters = both.withColumn("value", F.sum("n").over(Window.partitionBy("event_type", "kind").orderBy("ts")).cast("double")).drop("n")
+    m = ts.mean_of_rates(counters, "kind", ["event_type"], START, END, STEP, WINDOW, ["event_type"])
+    return m.select("event_type", "point", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""
+WITH {POINTS_SQL}
+SELECT user_id, point, arg_max(value, {{'a': ts, 'b': event_id}}) AS value FROM points JOIN events ON ts > point - INTERVAL 10800 SECONDS AND ts <= point GROUP BY 1, 2
+""")
+def gauge_grid(spark, d):
+    """Each user's last value of the three hours before each point."""
+    return ts.gauges_at(events(spark, d), ["user_id"], START, END, STEP, 10800, tie="event_id").select("user_id", "point", "value")
+
+
+@query("""
+WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+d AS (SELECT *, n - lag(n) OVER w AS delta, n - first_value(n) OVER w AS since_first FROM c WINDOW w AS (PARTITION BY event_type ORDER BY day))
+SELECT event_type, arg_max(n, day) AS last_n, arg_max(delta, day) AS last_delta, arg_max(since_first, day) AS since_first, max(abs(delta)) AS largest_delta FROM d GROUP BY 1
+""")
+def snapshot_delta_summary(spark, d):
+    c = events(spark, d).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return ts.delta_summary(c, ["event_type"], "day", "n")
+
+
 @query("SELECT event_type, round(sum(value) / greatest(count(*), 1), 6) AS mean FROM events GROUP BY 1")
 def avg_from_sums(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.round(F.sum("value") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("mean"))

@@ -186,3 +186,66 @@ def test_rate_limit_windows_across_batches(spark):
         n[k] += 1
         want.append((k, t, start[k], n[k], n[k] <= 3))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+# Rates at the points of a grid
+
+
+def brute_rate(samples, point, window):
+    """One series' increase over the window before a point, from its definition. samples: (seconds, value), in order."""
+    own = [(t, v) for t, v in samples if point - window < t <= point]
+    if len(own) < 2 or own[0][0] == own[-1][0]:
+        return None
+    rise = sum(b if b < a else b - a for (_, a), (_, b) in zip(own, own[1:]))
+    sampled = own[-1][0] - own[0][0]
+    gap = sampled / (len(own) - 1)
+    before, after = own[0][0] - (point - window), point - own[-1][0]
+    before = gap / 2 if before >= gap * 1.1 else before
+    if rise > 0 and own[0][1] >= 0:
+        before = min(before, sampled * own[0][1] / rise)
+    after = gap / 2 if after >= gap * 1.1 else after
+    return rise * (sampled + before + after) / sampled
+
+
+def test_rates_on_a_grid_against_brute_force(spark):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    from quernstone.operators import timeseries as ts
+
+    rng = random.Random(3)
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows, by = [], {}
+    for series in ("a", "b", None):
+        t, v = -4000.0, 0.0
+        while t < 4000:
+            t += rng.choice([5, 15, 15, 15, 30, 400 if rng.random() < 0.05 else 15])
+            v = float(rng.randint(0, 3)) if rng.random() < 0.03 else v + rng.randint(0, 9)
+            rows.append((series, zero + timedelta(seconds=t), v if rng.random() > 0.02 else None))
+            if rows[-1][2] is not None:
+                by.setdefault(series, []).append((t, v))
+    rows += [("one", zero + timedelta(seconds=50), 5.0), ("flat", zero + timedelta(seconds=20), 4.0), ("flat", zero + timedelta(seconds=40), 4.0)]
+    by |= {"one": [(50, 5.0)], "flat": [(20, 4.0), (40, 4.0)]}
+    df = spark.createDataFrame(rows, "s string, ts timestamp, value double").repartition(5)
+    for span in (86_400, 600):
+        total = ts.running_increase(df.filter("value IS NOT NULL"), ["s"], span=span).collect()
+        for series, own in by.items():
+            got = [r.total for r in sorted((r for r in total if r.s == series), key=lambda r: r.ts)]
+            want = [sum(b if b < a else b - a for (_, a), (_, b) in zip(own[: k + 1], own[1 : k + 1])) for k in range(len(own))]
+            assert got == want
+    got = {(r.s, (r.point.replace(tzinfo=timezone.utc) - zero).total_seconds()): (r.increase, r.rate) for r in ts.rates_at(df, ["s"], "2024-01-01 00:00:00", "2024-01-01 01:00:00", 10, 300).collect()}
+    want = {(s, p): x for s, own in by.items() for p in range(0, 3601, 10) if (x := brute_rate(own, p, 300)) is not None}
+    assert got.keys() == want.keys() and len(got) > 900
+    assert all(abs(got[k][0] - x) < 1e-9 * max(1, x) and abs(got[k][1] - x / 300) < 1e-9 for k, x in want.items())
+    summed = ts.rates_at(df.filter("s IN ('a', 'b')"), ["s"], "2024-01-01 00:00:00", "2024-01-01 00:10:00", 10, 300, by=[]).collect()
+    assert len(summed) == 61 and all(abs(r.rate - (want["a", p] + want["b", p]) / 300) < 1e-9 for r in summed for p in [(r.point.replace(tzinfo=timezone.utc) - zero).total_seconds()])
+
+
+def test_quantiles_of_odd_buckets(spark):
+    from quernstone.operators import timeseries as ts
+
+    inf = float("inf")
+    rows = [("ok", 1.0, 2.0), ("ok", 2.0, 4.0), ("ok", inf, 4.0), ("falls", 1.0, 3.0), ("falls", 2.0, 2.0), ("falls", inf, 4.0), ("empty", 1.0, 0.0), ("empty", inf, 0.0), ("open", 1.0, 2.0), ("high", 1.0, 1.0), ("high", inf, 100.0)]
+    df = spark.createDataFrame(rows, "g string, le double, n double")
+    got = {r.g: r.quantile for r in ts.bucket_quantile(df, 0.75, ["g"]).collect()}
+    assert got == {"ok": 1.5, "falls": 1.0, "empty": None, "open": None, "high": 1.0}
