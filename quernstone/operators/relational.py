@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,9 +92,14 @@ def latest(rows: DataFrame, keys: list[str], when: list[str], columns: Sequence[
     return rows.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
 
 
-def upserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with rows put in or over what has the same key."""
-    return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+def upserted(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """table with rows put in or over what has the same key; nulls in a key are equal. Of rows with the same key the last by `order` counts,
+    and of those that are equal in it, or without one, the largest by all columns."""
+    place = F.struct(*[F.col(c) for c in order or []], *[F.col(c) for c in rows.columns])
+    fresh = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*rows.columns), place).alias("_r")).select("_r.*")
+    known = fresh.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return table.join(known, same, "left_anti").unionByName(fresh)
 
 
 def inserted_if_new(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -371,10 +371,18 @@ def feed_lever(spark, d):
     return _read(spark, d, "lever", doc)
 
 
-@query(feed_sql("Gupy", id="'gupy:' || p_partkey", title="p_name", company="p_brand", location="p_type || ' / BR'", url="'http://j/' || p_partkey", modality="CASE WHEN p_size % 2 = 0 THEN 'Remoto' ELSE 'Presencial' END", description="p_type", postedAt="'2024-01-01'"))
+@query(
+    feed_sql("Gupy", id="'gupy:' || p_partkey", title="p_name", company="p_brand", location="p_type || ' / BR'", url="'http://j/' || p_partkey", modality="CASE WHEN p_size % 2 = 0 THEN 'Remoto' ELSE 'Presencial' END", description="p_type", postedAt="'2024-01-01'")
+    + " UNION ALL SELECT "
+    + ", ".join(f"{x} AS {c}" for c, x in {**dict.fromkeys(feeds.JOB, "''"), "id": "'http://s/' || p_size", "title": "'Shared'", "url": "'http://s/' || p_size", "source": "'Gupy'", "sources": "'Gupy'", "keyword": "min(p_type)", "keywords": "string_agg(DISTINCT p_type, ',' ORDER BY p_type)"}.items())
+    + " FROM part GROUP BY p_size"
+)
 def feed_gupy(spark, d):
-    job = S(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("careerPageName"), F.lit("http://c").alias("careerPageUrl"), F.concat(F.lit("http://j/"), F.col("p_partkey").cast("string")).alias("jobUrl"), F.col("p_type").alias("city"), F.lit("").alias("state"), F.lit("BR").alias("country"), F.lit("on-site").alias("workplaceType"), even().alias("isRemoteWork"), F.lit("2024-01-01").alias("publishedDate"), F.col("p_type").alias("description"))
-    return _read(spark, d, "gupy", S(F.array(job).alias("data")))
+    """Each document has a job of its own, one without an id that other keywords find, too, and two that lack a title or an address."""
+    job = S(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("careerPageName"), F.lit("http://c").alias("careerPageUrl"), F.concat(F.lit("http://j/"), F.col("p_partkey").cast("string")).alias("jobUrl"), F.col("p_type").alias("city"), F.lit("").alias("state"), F.lit("BR").alias("country"), F.lit("on-site").alias("workplaceType"), even().alias("isRemoteWork"), F.lit("2024-01-01").alias("publishedDate"), F.col("p_type").alias("description"))
+    bare = lambda name, url: S(F.lit("").alias("id"), F.lit(name).alias("name"), F.lit("").alias("careerPageName"), F.lit("").alias("careerPageUrl"), url.alias("jobUrl"), *[F.lit("").alias(c) for c in ("city", "state", "country", "workplaceType")], F.lit(False).alias("isRemoteWork"), F.lit("").alias("publishedDate"), F.lit("").alias("description"))
+    shared = bare("Shared", F.concat(F.lit("http://s/"), F.col("p_size").cast("string")))
+    return _read(spark, d, "gupy", S(F.array(shared, job, bare("", F.lit("http://x")), bare("No address", F.lit(""))).alias("data")))
 
 
 @query(feed_sql("InHire", id="'inhire:acme:' || p_partkey", title="p_name", company="'acme'", location="p_brand", url="'https://acme.inhire.app/vagas/' || p_partkey || '/' || replace(p_name, ' ', '-')", modality="'Remoto'", description="'Published' || chr(10) || 'Remote'") + " WHERE p_size % 2 = 0")

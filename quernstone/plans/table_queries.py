@@ -329,7 +329,7 @@ def weighted_coverage(spark, d):
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS seg FROM customer UNION ALL SELECT -1, 'NEW'")
 def upsert_latest(spark, d):
     t = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("seg"))
-    rows = t.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("seg")).unionByName(spark.createDataFrame([(-1, "NEW")], "c_custkey long, seg string"))
+    rows = t.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("seg")).unionByName(spark.createDataFrame([(-1, "EARLIER"), (-1, "NEW"), (-1, "NEW")], "c_custkey long, seg string"))
     return relational.upserted(t, rows, ["c_custkey"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import infer, predicates, text
@@ -348,15 +348,67 @@ def uniq_keywords_order(spark, d):
     return dedup.distinct_in_order(table(spark, d, "part").withColumnRenamed("p_partkey", "ordinal"), text.trim_lower(F.col("p_name")), "ordinal")
 
 
+#: Jobs of the catalogue that meet all branches of the merge key: by identity, by address, and by all there is.
+KEYED_SQL = f"""
+j AS (SELECT p_partkey AS ordinal, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS title, CASE WHEN p_size % 8 = 1 THEN '' ELSE p_brand END AS company, repeat('x', CAST(p_size % 3 AS INTEGER)) AS location,
+  CASE WHEN p_size % 16 IN (0, 1) THEN '' ELSE 'http://j/' || (p_partkey % 50) || CASE WHEN p_partkey % 2 = 0 THEN '/?q' ELSE '' END END AS url, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'd' || p_partkey END AS description, p_brand, p_size FROM part),
+k AS (SELECT *, CASE WHEN {fold_sql('title')} <> '' AND {fold_sql('company')} <> '' THEN 'identity:' || {fold_sql('title')} || '|' || {fold_sql('company')} || '|' || CASE WHEN location = '' THEN 'sem-local' ELSE location END
+  WHEN {URL_SQL} <> '' THEN 'url:' || {URL_SQL} ELSE 'fallback:' || {fold_sql('title')} || '|' || {fold_sql('company')} || '|' || location || '|' || {fold_sql('p_brand')} END AS merge_key FROM j)"""
+
+
+def keyed_jobs(spark, d):
+    p, size = table(spark, d, "part"), F.col("p_size")
+    url = F.when((size % 16).isin(0, 1), F.lit("")).otherwise(F.concat(F.lit("http://j/"), (F.col("p_partkey") % 50).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit("/?q")).otherwise(F.lit(""))))
+    return p.select(
+        F.col("p_partkey").alias("ordinal"), F.when(size % 4 == 0, F.lit("")).otherwise(F.col("p_type")).alias("title"), F.when(size % 8 == 1, F.lit("")).otherwise(F.col("p_brand")).alias("company"),
+        F.expr("repeat('x', cast(p_size % 3 as int))").alias("location"), url.alias("url"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("d"), F.col("p_partkey").cast("string"))).alias("description"),
+        F.col("p_brand").alias("source"), F.array(F.concat(F.lit("s"), (size % 5).cast("string"))).alias("sources"), F.concat("p_brand", F.lit(" ; "), (size % 3).cast("string")).alias("keyword"), F.array(F.lower("p_brand")).alias("keywords"),
+    )
+
+
+@query(f"""
+WITH {KEYED_SQL},
+e AS (
+  SELECT merge_key, 's' AS kind, 's' || (p_size % 5) AS v, ordinal, 0 AS i FROM k UNION ALL SELECT merge_key, 's', p_brand, ordinal, 1 FROM k
+  UNION ALL SELECT merge_key, 'k', lower(p_brand), ordinal, 0 FROM k UNION ALL SELECT merge_key, 'k', p_brand, ordinal, 1 FROM k UNION ALL SELECT merge_key, 'k', CAST(p_size % 3 AS VARCHAR), ordinal, 2 FROM k),
+f AS (SELECT merge_key, kind, v, min({{'o': ordinal, 'i': i}}) AS p FROM e GROUP BY ALL),
+u AS (SELECT merge_key, string_agg(v, ', ' ORDER BY p) FILTER (kind = 's') AS sources, string_agg(v, ', ' ORDER BY p) FILTER (kind = 'k') AS keyword FROM f GROUP BY 1),
+m AS (
+  SELECT merge_key, min(ordinal) AS ordinal, count(*) AS n, arg_max(title, {{'n': length(title), 'o': -ordinal}}) AS title, arg_max(company, {{'n': length(company), 'o': -ordinal}}) AS company,
+    arg_max(location, {{'n': length(location), 'o': -ordinal}}) AS location, arg_max(url, {{'n': length(url), 'o': -ordinal}}) AS url, arg_max(description, ordinal) FILTER (description IS NOT NULL) AS description, min(p_brand) AS own, min('s' || (p_size % 5)) AS own_list FROM k GROUP BY 1)
+SELECT merge_key, ordinal, title, company, location, url, description, CASE WHEN n > 1 THEN sources ELSE own END AS source, CASE WHEN n > 1 THEN sources ELSE own_list END AS sources, keyword FROM m JOIN u USING (merge_key)
+""")
+def dedup_listed(spark, d):
+    merged = dedup.merge_listed(keyed_jobs(spark, d))
+    return merged.select("merge_key", "ordinal", "title", "company", "location", "url", "description", "source", F.array_join("sources", ", ").alias("sources"), "keyword")
+
+
+@query(f"""
+WITH {KEYED_SQL},
+f AS (SELECT merge_key, v, min(ordinal) AS o FROM (SELECT merge_key, 's' || (p_size % 5) AS v, ordinal FROM k) GROUP BY ALL),
+u AS (SELECT merge_key, string_agg(v, ', ' ORDER BY o) AS sources FROM f GROUP BY 1),
+m AS (SELECT merge_key, min(ordinal) AS ordinal, arg_max(title, {{'n': strlen(title), 'o': -ordinal}}) AS title, arg_min({{'d': description}}, ordinal).d AS description FROM k GROUP BY 1)
+SELECT ordinal, merge_key, title, description, sources FROM m JOIN u USING (merge_key)
+""")
+def dedup_merge_branches(spark, d):
+    """The feeds' merge over all branches of its key."""
+    return dedup.merge_records(keyed_jobs(spark, d)).select("ordinal", "merge_key", "title", "description", F.array_join("sources", ", ").alias("sources"))
+
+
 @query("""
-WITH g AS (SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), chr(10) ORDER BY CAST(l_partkey AS VARCHAR)) AS sig FROM lineitem GROUP BY 1),
-f AS (SELECT min(l_orderkey) AS l_orderkey FROM g GROUP BY sig)
-SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN f USING (l_orderkey)
+WITH o AS (SELECT o_custkey % 40 AS feed, o_orderkey, o_orderpriority AS k, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS n FROM orders),
+i AS (SELECT *, n // 3 + 1 + CASE WHEN feed = 7 AND n >= 6 THEN 1 ELSE 0 END AS page FROM o WHERE NOT (feed % 5 = 0 AND n % 9 = 8)),
+g AS (SELECT feed, page, count(*) AS size, string_agg(k, chr(10) ORDER BY n) AS signature FROM i GROUP BY 1, 2),
+s AS (SELECT *, min(page) OVER (PARTITION BY feed, signature) AS earlier, lag(page) OVER (PARTITION BY feed ORDER BY page) AS before FROM g),
+e AS (SELECT feed, min(CASE WHEN earlier < page OR before < page - 1 THEN page - 1 WHEN size < 3 THEN page END) AS last FROM s GROUP BY 1)
+SELECT feed, page, o_orderkey FROM i JOIN e USING (feed) WHERE last IS NULL OR page <= last
 """)
 def page_signatures(spark, d):
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    kept = dedup.drop_repeated_pages(items.withColumn("k", F.col("l_partkey").cast("string")), "l_orderkey", "k")
-    return kept.select("l_orderkey", "l_linenumber", "l_partkey")
+    """Forty feeds of three orders a page: some have a short page, one skips a number, and all come to repeat a page."""
+    n = F.row_number().over(Window.partitionBy("feed").orderBy("o_orderkey")) - 1
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("feed"), "o_orderkey", F.col("o_orderpriority").alias("k")).withColumn("n", n)
+    i = o.filter(~((F.col("feed") % 5 == 0) & (F.col("n") % 9 == 8))).withColumn("page", F.expr("n div 3") + 1 + F.when((F.col("feed") == 7) & (F.col("n") >= 6), 1).otherwise(0))
+    return dedup.pages_taken(i, ["feed"], "page", "n", F.col("k"), 3).select("feed", "page", "o_orderkey")
 
 
 # Index

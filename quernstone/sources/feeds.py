@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text
+from quernstone.operators.dedup import merge_found
 
 JOB = ["id", "title", "company", "location", "url", "salary", "modality", "description", "postedAt", "source", "sources", "keyword", "keywords"]
 
@@ -62,7 +63,7 @@ def records(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     """The common schema; `keyword` may be a column of rows: what the feed was asked for."""
     asked = s("keyword") if "keyword" in rows.columns else F.lit("")
     fields = {**fields, "source": F.lit(source), "sources": F.array(F.lit(source)), "keyword": asked, "keywords": text.non_empty(F.array(asked))}
-    return rows.select(*[fields.get(c, F.lit("")).alias(c) for c in JOB])
+    return rows.select(*[fields.get(c, F.lit("")).alias(c) for c in [*JOB, *(c for c in fields if c not in JOB)]])
 
 
 def adzuna(raw: DataFrame) -> DataFrame:
@@ -119,13 +120,19 @@ def lever(raw: DataFrame, company: str = "board") -> DataFrame:
 
 
 def gupy(raw: DataFrame) -> DataFrame:
-    """A job that several keywords found is one record with all of them, in order of the feed's documents."""
-    r = raw.withColumn("r", F.explode("data"))
+    """A job that several keywords found is one record with all of them: by its native id, else by its address, the first by keyword and
+    place in the document. Jobs without an address or a title are left out."""
+    r = raw.select("*", F.posexplode("data").alias("_place", "r"))
     url = F.coalesce(F.nullif(s("r.jobUrl"), F.lit("")), s("r.careerPageUrl"))
     kind = text.soft(s("r.workplaceType"))
     own = F.when(F.coalesce("r.isRemoteWork", F.lit(False)), "Remoto").otherwise(modality(kind, s("r.workplaceType"), remote_first=True))
-    key = F.coalesce(F.when(s("r.id") != "", F.concat(F.lit("gupy:"), s("r.id"))), F.nullif(url, F.lit("")), s("r.name"))
-    return records(r, "Gupy", id=key, title=s("r.name"), company=s("r.careerPageName"), location=text.join_non_empty(" / ", s("r.city"), s("r.state"), s("r.country")), url=url, modality=own, description=s("r.description"), postedAt=s("r.publishedDate"))
+    key = F.coalesce(F.when(s("r.id") != "", F.concat(F.lit("gupy:"), s("r.id"))), url)
+    found = records(r, "Gupy", id=key, title=s("r.name"), company=s("r.careerPageName"), location=text.join_non_empty(" / ", s("r.city"), s("r.state"), s("r.country")), url=url, modality=own, description=s("r.description"), postedAt=s("r.publishedDate"), place=F.col("_place"))
+    asked = found.filter((F.col("url") != "") & (F.col("title") != "")).withColumn("_asked", F.col("keyword"))
+    if "keyword" not in raw.columns:
+        asked = asked.withColumn("keywords", F.array(F.lit("-")))
+    merged = merge_found(asked, "id", ["_asked", "place"])
+    return merged if "keyword" in raw.columns else merged.withColumns({"keyword": F.lit(""), "keywords": F.expr("cast(array() as array<string>)")})
 
 
 def inhire(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -98,15 +99,18 @@ RESULT_SECONDS = 600
 
 
 def result_cache(spark: SparkSession, root: str, key: str, make, seconds: float = RESULT_SECONDS) -> tuple[DataFrame, bool]:
-    """The result stored under a key no longer ago than that, or made and stored; whether it was there. Each result is
-    a folder of its own, named by its time, so that readers of an older one keep it."""
+    """The result stored under a key no longer ago than that, or made and stored; whether it was there. A key is stored by its hash, so it
+    may hold anything. Each result is a folder of its own, named by its time, so that readers of an older one keep it; results that
+    are twice as old as they may be are deleted when another is made."""
     fs, of = _files(spark, root)
-    where, now = f"{root}/{key}", time.time()
+    where, now = f"{root}/{hashlib.sha256(key.encode()).hexdigest()}", time.time()
     made = [float(s.getPath().getName()) for s in fs.listStatus(of(where))] if fs.exists(of(where)) else []
     good = [t for t in made if now - t < seconds and fs.exists(of(f"{where}/{t:.6f}/_SUCCESS"))]
     if good:
         return spark.read.parquet(f"{where}/{max(good):.6f}"), True
     make().write.parquet(f"{where}/{now:.6f}")
+    for old in [t for t in made if now - t > 2 * seconds]:
+        fs.delete(of(f"{where}/{old:.6f}"), True)
     return spark.read.parquet(f"{where}/{now:.6f}"), False
 
 

@@ -40,7 +40,7 @@ def test_lever(spark):
 
 
 def test_gupy_ids_of_both_kinds(spark):
-    a, b = read(spark, "gupy", {"data": [{"id": 5, "name": "A", "city": "X", "state": "", "country": "BR", "isRemoteWork": True, "jobUrl": "http://j"}, {"id": "k", "name": "B", "workplaceType": "on-site"}]})
+    a, b = read(spark, "gupy", {"data": [{"id": 5, "name": "A", "city": "X", "state": "", "country": "BR", "isRemoteWork": True, "jobUrl": "http://j"}, {"id": "k", "name": "B", "workplaceType": "on-site", "careerPageUrl": "http://k"}, {"id": "n", "name": "no address"}, {"id": "u", "jobUrl": "http://no-title"}]})
     assert (a.id, a.location, a.modality, b.id, b.modality) == ("gupy:5", "X / BR", "Remoto", "gupy:k", "Presencial")
 
 

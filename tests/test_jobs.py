@@ -157,3 +157,88 @@ def test_page_totals():
 
 def test_families_are_listed():
     assert len(taxonomy.FAMILIES) == 11 and len(taxonomy.TECHNOLOGIES) == 33 and len(taxonomy.COUNTRIES) == 18 and len(taxonomy.CITIES) == 25
+
+
+def listed_by_brute_force(rows):
+    """One record after another, the later one over the earlier."""
+    import re
+    import unicodedata
+
+    def plain(x):
+        x = "".join(c for c in unicodedata.normalize("NFD", x or "") if unicodedata.category(c) != "Mn").lower()
+        return " ".join(re.findall(r"[^\W_]+", x))
+
+    def key(r):
+        t, c, p = plain(r["title"]), plain(r["company"]), plain(r["location"])
+        if t and c:
+            return f"identity:{t}|{c}|{p or 'sem-local'}"
+        u = re.sub("/+$", "", re.sub("[?#].*$", "", (r["url"] or "").strip()))
+        return f"url:{u}" if u else f"fallback:{t}|{c}|{p}|{plain(r['source'])}"
+
+    def words(r):
+        return [w for w in dict.fromkeys([*(x.strip() for x in r["keywords"] or []), *(x.strip() for x in re.split("[,;|]+", r["keyword"] or ""))]) if w]
+
+    out = {}
+    for k, r in enumerate(rows):
+        k = key(r)
+        own = {**r, "_k": words(r), "_s": [x.strip() for x in [*(r["sources"] or []), r["source"] or ""] if x.strip()]}
+        if k not in out:
+            out[k] = {**own, "keyword": ", ".join(own["_k"]), "source": r["source"] or ""}
+            continue
+        e = out[k]
+        new = {**e, **{c: v for c, v in own.items() if v is not None}}
+        for c in ("title", "company", "location", "url"):
+            new[c] = max([(e[c] or "").strip(), (r[c] or "").strip()], key=len)
+        new["_k"], new["_s"] = list(dict.fromkeys(e["_k"] + own["_k"])), list(dict.fromkeys(e["_s"] + own["_s"]))
+        new["source"], new["sources"], new["keyword"] = ", ".join(new["_s"]) or e["source"], new["_s"] or None, ", ".join(new["_k"])
+        out[k] = new
+    return out
+
+
+def test_list_merge_against_one_record_after_another(spark):
+    import random
+
+    rng = random.Random(2)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [
+        {
+            "title": pick("Dev", "DEV!", " Dév ", "", None), "company": pick("ACME", "acme", "", None), "location": pick("SP", "sp", "", None), "url": pick("http://a/x?y", "http://a/x/", "http://a/yy", "", None), "description": pick("one", "", None),
+            "source": pick("A", " B ", "", None), "sources": pick(None, [], ["A", "C"], [" "]), "keyword": pick("go; java", "go", "", None), "keywords": pick(None, [], ["java", " sql "], ["go"]),
+        }
+        for _ in range(300)
+    ]
+    got = {r.merge_key: r for r in dedup.merge_listed(jobs(spark, *rows).repartition(4)).collect()}
+    want = listed_by_brute_force(rows)
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        r = got[k]
+        assert (r.title or "", r.company or "", r.location or "", r.url or "", r.description, r.source, r.keyword, r.keywords) == (w["title"] or "", w["company"] or "", w["location"] or "", w["url"] or "", w["description"], w["source"], w["keyword"], w["_k"]), k
+
+
+def test_a_hot_key_brings_distinct_values_only(spark):
+    df = spark.range(20_000).selectExpr("id AS ordinal", "'Dev' AS title", "'ACME' AS company", "'' AS location", "'' AS url", "concat('s', id % 7) AS source", "array(concat('s', id % 7)) AS sources", "'' AS keyword", "array(concat('k', id % 3), 'all') AS keywords")
+    (r,) = dedup.merge_records(df).collect()
+    assert r.sources == [f"s{k}" for k in range(7)] and r.keywords == ["k0", "all", "k1", "k2"]
+    lists = dedup.united(df.withColumn("m", F.lit(1)), ["m"], F.col("ordinal"), {"sources": F.col("sources"), "keywords": F.col("keywords")})
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_list") < plan.index("min(at") and plan.count("partial_min(at") == 1
+
+
+@pytest.mark.parametrize(
+    ("pages", "size", "taken"),
+    [
+        ([["a", "b"], ["c", "d"], ["c", "d"], ["e", "f"]], None, 2),
+        ([["a", "b"], ["b", "a"], ["a", "b"], ["c", "d"]], None, 2),
+        ([["a", "b"], ["c"], ["d", "e"]], 2, 2),
+        ([["a", "b"], ["c"], ["d", "e"]], None, 3),
+        ([["a", "b"], [], ["d", "e"]], None, 1),
+        ([["", None], ["", " "], ["x", "y"]], None, 3),
+        ([["a", ""], ["a"], ["b"]], None, 1),
+    ],
+)
+def test_pages_until_one_repeats(spark, pages, size, taken):
+    rows = [(f, k + 1, i, x) for f in ("one", "two") for k, page in enumerate(pages) for i, x in enumerate(page)] + [("other", 1, 0, "a")]
+    df = spark.createDataFrame(rows, "feed string, page int, place int, k string").repartition(3)
+    got = dedup.pages_taken(df, ["feed"], "page", "place", F.col("k"), size).collect()
+    want = [r for r in rows if r[0] == "other" or r[1] <= taken]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
