@@ -11,6 +11,7 @@ from quernstone.functions import taxonomy as T
 from quernstone.functions.infer import seniority, source_of
 from quernstone.functions.predicates import any_of, first_reason, fold_word, token_match
 from quernstone.functions.text import compact_label, fold
+from quernstone.operators.phrases import containing
 
 WEIGHTS = (4, 1, -3)
 
@@ -39,12 +40,12 @@ def term_table(spark: SparkSession, families: Families = T.FAMILIES) -> DataFram
 def score_rows(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """The same scores as rows (key, family, score), for term tables too large for expressions.
 
-    Terms of one word meet the texts' distinct tokens in an equi-join, which Spark broadcasts if the terms are few enough; only
-    terms of several words are compared by substring."""
+    Terms of one word meet the texts' distinct tokens, those of several the pairs of neighbours: equi-joins, which Spark broadcasts if
+    the terms are few enough."""
     single, several = terms.filter("instr(term, ' ') = 0"), terms.filter("instr(term, ' ') > 0")
     tokens = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("term"))
     hits = tokens.join(single, "term").select(key, "family", "weight")
-    phrases = docs.join(several, F.contains(F.col(text), F.col("term"))).select(key, "family", "weight")
+    phrases = containing(docs, key, text, several, "term").join(several, F.col("needle") == F.col("term")).select(key, "family", "weight")
     return hits.unionByName(phrases).groupBy(key, "family").agg(F.sum("weight").alias("score")).filter("score > 0")
 
 

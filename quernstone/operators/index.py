@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.infer import contract, level_index, model_index, place
-from quernstone.functions.predicates import keyword_match
 from quernstone.functions.text import fold, unique_trimmed
 
 
+#: Stands for the words `node js` side by side, or for `nodejs`.
+PAIR = "\u0001"
+
+
 def aliases_of(keyword: Column) -> Column:
     """Under which values a keyword's postings are kept."""
     plain = F.trim(F.regexp_replace(F.replace(F.lower(keyword), F.lit("/"), F.lit(" ")), r"\s+", " "))
@@ -32,14 +35,15 @@ def token_postings(jobs: DataFrame, key: str, text: str) -> DataFrame:
 def keyword_index(jobs: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
     """Jobs in which all terms of a keyword stand, under the keyword's aliases.
 
-    A keyword's terms join the tokens, and a job that has as many of them as the keyword has distinct ones is a match;
-    the few keywords with the pair `node js`, whose match depends on more than tokens, are compared whole."""
-    kw = keywords.select("keyword", fold(F.col("keyword")).alias("folded")).filter("folded <> ''").distinct()
-    paired = F.contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), F.lit(" node js "))
-    terms = kw.filter(~paired).select("keyword", F.array_distinct(F.split("folded", " ")).alias("t")).select("keyword", F.size("t").alias("need"), F.explode("t").alias("term"))
-    hits = token_postings(jobs, key, text).join(terms, "term").groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need")).filter("have = need").select("id", "keyword")
-    whole = jobs.join(kw.filter(paired), keyword_match(F.col(text), F.col("folded"))).select(F.col(key).alias("id"), "keyword")
-    found = hits.unionByName(whole)
+    A keyword's terms join the tokens, and a job that has as many of them as the keyword has distinct ones is a match. The pair
+    `node js` in a keyword is one term, which a job has that has these words side by side, or `nodejs`; it is marked once a job."""
+    marked = F.trim(F.regexp_replace(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")), " node js(?= )", f" {PAIR}"))
+    kw = keywords.select("keyword", fold(F.col("keyword")).alias("folded")).filter("folded <> ''").distinct().withColumn("folded", marked)
+    terms = kw.select("keyword", F.array_distinct(F.split("folded", " ")).alias("t")).select("keyword", F.size("t").alias("need"), F.explode("t").alias("term"))
+    tokens = F.array_distinct(F.split(text, " "))
+    has = F.contains(F.col(text), F.lit("node js")) | F.array_contains(tokens, "nodejs")
+    own = jobs.select(F.col(key).alias("id"), F.explode(F.when(has, F.array_append(tokens, F.lit(PAIR))).otherwise(tokens)).alias("term"))
+    found = own.join(terms, "term").groupBy("id", "keyword").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need")).filter("have = need").select("id", "keyword")
     return found.select(F.lit("keyword").alias("kind"), F.explode(aliases_of(F.col("keyword"))).alias("value"), "id").distinct()
 
 

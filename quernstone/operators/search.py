@@ -12,6 +12,7 @@ from quernstone.functions.predicates import fold_word
 from quernstone.functions.text import comparable
 from quernstone.operators.match import score
 from quernstone.operators.paging import Page, page_of
+from quernstone.operators.phrases import containing
 
 
 @dataclass
@@ -153,7 +154,7 @@ def passages_in(texts: DataFrame, key: str, text: str, passages: DataFrame, pass
     """(passage_key, key) wherever a folded passage stands in a folded text as a substring.
 
     A passage may begin and end inside words, so it is looked up by what follows its first word, ANCHOR words or
-    if it has fewer than two more, its second word alone: equi-joins. Only passages of one or two words are compared with all texts."""
+    if it has fewer than two more, its second word alone; passages of one or two words by parts of the vocabulary's tokens: equi-joins."""
     words = F.split(F.col(passage), " ")
     asked = passages.select(passage_key, passage, F.size(words).alias("_n"), F.xxhash64(F.slice(words, 2, ANCHOR)).alias("_many"), F.xxhash64(F.slice(words, 2, 1)).alias("_one"))
     cut = texts.select(key, F.split(text, " ").alias("_w"))
@@ -163,5 +164,6 @@ def passages_in(texts: DataFrame, key: str, text: str, passages: DataFrame, pass
     pairs = many.select(passage_key, key).unionByName(one.select(passage_key, key)).distinct()
     stands = F.contains(F.col(text), F.col(passage))
     found = pairs.join(texts.select(key, text), key).join(asked.select(passage_key, passage), passage_key).filter(stands).select(passage_key, key)
-    short = texts.select(key, text).join(asked.filter("_n < 3").select(passage_key, passage), stands).select(passage_key, key)
+    few = asked.filter("_n < 3").select(passage_key, passage)
+    short = containing(texts, key, text, few, passage).join(few, F.col("needle") == F.col(passage)).select(passage_key, key)
     return found.unionByName(short)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import infer, predicates, text
-from quernstone.operators import classify, dedup, index, search
+from quernstone.operators import classify, dedup, index, phrases, search
 from quernstone.session import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -445,6 +445,30 @@ def index_keywords(spark, d):
     return found.join(F.broadcast(folded), "value").select("keyword", "id")
 
 
+@query(f"""
+WITH p AS (SELECT p_partkey AS id, {fold_sql("p_type || CASE p_size % 4 WHEN 0 THEN ' Node.js' WHEN 1 THEN ' nodejs' WHEN 2 THEN ' node' ELSE ' js node' END")} AS t FROM part),
+h AS (SELECT *, contains(t, 'node js') OR contains(' ' || t || ' ', ' nodejs ') AS pair FROM p)
+SELECT DISTINCT v AS value, id FROM h, (SELECT unnest(['node js', 'nodejs', 'node']) AS v) WHERE pair
+UNION SELECT v, id FROM h, (SELECT unnest(['node.js steel', 'node js steel', 'nodejs steel', 'nodejs', 'node']) AS v) WHERE pair AND contains(' ' || t || ' ', ' steel ')
+UNION SELECT 'node', id FROM h WHERE contains(' ' || t || ' ', ' node ')
+""")
+def index_keyword_pairs(spark, d):
+    """Keywords with the pair `node js`, under all their spellings."""
+    k = F.col("p_size") % 4
+    more = F.when(k == 0, " Node.js").when(k == 1, " nodejs").when(k == 2, " node").otherwise(" js node")
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.fold(F.concat("p_type", more)).alias("t"))
+    return index.keyword_index(t, "id", "t", spark.createDataFrame([("Node JS",), ("Node.js Steel",), ("Node",)], "keyword string")).select("value", "id")
+
+
+NEEDLES = ["e an", "ie", "n d", "of the", "r un", "licensed under the", "nder th"]
+
+
+@query(f"WITH {TEXTS_SQL} SELECT doc_id, needle FROM t, (SELECT unnest({NEEDLES!r}) AS needle) WHERE contains(t, needle)")
+def needles_in_texts(spark, d):
+    """Needles that begin and end inside words, by parts of tokens."""
+    return phrases.containing(_texts(spark, d), "doc_id", "t", spark.createDataFrame([(n,) for n in NEEDLES], "needle string"), "needle")
+
+
 @query(f"WITH {TEXTS_SQL} SELECT DISTINCT w AS value, doc_id AS id FROM t, (SELECT unnest(['the', 'was', 'der', 'und', 'que', 'licensed', 'under', 'of', 'mit']) AS w) WHERE contains(' ' || t || ' ', ' ' || w || ' ')")
 def index_subterms(spark, d):
     kw = spark.createDataFrame([(k,) for k in KEYWORDS], "keyword string")

@@ -242,3 +242,20 @@ def test_pages_until_one_repeats(spark, pages, size, taken):
     got = dedup.pages_taken(df, ["feed"], "page", "place", F.col("k"), size).collect()
     want = [r for r in rows if r[0] == "other" or r[1] <= taken]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_needles_against_every_text(spark):
+    import random
+
+    from quernstone.operators import phrases
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abn", k=rng.randint(1, 4)))
+    texts = [(k, " ".join(word() for _ in range(rng.randint(0, 30)))) for k in range(120)] + [(500, None), (501, ""), (7, "ab nab")]
+    needles = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)] + ["", None]
+    df = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    got = {tuple(r) for r in phrases.containing(df, "id", "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n").collect()}
+    want = {(k, n) for k, t in texts for n in needles if t and n and n in t}
+    assert got == want and len(want) > 500
+    plan = phrases.containing(df, "id", "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("NestedLoop") == 3  # of the vocabulary with one row of lengths each
