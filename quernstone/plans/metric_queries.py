@@ -260,7 +260,7 @@ def run_metrics(spark, d):
     return events(spark, d).groupBy(F.col("event_type").alias("adapter")).agg(F.countDistinct("user_id").alias("runs"), F.count_if(F.col("value") > 90).alias("errors"), F.count(F.lit(1)).alias("jobs"), F.round(F.sum("value"), 2).alias("seconds"))
 
 
-@query("""
+LIMITED_SQL = """
 WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 w AS (
   SELECT user_id, event_id, ts, k, ts AS window_start, CAST(1 AS BIGINT) AS n_in_window FROM o WHERE k = 1
@@ -268,7 +268,10 @@ w AS (
   SELECT o.user_id, o.event_id, o.ts, o.k, CASE WHEN o.ts >= w.window_start + INTERVAL 12 HOURS THEN o.ts ELSE w.window_start END, CASE WHEN o.ts >= w.window_start + INTERVAL 12 HOURS THEN 1 ELSE w.n_in_window + 1 END
   FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
 SELECT user_id, event_id, window_start, n_in_window, n_in_window <= 2 AS allowed FROM w
-""")
+"""
+
+
+@query(LIMITED_SQL)
 def ratelimit_fixed(spark, d):
     """Two requests in twelve hours for each user."""
     e = events(spark, d).select("user_id", "event_id", "ts")
@@ -315,6 +318,49 @@ def stream_window_counts(spark, d):
     return _drained(streams.counters(_event_stream(spark, d), 3600, ["event_type"]), "complete")
 
 
+@query(LIMITED_SQL)
+def stream_ratelimit(spark, d):
+    """The decisions of ratelimit_fixed, as requests arrive."""
+    limited = streams.rate_limit_decisions(_event_stream(spark, d), "user_id", "event_id", 43200, 2)
+    return _drained(limited, "append").select("user_id", "event_id", "window_start", "n_in_window", "allowed")
+
+
+@query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS n_in_window, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) <= 25 AS allowed FROM events")
+def stream_quota(spark, d):
+    """Twenty-five requests a day for each source."""
+    return _drained(streams.quota_decisions(_event_stream(spark, d), "event_type", "event_id", 25), "append").select("event_type", "event_id", "n_in_window", "allowed")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (
+  SELECT user_id, ts AS t, k, ts AS since FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.ts, o.k, CASE WHEN o.ts >= w.since + INTERVAL 9 DAYS THEN o.ts ELSE w.since END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
+SELECT user_id, t AS "at" FROM w WHERE t = since
+""")
+def stream_expiring(spark, d):
+    """A user's event is admitted, and again nine days after; what comes meanwhile isn't."""
+    changes = _drained(streams.expiring(_event_stream(spark, d), "user_id", order=["event_id"]), "append")
+    return changes.filter("change = 'admitted'").select("user_id", "at")
+
+
+@query("SELECT DISTINCT lower(p_type) AS keyword FROM part UNION SELECT DISTINCT event_type FROM events")
+def stream_keyword_queue(spark, d):
+    """The store knows the catalogue's types already; the queue brings these and event types; a run that is repeated from its beginning adds nothing."""
+    store = scratch(spark, "keywords")
+    known = table(spark, d, "part").select(F.lower("p_type").alias("keyword")).distinct()
+    known.write.parquet(f"{store}/run=known/batch=0")
+    queue = _event_stream(spark, d).select(F.concat(F.lit(" "), F.upper("event_type")).alias("keyword")).unionByName(_part_stream(spark, d))
+    for k in range(2):
+        streams.store_new_keywords(queue, store, f"{store}-state-{k}")
+    return streams.known_keywords(spark, store)
+
+
+def _part_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "part").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(d).select(F.upper("p_type").alias("keyword"))
+
+
 # Gauges and labels
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quernstone.sources.sinks import TTL_DAYS
 
@@ -60,12 +62,6 @@ def rate_limited(events: DataFrame, key: str, seconds: int, most: int, ts: str =
     return marked.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, n_in_window long, allowed boolean", "start long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def daily_quota(requests: DataFrame, most: int, ts: str = "ts") -> DataFrame:
-    """Requests of each day and how many the quota lets through."""
-    days = requests.withWatermark(ts, "1 day").groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("n"))
-    return days.select(F.col("window.start").alias("day"), "n", F.least("n", F.lit(most)).alias("allowed"))
-
-
 def due_sources(sources: DataFrame, last_runs: DataFrame, now, hours: int = 12) -> DataFrame:
     """Sources that haven't run within so many hours."""
     last = last_runs.groupBy("source").agg(F.max("ran_at").alias("ran_at"))
@@ -76,3 +72,158 @@ def due_sources(sources: DataFrame, last_runs: DataFrame, now, hours: int = 12)
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
     """One scheduled run: all that has arrived, batch by batch, then the end. A second run begins where this one ended."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+# State with timers ------------------------------------------------------------------------------
+#
+# What a micro-batch has of one key is put in order in one task, from narrow columns: the source's own limits of a batch (files or
+# offsets a trigger) bound it. Between batches a key's state is a row.
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _micros(t) -> int:
+    return pd.Timestamp(t).value // 1000
+
+
+class _Expiring(StatefulProcessor):
+    """A key's entry is there from when it is put in until its time is over; what comes meanwhile is not admitted."""
+
+    def __init__(self, key: str, ts: str, order: list[str], micros: int):
+        self.key, self.ts, self.order, self.micros = key, ts, order, micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "since long")
+
+    def _out(self, key: tuple, kind: str, at: int, since: int) -> tuple:
+        return key[0], kind, pd.Timestamp(at, unit="us"), pd.Timestamp(since, unit="us")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since = self.entry.get()[0] if self.entry.exists() else None
+        was, out = since, []
+        every = pd.concat(list(rows)).sort_values([self.ts, *self.order])
+        for t in every[self.ts]:
+            at = _micros(t)
+            if since is not None and at >= since + self.micros:
+                out.append(self._out(key, "expired", since + self.micros, since))
+                since = None
+            if since is None:
+                since = at
+                out.append(self._out(key, "admitted", at, at))
+        if since != was:
+            if was is not None:
+                self.handle.deleteTimer((was + self.micros) // 1000 + 1)
+            self.entry.update((since,))
+            self.handle.registerTimer((since + self.micros) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[self.key, "change", "at", "since"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.entry.exists():
+            since = self.entry.get()[0]
+            if (since + self.micros) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                out.append(self._out(key, "expired", since + self.micros, since))
+                self.entry.clear()
+        yield pd.DataFrame(out, columns=[self.key, "change", "at", "since"])
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that has timers
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+def expiring(jobs: DataFrame, key: str, ts: str = "ts", order: list[str] | None = None, days: int = TTL_DAYS, late: str = "1 hour") -> DataFrame:
+    """What happens to entries that stay so many days from when they are put in: key, change ('admitted' or 'expired'), at, since.
+
+    An id that comes again meanwhile is not admitted and doesn't stay longer; after its time it is admitted anew. A timer emits
+    the expiry, so that what belongs to the entry can be removed, and clears the state, once the watermark has passed it."""
+    kind = dict(jobs.dtypes)[key]
+    marked = jobs.withWatermark(ts, late).select(key, ts, *(order or []))
+    return _stateful(marked, [key], _Expiring(key, ts, order or [], days * 86_400_000_000), f"{key} {kind}, change string, at timestamp, since timestamp")
+
+
+class _Limited(StatefulProcessor):
+    """Decides on each request of a key by how many came in its window."""
+
+    def __init__(self, keys: list[str], ts: str, id_col: str, most: int, window):
+        self.keys, self.ts, self.id_col, self.most, self.window = keys, ts, id_col, most, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "start long, stop long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, stop, n = self.entry.get() if self.entry.exists() else (0, None, 0)
+        was, out = stop, []
+        every = pd.concat(list(rows)).sort_values([self.ts, self.id_col])
+        for own, t in zip(every[self.id_col], every[self.ts]):
+            at = _micros(t)
+            if stop is None or at >= stop:
+                (start, stop), n = self.window(at), 0
+            n += 1
+            out.append((*key, own, t, pd.Timestamp(start, unit="us"), n, n <= self.most))
+        if stop != was and was is not None:
+            self.handle.deleteTimer(was // 1000 + 1)
+        self.entry.update((start, stop, n))
+        self.handle.registerTimer(stop // 1000 + 1)
+        yield pd.DataFrame(out, columns=[*self.keys, self.id_col, self.ts, "window_start", "n_in_window", "allowed"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.entry.exists() and self.entry.get()[1] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.entry.clear()
+        yield pd.DataFrame([], columns=[*self.keys, self.id_col, self.ts, "window_start", "n_in_window", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def _decided(requests: DataFrame, key: str, id_col: str, most: int, window, ts: str, late: str) -> DataFrame:
+    kinds = dict(requests.dtypes)
+    marked = requests.withWatermark(ts, late).select(key, id_col, ts)
+    schema = f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, {ts} timestamp, window_start timestamp, n_in_window long, allowed boolean"
+    return _stateful(marked, [key], _Limited([key], ts, id_col, most, window), schema)
+
+
+def rate_limit_decisions(requests: DataFrame, key: str, id_col: str, seconds: int, most: int, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Each request with its place in its key's window, which begins with the first request after the one before is over, and whether it is
+    let through: the decisions of `timeseries.fixed_windows`, as requests arrive. A timer at the window's end clears the state."""
+    length = seconds * 1_000_000
+    return _decided(requests, key, id_col, most, lambda at: (at, at + length), ts, late)
+
+
+def quota_decisions(requests: DataFrame, source: str, id_col: str, most: int, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Each request of a source and whether the day's quota lets it through. A timer at midnight (UTC) clears the count."""
+    day = 86_400_000_000
+    return _decided(requests, source, id_col, most, lambda at: (at // day * day, at // day * day + day), ts, late)
+
+
+def store_new_keywords(queue: DataFrame, store: str, checkpoint: str) -> None:
+    """Puts what the keyword queue brings into the store of known keywords, in which each stays once; to the end of what has arrived.
+
+    A batch is compared with what the batches before it stored, not with the stream's own state, and writes a folder of its own,
+    which a repeated batch writes anew: so a replay adds nothing, and a new checkpoint finds the known set. The store is read by its
+    batches' folders, so a batch never meets its own rows."""
+    spark = queue.sparkSession
+    schema = "keyword string, run string, batch long"
+
+    def put(batch: DataFrame, n: int) -> None:
+        new = batch.select(F.lower(F.trim("keyword")).alias("keyword")).filter("keyword <> ''").distinct()
+        known = spark.read.schema(schema).option("basePath", store).parquet(store) if _exists(spark, store) else spark.createDataFrame([], schema)
+        run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        others = known.filter(~((F.col("run") == run) & (F.col("batch") >= n)))
+        new.join(others.select("keyword"), "keyword", "left_anti").write.mode("overwrite").parquet(f"{store}/run={run}/batch={n}")
+
+    run_available(queue, checkpoint, put)
+
+
+def known_keywords(spark: SparkSession, store: str) -> DataFrame:
+    return spark.read.schema("keyword string, run string, batch long").option("basePath", store).parquet(store).select("keyword")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
