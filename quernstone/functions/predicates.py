@@ -65,9 +65,37 @@ def synonym_groups(text: Column, groups: Sequence[Sequence[str]]) -> Column:
     return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [one(w) for w in g]) for g in groups], F.lit(True))
 
 
-def optional_eq(column: Column, value) -> Column:
-    """No condition where the value isn't given."""
-    return F.lit(True) if value in (None, "") else column == value
+#: Terms of a feed's keywords and what stands for them (fixed values).
+SYNONYMS = {
+    "developer": ["developer", "engineer", "dev", "software"],
+    "desenvolvedor": ["developer", "engineer", "dev", "software"],
+    "engineer": ["engineer", "developer"],
+    "frontend": ["frontend", "front-end", "front", "ui"],
+    "front-end": ["frontend", "front-end", "front", "ui"],
+    "backend": ["backend", "back-end", "server"],
+    "node.js": ["node.js", "nodejs", "node"],
+    "node": ["node.js", "nodejs", "node"],
+    "golang": ["golang", "go"],
+    "go": ["golang", "go"],
+    "javascript": ["javascript", "js"],
+    "typescript": ["typescript", "ts"],
+    "c#": ["c#", "csharp"],
+    ".net": [".net", "dotnet"],
+}
+#: A term of such a keyword, or a token of a text (fixed value).
+TERM = r"[a-z0-9+#.]+"
+
+
+def synonym_match(text: Column, keyword: str) -> Column:
+    """Each term of the keyword, or what stands for it, is in the lower-cased text: as a token, with dots, pluses or hashes also as a
+    substring. An empty keyword lets all through, one without a term none."""
+    plain = keyword.strip().lower()
+    if not plain:
+        return F.lit(True)
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    one = lambda w: F.contains(F.lower(text), F.lit(w)) if re.search(r"[.#+]", w) else F.array_contains(tokens, w)
+    groups = [SYNONYMS.get(t, [t]) for t in re.findall(TERM, plain)]
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(one, g)) for g in groups]) if groups else F.lit(False)
 
 
 def first_reason(text: Column, groups: Sequence[tuple[str, Sequence[str]]]) -> Column:

@@ -233,6 +233,25 @@ def bytes_label(n: Column) -> Column:
     return out
 
 
+def unit_label(value: Column, unit: Column) -> Column:
+    """A measured value as a panel shows it, by its unit: percent, ms, seconds, bytes, or a count."""
+    v = value.cast("double")
+    fixed = lambda x, n: F.format_string(f"%.{n}f", x)
+    whole = F.floor(v + 0.5).cast("long")  # halves go up
+    minutes = F.concat(F.when(v >= 600, fixed(v / 60, 1)).otherwise(fixed(v / 60, 2)), F.lit(" min"))
+    seconds = F.concat(F.when(v >= 10, fixed(v, 1)).otherwise(fixed(v, 2)), F.lit(" s"))
+    grouped = F.replace(F.format_number(whole, 0), F.lit(","), F.lit("."))
+    plain = F.regexp_replace(F.regexp_replace(F.when(v % 1 == 0, fixed(v, 0)).otherwise(fixed(v, 3)), "0+$", ""), r"\.$", "")
+    out = (
+        F.when(unit == "percent", F.concat(F.when(v >= 10, fixed(v, 1)).otherwise(fixed(v, 2)), F.lit("%")))
+        .when(unit == "ms", F.concat(whole.cast("string"), F.lit(" ms")))
+        .when(unit == "seconds", F.when(v >= 60, minutes).otherwise(seconds))
+        .when(unit == "bytes", bytes_label(v))
+        .otherwise(F.when(v >= 1000, grouped).otherwise(plain))
+    )
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit("No data")).otherwise(out)
+
+
 def date_label(x: Column) -> Column:
     """dd/mm/yyyy of an ISO date at the beginning, else of what can be read as a time, else a fixed phrase."""
     iso = F.regexp_extract(x, r"^(\d{4})-(\d{2})-(\d{2})", 0)

@@ -46,6 +46,14 @@ def page_of(rows: DataFrame, order: list[Column], page: Page) -> DataFrame:
     return rows.orderBy(*order).offset(page.offset).limit(page.limit)
 
 
+def list_page(rows: DataFrame, page: int, size: int) -> DataFrame:
+    """The page that a list shows where one is asked for, as a row: page, size, total, pages. At most 50 rows a page, at least one
+    page, the shown one within them. A count, not the rows."""
+    limit = min(50, max(1, size))
+    counted = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / limit)).cast("long"))
+    return counted.select(F.least(F.greatest(F.lit(page), F.lit(1)).cast("long"), "pages").alias("page"), F.lit(limit).alias("size"), "total", "pages")
+
+
 def nulls_last(column: str, descending: bool = False) -> Column:
     """Nulls and blanks last in both directions."""
     c = F.nullif(F.col(column), F.lit(""))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.secrets import hmac_sha256
+
 #: Roles from the lowest level up (fixed values).
 ROLES = ["user", "support", "manager", "admin"]
 #: Verbs of critical audit actions (fixed values).
@@ -31,6 +33,31 @@ def filtered(rows: DataFrame, equals: dict[str, object], when: str | None = None
     return rows
 
 
+def users_found(users: DataFrame, search: str | None = None, role: str | None = None, blocked: bool | None = None, key: str = "") -> DataFrame:
+    """users (username, display_name, email_hash, role, is_blocked) by a part of a name in any case, or by the whole mail address: what
+    has an @ is hashed by the key as the stored addresses are, and never compared in clear."""
+    rows = filtered(users, {"role": role, "is_blocked": blocked})
+    if not search:
+        return rows
+    part = "%" + search.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+    found = F.col("username").ilike(part) | F.col("display_name").ilike(part)
+    if "@" in search:
+        found = found | (F.col("email_hash") == hmac_sha256(F.lit(search.strip().lower()), key))
+    return rows.filter(F.coalesce(found, F.lit(False)))
+
+
+def users_listed(users: DataFrame, search: str = "", role: str = "all", status: str = "all") -> DataFrame:
+    """A page's own filter over the users it has (name, email, username, role, is_blocked): a part of any of three columns, role and status."""
+    term = search.strip().lower()
+    has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(term))
+    own = F.lit(True) if not term else has("name") | has("email") | has("username")
+    if role != "all":
+        own = own & (F.col("role") == role)
+    if status != "all":
+        own = own & (F.coalesce("is_blocked", F.lit(False)) == (status == "blocked"))
+    return users.filter(own)
+
+
 def owned(rows: DataFrame, user: object, column: str = "user_id") -> DataFrame:
     return rows.filter(F.col(column) == F.lit(user))
 
@@ -49,7 +76,7 @@ def changed_rules(current: DataFrame, baseline: DataFrame, keys: list[str], valu
 def allowed_counts(roles: DataFrame, rules: DataFrame) -> DataFrame:
     """How many rules each role's level reaches. Rules are counted by level first: what meets is levels, not rules."""
     levels = rules.groupBy("min_level").agg(F.count(F.lit(1)).alias("n"))
-    return roles.join(F.broadcast(levels), F.col("level") >= F.col("min_level"), "left").groupBy("role", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("allowed"))
+    return roles.join(levels, F.col("level") >= F.col("min_level"), "left").groupBy("role", "level").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("allowed"))
 
 
 def connections(providers: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.infer import country_search, level_search, model_search
 from quernstone.functions.predicates import fold_word
 from quernstone.functions.text import comparable
+from quernstone.functions.text import once as text_once
 from quernstone.operators.match import score
 from quernstone.operators.paging import Page, page_of
 from quernstone.operators.phrases import containing
@@ -99,30 +100,44 @@ def level_of(value: str) -> str:
     return "estagio" if folded in TRAINEES else folded
 
 
-def verified(q: Query) -> Column:
-    """What is re-checked on the rows: level and model by their search forms, place, type, family, technology, seniority."""
-    text = comparable(F.concat_ws(" ", *[F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in ("title", "location", "modality", "description")]))
-    level = level_search(comparable(F.coalesce("title", F.lit(""))))
-    out = F.lit(True)
-    if q.level:
-        out = out & (level == level_of(q.level))
-    if q.seniority:
-        own = comparable(F.coalesce("classification.seniority", F.lit("")))
-        own = F.when(own.isin(*TRAINEES), "estagio").otherwise(own)
-        out = out & ((own == level_of(q.seniority)) | (level == level_of(q.seniority)))
-    if where := fold_word(q.location or q.country):
-        own = comparable(F.coalesce("location", F.lit("")))
-        named = country_search(own)
-        out = out & F.when(named != "", named == where).otherwise(F.contains(own, F.lit(where)))
-    if q.type:
-        out = out & model_search(text).isin([fold_word(t) for t in q.type])
+def verify(rows: DataFrame, q: Query) -> DataFrame:
+    """Re-checked on the rows: level and model by their search forms, place, type, family, technology, seniority. Folded texts and the
+    level are computed once a row. `todos` and `all` ask for nothing."""
+    asked = lambda value: fold_word(value) not in ("", "todos", "all")
+    own = rows
+    conditions: list[Column] = []
+
+    def once(name: str, value: Column) -> Column:
+        nonlocal own
+        if name not in own.columns:
+            own = text_once(own, name, value)
+        return F.col(name)
+
+    def level() -> Column:
+        return once("_level", level_search(once("_title", comparable(F.coalesce("title", F.lit(""))))))
+
+    if asked(q.level):
+        conditions.append(level() == level_of(q.level))
+    if asked(q.seniority):
+        kind = comparable(F.coalesce("classification.seniority", F.lit("")))
+        kind = F.when(kind.isin(*TRAINEES), "estagio").otherwise(kind)
+        conditions.append((kind == level_of(q.seniority)) | (level() == level_of(q.seniority)))
+    if asked(where := q.location or q.country):
+        place = once("_place", comparable(F.coalesce("location", F.lit(""))))
+        named = once("_country", country_search(place))
+        conditions.append(F.when(named != "", named == fold_word(where)).otherwise(F.contains(place, F.lit(fold_word(where)))))
+    if kinds := [fold_word(t) for t in q.type if asked(t)]:
+        text = once("_text", comparable(F.concat_ws(" ", *[F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit("")) for c in ("title", "location", "modality", "description")])))
+        conditions.append(model_search(text).isin(kinds))
     folded = lambda items: F.transform(items, comparable)
-    if q.family:
-        own = F.array_append(folded(F.col("classification.relatedFamilies")), comparable(F.col("classification.primaryFamily")))
-        out = out & F.arrays_overlap(own, F.array(*[F.lit(fold_word(f)) for f in q.family]))
-    if q.technology:
-        out = out & F.arrays_overlap(folded(F.col("classification.technologies")), F.array(*[F.lit(fold_word(t)) for t in q.technology]))
-    return F.coalesce(out, F.lit(False))
+    if families := [fold_word(f) for f in q.family if asked(f)]:
+        mine = F.array_append(folded(F.col("classification.relatedFamilies")), comparable(F.col("classification.primaryFamily")))
+        conditions.append(F.arrays_overlap(mine, F.array(*map(F.lit, families))))
+    if technologies := [fold_word(t) for t in q.technology if asked(t)]:
+        conditions.append(F.arrays_overlap(folded(F.col("classification.technologies")), F.array(*map(F.lit, technologies))))
+    for c in conditions:
+        own = own.filter(F.coalesce(c, F.lit(False)))
+    return own.select(*rows.columns)
 
 
 def search(jobs: DataFrame, index: DataFrame, q: Query, page: Page, profile: list[tuple[str, float]] | None = None) -> tuple[DataFrame, str]:
@@ -130,10 +145,12 @@ def search(jobs: DataFrame, index: DataFrame, q: Query, page: Page, profile: lis
     index result falls back to verifying all rows that the keywords name. Order is by match score where asked for, then by id."""
     facets = q.facets()
     if facets:
-        ids, source = ids_of_facets(index, facets, q.keywords), "index"
+        # the ids are looked up once: what is tested for emptiness is what the rows are joined with
+        ids, source = ids_of_facets(index, facets, q.keywords).persist(), "index"
         if ids.isEmpty():
+            ids.unpersist()
             ids, source = (ids_of_keywords(index, q.keywords) if q.keywords else index.filter("kind = 'all'").select("id").distinct()), "fallback"
-        rows = jobs.join(ids, "id", "left_semi").filter(verified(q))
+        rows = verify(jobs.join(ids, "id", "left_semi"), q)
     else:
         source = "keywords" if q.keywords else "all"
         rows = jobs.join(ids_of_keywords(index, q.keywords) if q.keywords else index.filter("kind = 'all'").select("id").distinct(), "id", "left_semi")

@@ -6,11 +6,12 @@ the SQL states the rules again from the same lists."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import filters, infer, secrets, text
+from quernstone.functions import filters, infer, predicates, secrets, text
 from quernstone.functions import taxonomy as T
 from quernstone.operators import classify, index, paging, projections
 from quernstone.plans.text_queries import any_sql, fold_sql, rules_sql, unescape_sql
@@ -213,8 +214,9 @@ def technology_jobs(spark, d):
 @query(f"WITH {JOBS_SQL} SELECT id FROM jobs WHERE listed AND contains(keyword, 'red') AND contains({fold_sql('concat_ws(' + chr(39) + ' ' + chr(39) + ', title, company, location, keyword)')}, 'dev') AND contains({fold_sql('concat_ws(' + chr(39) + ' ' + chr(39) + ', title, company, location, keyword)')}, 'brand 1')")
 def list_filter(spark, d):
     j = jobs(spark, d)
-    chosen = [r.keyword for r in j.select("keyword").filter(F.contains("keyword", F.lit("red"))).distinct().collect()]  # what a user ticked in the list of keywords
-    return j.filter(filters.list_match(F.col("keywords"), F.concat_ws(" ", "title", "company", "location", "keyword"), "Dév; /Brand#1", chosen)).select("id")
+    ticked = j.select(F.col("keyword").alias("_ticked")).filter(F.contains("_ticked", F.lit("red"))).distinct()  # what a user ticked in the list of keywords
+    some = j.select("*", F.explode(F.array_distinct("keywords")).alias("_keyword")).join(ticked, F.col("_keyword") == F.col("_ticked"), "left_semi")
+    return some.filter(filters.list_match(F.col("keywords"), F.concat_ws(" ", "title", "company", "location", "keyword"), "Dév; /Brand#1", [])).select("id").distinct()
 
 
 @query(f"WITH {JOBS_SQL} SELECT id, modality IN ('Remoto', 'Híbrido') AS flexible, true AS every, CASE modality WHEN '' THEN 'Todos' WHEN 'Remoto' THEN 'Remoto' WHEN 'Híbrido' THEN 'RemotoHibrido' ELSE 'RemotoPresencial' END AS filter FROM jobs")
@@ -312,12 +314,12 @@ def free_usernames(spark, d):
     return projections.usernames(c.select("c_custkey", "c_mktsegment"), taken, "c_mktsegment").select("c_custkey", "username")
 
 
-@query("SELECT 2 AS page, 50 AS size, count(*) AS total, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS pages FROM supplier")
+@query("""
+SELECT least(greatest(p, 1), greatest(1, CAST(ceil(n / 50) AS BIGINT))) AS page, 50 AS size, n AS total, CAST(greatest(1, ceil(n / 50)) AS BIGINT) AS pages FROM (SELECT count(*) AS n FROM supplier), (SELECT unnest([2, 1000000000, -3]) AS p)
+""")
 def page_of_list(spark, d):
     s = table(spark, d, "supplier")
-    n = s.count()
-    own, over = paging.Page.of_list(2, 70, 60 + n), paging.Page.of_list(10**9, 70, n)
-    return s.agg(F.lit(own.page).alias("page"), F.lit(own.limit).alias("size"), F.count(F.lit(1)).alias("total"), F.lit(over.page).cast("long").alias("pages"))
+    return reduce(DataFrame.unionByName, [paging.list_page(s, p, 70) for p in (2, 10**9, -3)])
 
 
 # Feeds: documents made of the catalogue, read and projected
@@ -403,13 +405,42 @@ def feed_themuse(spark, d):
     return _read(spark, d, "themuse", S(F.array(job).alias("results")))
 
 
-@query(feed_sql("LinkedIn", id="'http://l/' || p_partkey", title="p_name", company="p_brand", location="p_type", url="'http://l/' || p_partkey", postedAt="'2024-01-01'", keyword="''", keywords="''"))
+PLACE_SQL = "p_type || CASE p_size % 4 WHEN 0 THEN ', Porto' WHEN 1 THEN ', BRASIL' WHEN 2 THEN ' &Aacute;vila' ELSE '' END"
+ASKED_SQL = f"""CASE WHEN p_size % 5 = 0 THEN p_type || CASE p_size % 4 WHEN 0 THEN ', Porto' WHEN 1 THEN ', BRASIL' WHEN 2 THEN ' Ávila' ELSE '' END
+  WHEN p_size % 4 IN (0, 1) THEN {PLACE_SQL} WHEN p_size % 4 = 2 THEN p_type || ' Ávila, Brasil' ELSE p_type || ', Brasil' END"""
+
+
+@query(feed_sql("LinkedIn", id="'http://l/' || p_partkey", title="p_name", company="p_brand", location=ASKED_SQL, url="'http://l/' || p_partkey", postedAt="'2024-01-01'", keyword="''", keywords="''"))
 def feed_linkedin(spark, d):
-    card = F.concat(F.lit('<ul><li><a href="http://l/'), F.col("p_partkey").cast("string"), F.lit('/?ref=1"></a><h3 class="base-search-card__title"> '), "p_name", F.lit('</h3><h4 class="base-search-card__subtitle">'), "p_brand", F.lit('</h4><span class="job-search-card__location">'), "p_type", F.lit('</span><time class="x" datetime="2024-01-01">now</time></li><li>none</li></ul>'))
-    out = feeds.linkedin(table(spark, d, "part").select(card.alias("html")))
+    """Cards with and without a place that was asked for: some have it already, some tell a country of their own."""
+    k = F.col("p_size") % 4
+    place = F.concat("p_type", F.when(k == 0, ", Porto").when(k == 1, ", BRASIL").when(k == 2, " &Aacute;vila").otherwise(""))
+    card = F.concat(F.lit('<ul><li><a href="http://l/'), F.col("p_partkey").cast("string"), F.lit('/?ref=1"></a><h3 class="base-search-card__title"> '), "p_name", F.lit('</h3><h4 class="base-search-card__subtitle">'), "p_brand", F.lit('</h4><span class="job-search-card__location">'), place, F.lit('</span><time class="x" datetime="2024-01-01">now</time></li><li>none</li></ul>'))
+    asked = F.when(F.col("p_size") % 5 == 0, " ").otherwise(" Brasil ")
+    out = feeds.linkedin(table(spark, d, "part").select(card.alias("html"), asked.alias("search_location")))
     return out.select(*[F.array_join(c, ",").alias(c) if c in ("sources", "keywords") else c for c in feeds.JOB])
 
 
+TOKENS_SQL = "list_contains(regexp_extract_all(lower(t), '[a-z0-9+#.]+'), '{}')"
+
+
+def asked_sql(*groups: list[str]) -> str:
+    one = lambda w: f"contains(lower(t), '{w}')" if any(c in w for c in ".#+") else TOKENS_SQL.format(w)
+    return " AND ".join("(" + " OR ".join(map(one, g)) + ")" for g in groups)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN ' Golang Engineer' WHEN 1 THEN ' Go-dev' WHEN 2 THEN ' NodeJS/software' WHEN 3 THEN ' x.net C#2' WHEN 4 THEN ' Cargo Engineers' ELSE ' node.js server' END AS t FROM part)
+SELECT p_partkey, {asked_sql(["golang", "go"], ["developer", "engineer", "dev", "software"])} AS go_developer, {asked_sql(["node.js", "nodejs", "node"])} AS node, {asked_sql(["c#", "csharp"], [".net", "dotnet"])} AS net, true AS every, false AS none FROM p
+""")
+def feed_synonyms(spark, d):
+    """A feed's keywords with what stands for their terms."""
+    k = F.col("p_size") % 6
+    t = F.concat("p_name", F.when(k == 0, " Golang Engineer").when(k == 1, " Go-dev").when(k == 2, " NodeJS/software").when(k == 3, " x.net C#2").when(k == 4, " Cargo Engineers").otherwise(" node.js server"))
+    asked = {"go_developer": " Go Developer", "node": "Node", "net": "C# .NET", "every": " ", "none": "é!"}
+    return table(spark, d, "part").select("p_partkey", *[predicates.synonym_match(t, w).alias(n) for n, w in asked.items()])
+
+
 @query("SELECT slug, arg_min(name, n) AS name FROM (SELECT lower(p_brand) AS slug, p_name AS name, p_partkey AS n FROM part WHERE p_size % 5 > 0) GROUP BY slug")
 def board_catalog(spark, d):
     p = table(spark, d, "part")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.functions import text
+from quernstone.functions import secrets, text
 from quernstone.operators import dedup, match, paging, relational, search
 from quernstone.session import scratch, table
 from quernstone.sources import sinks
@@ -72,7 +73,7 @@ def search_verify(spark, d):
     q = search.Query(family=["economy"], location="Portugal", type=["hibrido"])
     jobs, ix = part_jobs(spark, d), part_index(spark, d)
     ids = search.ids_of_facets(ix, {"family": ["economy"]})
-    rows = jobs.join(ids, "id", "left_semi").filter(search.verified(q))
+    rows = search.verify(jobs.join(ids, "id", "left_semi"), q)
     return paging.page_of(rows, [F.col("id")], paging.Page(1, 15)).select("id", "title")
 
 
@@ -93,6 +94,25 @@ SELECT id, CASE WHEN n = 0 THEN 45 ELSE least(99, 55 + CAST(floor(w / 6.0 * 35 +
 """
 
 
+@query(f"""
+SELECT id, title, match_score, 'keywords' AS source FROM ({MATCH_SQL.replace("lower(p_name) || ' ' AS t", "lower(p_name) || ' ' || lower(p_type) || ' ' AS t")}) m JOIN (SELECT p_partkey AS id, p_name AS title, p_type FROM part) p USING (id)
+WHERE contains(' ' || lower(title) || ' ', ' red ') OR contains(' ' || lower(title) || ' ', ' ring ') OR lower(p_type) = 'promo' ORDER BY match_score DESC, id LIMIT 20
+""")
+def search_by_match(spark, d):
+    """A request without facets: ids by keywords, best matches first."""
+    q = search.Query.parse({"keywords": ["Red, ring", "PROMO"], "sort": "DESC"})
+    rows, source = search.search(part_jobs(spark, d), part_index(spark, d), q, paging.Page.parse(None, "20"), PROFILE)
+    return rows.select("id", "title", "match_score", F.lit(source).alias("source"))
+
+
+@query("SELECT p_partkey AS id, p_name AS title, 'index' AS source FROM part WHERE lower(p_type) IN ('economy', 'promo') AND lower(p_brand) IN ('brand#2', 'brand#17') ORDER BY id LIMIT 10")
+def search_indexed(spark, d):
+    """A request whose facets the index answers; the rows verify them."""
+    q = search.Query.parse({"family": ["ECONOMY", "promo, "], "technology": "Brand#2,brand 17", "level": "todos", "contractType": "all"})
+    rows, source = search.search(part_jobs(spark, d), part_index(spark, d), q, paging.Page.parse("1", "10"))
+    return rows.select("id", "title", F.lit(source).alias("source"))
+
+
 @query(MATCH_SQL)
 def match_score(spark, d):
     return match.score(table(spark, d, "part"), F.col("p_name"), PROFILE).select(F.col("p_partkey").alias("id"), "match_score")
@@ -105,19 +125,20 @@ def match_top(spark, d):
 
 
 @query("""
-WITH o AS (SELECT DISTINCT o_custkey AS user_id, p_name AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
-p AS (SELECT DISTINCT user_id, lower(split_part(id, ' ', 1)) AS term FROM o),
+WITH o AS (SELECT DISTINCT o_custkey AS user_id, p_name AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'),
+p AS (SELECT user_id, min(lower(split_part(id, ' ', 1))) AS term FROM o GROUP BY 1 UNION SELECT user_id, max(lower(split_part(id, ' ', 1))) FROM o GROUP BY 1),
 t AS (SELECT id, unnest(list_distinct(string_split(lower(id), ' '))) AS term FROM (SELECT DISTINCT p_name AS id FROM part)),
 h AS (SELECT user_id, id, count(*) AS n FROM p JOIN t USING (term) GROUP BY 1, 2), w AS (SELECT user_id, count(*) AS total FROM p GROUP BY 1),
 s AS (SELECT user_id, id, CAST(least(99, 55 + floor(n * 35.0 / total + 0.5) + least(4 * n, 9)) AS INTEGER) AS match_score FROM h JOIN w USING (user_id))
 SELECT user_id, id, match_score FROM s ANTI JOIN o USING (user_id, id) WHERE match_score >= 85
 """)
 def match_high_new(spark, d):
-    """Users' profiles are words of what they ordered; high matches among the names that they haven't ordered yet."""
+    """Users' profiles are two words of what they gave back; high matches among the names that they haven't given back."""
     o, li, p = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    bought = o.select("o_orderkey", F.col("o_custkey").alias("user_id")).join(li.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")), "o_orderkey")
+    bought = o.select("o_orderkey", F.col("o_custkey").alias("user_id")).join(li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")), "o_orderkey")
     owned = bought.join(p.select("p_partkey", F.col("p_name").alias("id")), "p_partkey").select("user_id", "id").distinct()
-    profile = owned.select("user_id", F.lower(F.split("id", " ")[0]).alias("term")).distinct().withColumns({"years": F.lit(1.0), "ordinal": F.lit(0)})
+    words = owned.groupBy("user_id").agg(*[f(F.lower(F.split("id", " ")[0])).alias(f.__name__) for f in (F.min, F.max)])
+    profile = words.select("user_id", F.explode(F.array_distinct(F.array("min", "max"))).alias("term")).withColumns({"years": F.lit(1.0), "ordinal": F.lit(0)})
     texts = p.select(F.col("p_name").alias("id"), F.lower("p_name").alias("text")).distinct()
     return match.high_matches(match.score_profiles(texts, profile, match.HIGH_SHARE), owned, ["user_id", "id"])
 
@@ -309,10 +330,38 @@ def notifications_unread(spark, d):
     return rows.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("read_at").isNull()).alias("unread"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND (c_name ILIKE '%00042%' OR c_name ILIKE 'customer#00000001%')")
+USERS_SQL = "u AS (SELECT c_custkey AS id, c_name AS username, lower(c_mktsegment) || ' ' || c_custkey AS display_name, 'mail' || (c_custkey % 50) || '@x.example' AS email, c_mktsegment AS role, c_acctbal < 0 AS is_blocked FROM customer)"
+KEY = "a key for tests"
+
+
+def users(spark, d):
+    email = F.concat(F.lit("mail"), (F.col("c_custkey") % 50).cast("string"), F.lit("@x.example"))
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.concat(F.lower("c_mktsegment"), F.lit(" "), F.col("c_custkey").cast("string")).alias("display_name"), email.alias("email"),
+        secrets.hmac_sha256(email, KEY).alias("email_hash"), F.col("c_mktsegment").alias("role"), (F.col("c_acctbal") < 0).alias("is_blocked"),
+    )
+
+
+@query(f"""
+WITH {USERS_SQL}
+SELECT 'name' AS search, id FROM u WHERE role = 'BUILDING' AND (username ILIKE '%r#0000000%' OR display_name ILIKE '%r#0000000%') UNION ALL SELECT 'shown', id FROM u WHERE display_name ILIKE '%ING 1%' AND NOT is_blocked
+UNION ALL SELECT 'mail', id FROM u WHERE email = 'mail7@x.example' UNION ALL SELECT 'part of a mail', id FROM u WHERE username ILIKE '%@x.example%' UNION ALL SELECT 'any', id FROM u WHERE is_blocked
+""")
 def users_filter(spark, d):
-    rows = relational.filtered(table(spark, d, "customer"), {"c_mktsegment": "BUILDING"})
-    return rows.filter(F.col("c_name").ilike("%00042%") | F.col("c_name").ilike("customer#00000001%")).select("c_custkey", "c_name")
+    u = users(spark, d)
+    asked = {"name": {"search": "R#0000000", "role": "BUILDING"}, "shown": {"search": "ing 1", "blocked": False}, "mail": {"search": " Mail7@X.example ", "key": KEY}, "part of a mail": {"search": "@x.example", "key": KEY}, "any": {"blocked": True}}
+    parts = [relational.users_found(u, **how).select(F.lit(name).alias("search"), "id") for name, how in asked.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""
+WITH {USERS_SQL}
+SELECT 'mail' AS search, id FROM u WHERE contains(email, 'mail7@') AND role = 'BUILDING' UNION ALL SELECT 'name', id FROM u WHERE contains(display_name, 'ing 1') AND is_blocked UNION ALL SELECT 'active', id FROM u WHERE NOT is_blocked AND role = 'MACHINERY'
+""")
+def users_list_filter(spark, d):
+    u = users(spark, d).withColumnRenamed("display_name", "name")
+    asked = {"mail": ("MAIL7@", "BUILDING", "all"), "name": (" ing 1", "all", "blocked"), "active": (" ", "MACHINERY", "active")}
+    return reduce(DataFrame.unionByName, [relational.users_listed(u, *how).select(F.lit(name).alias("search"), "id") for name, how in asked.items()])
 
 
 @query("SELECT doc_id, sum(w * m) / sum(w) AS coverage FROM (SELECT doc_id, unnest([3, 2, 1]) AS w, unnest([CAST(contains(text, 'the ') AS INTEGER), CAST(contains(text, 'und ') AS INTEGER), CAST(contains(text, 'la ') AS INTEGER)]) AS m FROM documents) GROUP BY doc_id")
@@ -388,9 +437,10 @@ def delete_cascade(spark, d):
     return relational.without_children(parents, table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "o_orderkey", "l_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def cross_run_new(spark, d):
-    existing = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order in progress."""
+    existing = table(spark, d, "orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return dedup.new_only(table(spark, d, "customer").select("c_custkey"), existing, "c_custkey")
 
 

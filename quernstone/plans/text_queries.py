@@ -177,6 +177,19 @@ def bytes_format(spark, d):
     return table(spark, d, "documents").select("doc_id", text.bytes_label(F.col("n_chars")).alias("size"))
 
 
+@query("""
+WITH e AS (SELECT event_id, floor(value) * CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 100 END + CASE event_id % 5 WHEN 2 THEN 0 ELSE 0.5 END AS v, event_id % 5 AS u FROM events)
+SELECT event_id, CASE u WHEN 0 THEN CASE WHEN v >= 10 THEN printf('%.1f', v) ELSE printf('%.2f', v) END || '%' WHEN 1 THEN CAST(floor(v + 0.5) AS BIGINT) || ' ms'
+  WHEN 2 THEN CASE WHEN v >= 600 THEN printf('%.1f', round(v / 60, 1)) || ' min' WHEN v >= 60 THEN printf('%.2f', round(v / 60, 2)) || ' min' WHEN v >= 10 THEN printf('%.1f', v) || ' s' ELSE printf('%.2f', v) || ' s' END
+  WHEN 3 THEN CASE WHEN v >= 1024 THEN printf('%.1f', round(v / 1024, 1)) || ' KiB' ELSE printf('%.0f', floor(v + 0.5)) || ' B' END
+  ELSE CASE WHEN v >= 1000 THEN replace(format('{:,}', CAST(floor(v + 0.5) AS BIGINT)), ',', '.') ELSE regexp_replace(regexp_replace(CASE WHEN v % 1 = 0 THEN printf('%.0f', v) ELSE printf('%.3f', v) END, '0+$', ''), '\\.$', '') END END AS label FROM e
+""")
+def unit_labels(spark, d):
+    v = F.floor("value") * F.when(F.col("event_id") % 3 == 0, 1).when(F.col("event_id") % 3 == 1, 10).otherwise(100) + F.when(F.col("event_id") % 5 == 2, 0.0).otherwise(0.5)
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("percent", "ms", "seconds", "bytes", "count")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", text.unit_label(v, unit).alias("label"))
+
+
 # Predicates and inference
 
 

@@ -163,13 +163,29 @@ def themuse(raw: DataFrame, detail: DataFrame | None = None) -> DataFrame:
     return records(r, "The Muse", id=F.coalesce(F.nullif(F.col("_id"), F.lit("")), url), title=s("r.name"), company=s("r.company.name"), location=F.array_join(names("locations"), ", "), url=url, description=body, postedAt=s("r.publication_date"))
 
 
+#: Parts of locations that tell a country (fixed values).
+KNOWN_PLACES = [
+    "estados unidos", "united states", "usa", "eua", "florida", "miami", "new york", "california", "texas", "boston", "seattle", "chicago", "atlanta", "denver", "portugal", "lisboa", "porto", "canada",
+    "toronto", "vancouver", "reino unido", "united kingdom", "london", "france", "paris", "germany", "berlin",
+]
+
+
+def searched_location(location: Column, asked: Column) -> Column:
+    """A card's location with the one that was asked for, unless it has that already or tells a country of its own."""
+    own, where = s(location), s(asked)
+    known = F.contains(F.lower(own), F.lower(where)) | has(text.accents_pt(own), KNOWN_PLACES)
+    return F.when(where == "", own).when(own == "", where).when(known, own).otherwise(F.concat(own, F.lit(", "), where))
+
+
 def linkedin(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Cards of result pages: the fields by their classes, with the fallbacks of older pages."""
+    """Cards of result pages: the fields by their classes, with the fallbacks of older pages. pages may have a column search_location: where was asked for."""
     card = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1)))
     r = pages.withColumn("c", card)
     field = lambda *marks: F.coalesce(*[F.nullif(text.tag_text(F.regexp_extract("c", rf'(?s)<(\w+)[^>]*class="[^"]*{m}[^"]*"[^>]*>(.*?)</\1>', 2)), F.lit("")) for m in marks], F.lit(""))
     url = text.url_key(F.regexp_extract("c", r'<a[^>]*href="([^"]+)"', 1))
-    out = records(r, "LinkedIn", id=url, title=field("base-search-card__title", "job-title", "sr-only"), company=field("base-search-card__subtitle", "company-name"), location=field("job-search-card__location", "location"), url=url, postedAt=F.regexp_extract("c", r'<time[^>]*datetime="([^"]+)"', 1))
+    asked = F.col("search_location") if "search_location" in pages.columns else F.lit("")
+    place = searched_location(field("job-search-card__location", "location"), asked)
+    out = records(r, "LinkedIn", id=url, title=field("base-search-card__title", "job-title", "sr-only"), company=field("base-search-card__subtitle", "company-name"), location=place, url=url, postedAt=F.regexp_extract("c", r'<time[^>]*datetime="([^"]+)"', 1))
     return out.filter("title <> ''")
 
 
