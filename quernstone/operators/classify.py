@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import taxonomy as T
 from quernstone.functions.infer import seniority, source_of
-from quernstone.functions.predicates import any_of, first_reason, fold_word, token_match
-from quernstone.functions.text import compact_label, fold
+from quernstone.functions.predicates import first_reason, fold_word
+from quernstone.functions.text import compact_label, fold, once
 from quernstone.operators.phrases import containing
 
 WEIGHTS = (4, 1, -3)
@@ -18,15 +19,40 @@ WEIGHTS = (4, 1, -3)
 Families = dict[str, tuple[Sequence[str], Sequence[str], Sequence[str]]]
 
 
-def score_of(text: Column, family: str, families: Families = T.FAMILIES) -> Column:
-    """Weighted sum of the terms that stand in the text; every listed term counts, also one that folds as another."""
-    parts = [F.when(token_match(text, fold_word(t)), F.lit(w)).otherwise(0) for terms, w in zip(families[family], WEIGHTS) for t in terms]
-    return sum(parts[1:], parts[0]) if parts else F.lit(0)
-
-
-def scores(text: Column, families: Families = T.FAMILIES) -> Column:
-    """array<struct<score, family>> of positive scores, best first, ties by name. Expressions on the row: no shuffle."""
-    every = F.array(*[F.struct(score_of(text, f, families).alias("score"), F.lit(f).alias("family")) for f in sorted(families)])
+def _table(values: dict, kind: str) -> Column:
+    """A constant map: one literal, which the optimizer turns into a map once."""
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
+
+
+def standing(text: Column, terms: Iterable[str]) -> Column:
+    """Which of the folded terms stand in a text: words as tokens, by one intersection, and phrases as substrings."""
+    every = sorted({t for t in terms if t})
+    one, several = ([t for t in every if (" " in t) == many] for many in (False, True))
+    found = F.array_intersect(F.split(text, " "), F.array(*map(F.lit, one))) if one else F.expr("cast(array() as array<string>)")
+    return F.concat(found, F.filter(F.array(*map(F.lit, several)), lambda p: F.contains(text, p))) if several else found
+
+
+def _weights(families: Families) -> dict[str, list[dict[str, int]]]:
+    """term -> what it adds to which family, by its place among the sorted names; a term that is listed twice adds twice."""
+    out: dict[str, dict[int, int]] = {}
+    for k, family in enumerate(sorted(families)):
+        for terms, w in zip(families[family], WEIGHTS):
+            for t in map(fold_word, terms):
+                if t:
+                    own = out.setdefault(t, {})
+                    own[k] = own.get(k, 0) + w
+    return {t: [{"k": k, "w": w} for k, w in own.items()] for t, own in out.items()}
+
+
+def scores(text: Column, families: Families = T.FAMILIES, hits: Column | None = None) -> Column:
+    """array<struct<score, family>> of positive scores, best first, ties by name: weighted sums of the terms that stand in the text. Every listed
+    term counts, also one that folds as another. Expressions on the row: no shuffle. hits: what standing() gave for
+    these terms and perhaps others."""
+    weights = _weights(families)
+    entries = F.flatten(F.transform(standing(text, weights) if hits is None else hits, lambda t: F.coalesce(F.element_at(_table(weights, "array<struct<k:int,w:int>>"), t), F.expr("cast(array() as array<struct<k:int,w:int>>)"))))
+    names = sorted(families)
+    sums = F.aggregate(entries, F.array(*[F.lit(0)] * len(names)), lambda acc, e: F.transform(acc, lambda x, i: F.when(i == e["k"], x + e["w"]).otherwise(x)))
+    every = F.zip_with(sums, F.array(*map(F.lit, names)), lambda x, f: F.struct(x.alias("score"), f.alias("family")))
     found = F.filter(every, lambda s: s["score"] > 0)
     return F.array_sort(found, lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).otherwise(F.when(a["family"] < b["family"], -1).when(a["family"] > b["family"], 1).otherwise(0)))
 
@@ -49,8 +75,15 @@ def score_rows(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFr
     return hits.unionByName(phrases).groupBy(key, "family").agg(F.sum("weight").alias("score")).filter("score > 0")
 
 
-def technologies(text: Column, aliases: dict[str, list[str]] = T.TECHNOLOGIES) -> Column:
-    return F.filter(F.array(*[F.when(any_of(text, a), F.lit(name)) for name, a in sorted(aliases.items())]), lambda x: x.isNotNull())
+def technologies(text: Column, aliases: dict[str, list[str]] = T.TECHNOLOGIES, hits: Column | None = None) -> Column:
+    """Names, sorted, of which an alias stands in the text."""
+    folded = {name: [f for a in own if (f := fold_word(a))] for name, own in aliases.items()}
+    names: dict[str, list[str]] = {}
+    for name, own in folded.items():
+        for a in own:
+            names.setdefault(a, []).append(name)
+    found = F.transform(standing(text, names) if hits is None else hits, lambda t: F.coalesce(F.element_at(_table(names, "array<string>"), t), F.expr("cast(array() as array<string>)")))
+    return F.array_sort(F.array_distinct(F.flatten(found)))
 
 
 def classify(jobs: DataFrame) -> DataFrame:
@@ -58,7 +91,13 @@ def classify(jobs: DataFrame) -> DataFrame:
     a score of one names its family out of scope."""
     joined = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "location", "modality", "description")])
     text = F.col("_text")
-    work = jobs.withColumn("_text", fold(joined)).withColumn("_scores", scores(text)).withColumn("_tech", technologies(text)).withColumn("_blocked", first_reason(fold(F.coalesce(F.col("title"), F.lit(""))), T.BLOCKED_TITLES))
+    terms = [*_weights(T.FAMILIES), *[fold_word(a) for own in T.TECHNOLOGIES.values() for a in own]]
+    work = once(jobs, "_text", fold(joined))  # each step once a row, however often the next one uses it
+    work = once(work, "_hits", standing(text, terms))
+    work = once(work, "_scores", scores(text, hits=F.col("_hits")))
+    work = once(work, "_tech", technologies(text, hits=F.col("_hits")))
+    work = once(work, "_title", fold(F.coalesce(F.col("title"), F.lit(""))))
+    work = once(work, "_blocked", first_reason(F.col("_title"), T.BLOCKED_TITLES))
     best = F.get("_scores", F.lit(0))
     other = F.col("_blocked").isNotNull() | (F.size("_scores") == 0)
     related = F.transform(F.filter(F.slice("_scores", 2, F.greatest(F.size("_scores"), F.lit(1))), lambda s: s["score"] >= 3), lambda s: s["family"])
@@ -74,7 +113,7 @@ def classify(jobs: DataFrame) -> DataFrame:
         F.when(other, F.lit(0.0)).otherwise(confidence).alias("confidence"),
         F.array(reason).alias("reasons"),
     )
-    return work.withColumn("classification", out).drop("_text", "_scores", "_tech", "_blocked")
+    return once(work, "classification", out).drop("_text", "_hits", "_scores", "_tech", "_title", "_blocked")
 
 
 def in_scope(jobs: DataFrame) -> DataFrame:
