@@ -115,8 +115,15 @@ def keep_first(rows: DataFrame, keys: list[str | Column], order: list[str]) -> D
     return rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(named)]).agg(best.alias("_r")).select("_r.*")
 
 
+def met(existing: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Those of the rows' keys that exist. The large side is what is scanned: where the rows are few, Spark broadcasts their keys and what exists
+    doesn't move; where they aren't, both sides shuffle by the key."""
+    return existing.select(key).join(rows.select(key).distinct(), key, "left_semi").distinct()
+
+
 def new_only(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    return rows.join(existing.select(key).distinct(), key, "left_anti")
+    """Rows whose key doesn't exist."""
+    return rows.join(met(existing, rows, key), key, "left_anti")
 
 
 def distinct_in_order(rows: DataFrame, value: Column, ordinal: str) -> DataFrame:

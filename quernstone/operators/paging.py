@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST = 100
 
@@ -69,3 +72,36 @@ def rotating_slot(rows: DataFrame, position: str, total: int, size: int, turn: i
     """`size` rows of `total`, beginning where turn number `turn` does, around the end."""
     start = turn * size % max(1, total)
     return rows.filter(F.pmod(F.col(position) - F.lit(start), F.lit(max(1, total))) < min(size, total))
+
+
+# Pages of a large table in one order --------------------------------------------------------------
+
+
+def publish_order(rows: DataFrame, order: list[Column], path: str, parts: int) -> None:
+    """Writes rows in a total order, cut into ranges of about the same size: a folder a range, and how many rows each has. One sort of the
+    table, for any number of pages."""
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.partitionBy("_part").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.schema(_with_part(rows)).parquet(f"{path}/rows")
+    written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).coalesce(1).write.parquet(f"{path}/counts")
+
+
+def _with_part(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])
+
+
+def page_at(spark: SparkSession, path: str, schema: T.StructType, order: list[Column], page: Page) -> DataFrame:
+    """A page of what publish_order() wrote, however deep: prefix sums of the ranges' counts tell where it lies, and only these ranges
+    are read. A row a range comes to the driver."""
+    counts = sorted(tuple(r) for r in spark.read.parquet(f"{path}/counts").collect())
+    ends = list(accumulate(n for _, n in counts))
+    first, last = bisect_right(ends, page.offset), bisect_left(ends, page.offset + page.limit)
+    mine = [part for part, _ in counts[first : last + 1]]
+    before = ends[first - 1] if first else 0
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{path}/rows").filter(F.col("_part").isin(mine)).drop("_part")
+    return rows.orderBy(*order).offset(page.offset - before).limit(page.limit)
+
+
+def total_of(spark: SparkSession, path: str) -> int:
+    """How many rows there are in all, from the same counts."""
+    return spark.read.parquet(f"{path}/counts").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]

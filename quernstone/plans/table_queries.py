@@ -473,6 +473,37 @@ def published_postings(spark, d):
     return sinks.published_index(spark, path)
 
 
+@query("""
+SELECT 3 AS page, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 80) UNION ALL SELECT 30, o_orderkey, o_totalprice FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 1160)
+UNION ALL SELECT 0, count(*), NULL FROM orders
+""")
+def page_deep(spark, d):
+    """Two pages and the total of a table that was put in order once."""
+    o, path = table(spark, d, "orders").select("o_orderkey", "o_totalprice"), scratch(spark, "order")
+    order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    paging.publish_order(o, order, path, 16)
+    pages = [paging.page_at(spark, path, o.schema, order, paging.Page(p, 40)).select(F.lit(p).alias("page"), "o_orderkey", "o_totalprice") for p in (3, 30)]
+    total = o.limit(1).select(F.lit(0).alias("page"), F.lit(paging.total_of(spark, path)).cast("long").alias("o_orderkey"), F.lit(None).cast(o.schema["o_totalprice"].dataType).alias("o_totalprice"))
+    return reduce(DataFrame.unionByName, [*pages, total])
+
+
+@query("SELECT 'orphan' AS kind, c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 AND NOT (c_custkey % 2 = 0 AND c_acctbal > 0) UNION ALL SELECT 'payload', c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0 AND c_acctbal > 0 UNION ALL SELECT 'all', c_custkey FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0 UNION ALL SELECT 'sample', id FROM (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 ORDER BY 1 LIMIT 5)")
+def stored_payloads(spark, d):
+    """Listed ids with their payloads, those whose payload is gone, the set after a run, and a sample."""
+    c, now = table(spark, d, "customer"), F.lit("2024-01-10").cast("timestamp")
+    ids = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    expiry = F.when(F.col("c_acctbal") > 0, F.lit("2024-01-11")).otherwise(F.lit("2024-01-09")).cast("timestamp")
+    stored = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.to_json(F.struct("c_name")).alias("payload"), expiry.alias("expires_at"))
+    parts = {"orphan": sinks.orphans(ids, stored, "id", now), "payload": sinks.payloads_of(ids, stored, "id", now, "c_name string").filter("c_name LIKE 'Customer%'"), "all": sinks.accumulated(ids, c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"))), "sample": sinks.sample_of(ids, "id", 5)}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "id") for kind, rows in parts.items()])
+
+
+@query("SELECT o_orderpriority AS run, count(DISTINCT o_orderstatus) AS adapters, count(DISTINCT o_custkey % 20) AS keywords, sum(o_custkey % 3) AS jobs, count(*) FILTER (o_orderstatus = 'F') AS errors, sum(o_orderkey % 7) AS seconds FROM orders GROUP BY 1")
+def run_summary(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("run"), F.col("o_orderstatus").alias("adapter"), (F.col("o_custkey") % 20).alias("keyword"), (F.col("o_custkey") % 3).alias("jobs"), (F.col("o_orderstatus") == "F").alias("failed"), (F.col("o_orderkey") % 7).alias("seconds"))
+    return sinks.summary(o, ["run"])
+
+
 @query("SELECT p_type, count(*) AS n FROM part GROUP BY 1")
 def cached_result(spark, d):
     """Made once, then read; never made again while it is fresh."""

@@ -12,6 +12,7 @@ from urllib.parse import quote, unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.operators.dedup import new_only
 from quernstone.operators.keywords import normalised
 
 #: Days that payloads and index entries stay.
@@ -25,8 +26,8 @@ def unexpired(rows: DataFrame, now: Column) -> DataFrame:
 
 def new_payloads(batch: DataFrame, stored: DataFrame, key: str, now: Column, ordinal: str | None = None) -> DataFrame:
     """Rows of the batch of which no unexpired payload is stored, with their expiry; of the same id the first by the
-    ordinal, or without one the smallest by all columns."""
-    rest = batch.join(unexpired(stored, now).select(key), key, "left_anti")
+    ordinal, or without one the smallest by all columns. A small batch goes to the store, not the store to the batch."""
+    rest = new_only(batch, unexpired(stored, now), key)
     first = [ordinal] if ordinal else []
     best = F.min_by(F.struct(*rest.columns), F.struct(*first, *[F.col(c).cast("string") for c in rest.columns]))
     fresh = rest.groupBy(F.col(key).alias("_k")).agg(best.alias("_r")).select("_r.*")
@@ -76,9 +77,14 @@ def published_index(spark: SparkSession, path: str, kinds: list[str] | None = No
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "kind string, value string, id string")
 
 
-def accumulate_ids(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The global set only grows."""
-    return old.select("id").unionByName(new.select("id")).distinct()
+def accumulated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The global set of ids only grows: what is new is added to what is there."""
+    return old.select("id").unionByName(new_only(new.select("id").distinct(), old, "id"))
+
+
+def orphans(ids: DataFrame, stored: DataFrame, key: str, now: Column) -> DataFrame:
+    """Listed ids whose payload has expired or is missing: what a reader removes from the list."""
+    return ids.select(key).distinct().join(unexpired(stored, now).select(key), key, "left_anti")
 
 
 def payloads_of(ids: DataFrame, stored: DataFrame, key: str, now: Column, schema: str | None = None, json: str = "payload") -> DataFrame:
@@ -130,6 +136,6 @@ def load_keywords(spark: SparkSession, path: str, defaults: str | None = None) -
     return spark.createDataFrame([], "keyword string, ordinal long")
 
 
-def summary(runs: DataFrame) -> DataFrame:
-    """One row of a run: adapters, keywords, jobs, errors, duration."""
-    return runs.agg(F.countDistinct("adapter").alias("adapters"), F.countDistinct("keyword").alias("keywords"), F.sum("jobs").alias("jobs"), F.count_if("failed").alias("errors"), F.sum("seconds").alias("seconds"))
+def summary(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row a run: adapters, keywords, jobs, errors, duration."""
+    return runs.groupBy(*(by or [])).agg(F.countDistinct("adapter").alias("adapters"), F.countDistinct("keyword").alias("keywords"), F.sum("jobs").alias("jobs"), F.count_if("failed").alias("errors"), F.sum("seconds").alias("seconds"))

@@ -249,3 +249,63 @@ def test_quantiles_of_odd_buckets(spark):
     df = spark.createDataFrame(rows, "g string, le double, n double")
     got = {r.g: r.quantile for r in ts.bucket_quantile(df, 0.75, ["g"]).collect()}
     assert got == {"ok": 1.5, "falls": 1.0, "empty": None, "open": None, "high": 1.0}
+
+
+def test_pages_of_a_published_order(spark, tmp_path):
+    from quernstone.operators import paging
+
+    rows = [(k * 7 % 101 % 13, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    order = [F.col("a").desc(), F.col("b")]
+    paging.publish_order(df, order, str(tmp_path / "o"), 9)
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert paging.total_of(spark, str(tmp_path / "o")) == 500
+    for page, limit in [(1, 20), (3, 100), (4, 37), (25, 20), (14, 37), (26, 20), (1, 100), (500, 1), (501, 1)]:
+        got = paging.page_at(spark, str(tmp_path / "o"), df.schema, order, paging.Page(page, limit))
+        assert [tuple(r) for r in got.collect()] == want[(page - 1) * limit : page * limit]
+    deep = paging.page_at(spark, str(tmp_path / "o"), df.schema, order, paging.Page(20, 20))
+    assert "PartitionFilters: [_part" in deep._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_batch_goes_to_the_store(spark, tmp_path):
+    from quernstone.operators import dedup
+
+    store = spark.range(5000).selectExpr("id % 4000 AS id", "'p' AS payload", "cast(null AS timestamp) AS expires_at")
+    store.write.parquet(str(tmp_path / "store"))
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    spark.createDataFrame([(3990,), (3999,), (4000,), (4001,), (None,)], "id long").write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch"))
+    fresh = dedup.new_only(batch, stored, "id")
+    assert sorted((r.id for r in fresh.collect()), key=str) == [4000, 4001, None]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.index("LeftSemi") :]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and first.index("parquet") < first.index("BroadcastExchange")
+
+
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
+def test_quantiles_against_sorting(spark, q):
+    import math
+
+    from quernstone.operators import timeseries as ts
+
+    rng = random.Random(5)
+    rows = [("one", 3.0), ("two", 1.0), ("two", 2.0), ("same", 7.0)] + [("same", 7.0)] * 300 + [("many", rng.gauss(0, 9)) for _ in range(3000)] + [(None, float(rng.randint(0, 5))) for _ in range(500)] + [("none", None), ("nan", math.nan), ("many", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r.g: r.quantile for r in ts.exact_quantile(df, "v", q, ["g"]).collect()}
+    by = {}
+    for g, v in rows:
+        if v is not None and not math.isnan(v):
+            by.setdefault(g, []).append(v)
+
+    def exact(xs):
+        xs = sorted(xs)
+        p = q * (len(xs) - 1)
+        lo, hi = xs[math.floor(p)], xs[math.ceil(p)]
+        return lo + (hi - lo) * (p - math.floor(p))
+
+    assert got.keys() == by.keys() and all(abs(got[g] - exact(xs)) < 1e-12 for g, xs in by.items())
+    (every,) = ts.exact_quantile(df, "v", q).collect()
+    assert abs(every.quantile - exact([v for xs in by.values() for v in xs])) < 1e-12
+    for r in ts.sketched_quantile(df, "v", q, ["g"]).collect():
+        xs = by[r.g]
+        assert r.n == len(xs) and sum(x < r.quantile for x in xs) <= (q + 0.03) * len(xs) + 1 and sum(x <= r.quantile for x in xs) >= (q - 0.03) * len(xs) - 1
