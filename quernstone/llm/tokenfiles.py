@@ -1,13 +1,13 @@
 """Token ids as flat binary files.
 
 A data set is a folder of parts in ascending order of the document id. Part k has
-`part-k.ids` (unsigned 16- or 32-bit little-endian token ids, nothing else), `part-k.docs` (the
+`part-k.ids` (unsigned 16-bit little-endian token ids, nothing else; a vocabulary of more than 65,536 is an error, not truncated), `part-k.docs` (the
 documents' ids, signed 64-bit) and `part-k.offsets` (unsigned 64-bit: where each document starts among
 all tokens of the data set, and the end of the last). A part's tokens are written when they are
 encoded; its offsets need the tokens of the parts before, which come from a prefix sum over one count
 a part. Readers map the files into memory.
 
-Defined results: a null text counts as empty; an empty text has only the end id; a null document id
+Defined results: a null text counts as empty; an empty text has only the end id; a very long text is encoded whole; a null document id
 sorts first and is read back as null; rows of the same id are ordered by a hash of their text and all written, and a
 part may begin among them, so that an id that many rows share is many parts' work; an empty table gives a data set without parts; other columns are not read.
 """
