@@ -92,3 +92,16 @@ def health(states: Column) -> Column:
 
 def source_of(source: Column, sources: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(source), F.lit("")), F.nullif(F.trim(F.get(sources, F.lit(0))), F.lit("")), F.lit("unknown"))
+
+
+#: Beginnings of source names and the families that they stand for; the last one in any case (fixed values).
+ADAPTERS = ["Adzuna", "Green House", "Lever", "The Muse", "Jooble"]
+ANY_CASE = "linkedin"
+
+
+def adapter_family(source: Column) -> Column:
+    """The feed that a source's name begins with, or the name itself."""
+    out = F.when(F.startswith(F.lower(source), F.lit(ANY_CASE)), F.lit(ANY_CASE)).otherwise(source)
+    for name in reversed(ADAPTERS):
+        out = F.when(F.startswith(source, F.lit(name)), F.lit(name)).otherwise(out)
+    return out

@@ -18,11 +18,52 @@ from quernstone.session import scratch
 RANGES = {"5m": (300, 10), "15m": (900, 15), "1h": (3600, 30), "6h": (21600, 120), "24h": (86400, 600)}
 
 
-def increases(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None) -> DataFrame:
+#: Seconds that a series is summed in side by side.
+SPAN = 86_400
+
+
+def increases(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None, span: int = SPAN) -> DataFrame:
     """Adds `increase` over each series' sample before; after a reset the value itself; the first has none."""
-    w = Window.partitionBy(*series).orderBy(*[ts] + [tie] * bool(tie))
-    before = F.lag(value).over(w)
-    return samples.withColumn("increase", F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+    return _risen(samples, series, ts, value, tie, span).drop("total")
+
+
+def running_increase(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None, span: int = SPAN) -> DataFrame:
+    """Adds `total`: how much the counter has risen since its series' first sample, over all resets."""
+    return _risen(samples, series, ts, value, tie, span).drop("increase")
+
+
+def _risen(samples: DataFrame, series: list[str], ts: str, value: str, tie: str | None, span: int) -> DataFrame:
+    """Adds increase and total. A series is summed in spans of so many seconds side by side. A row a span then tells what it adds and what was added
+    between the last sample of one and the first of the next, so no task needs a whole series."""
+    place = [ts] + [tie] * bool(tie)
+    own = Window.partitionBy(*series, "_span").orderBy(*place)
+    rise = lambda now, before: F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
+    dealt = samples.withColumn("_span", F.floor(F.unix_seconds(ts) / span)).withColumns({"_step": rise(F.col(value), F.lag(value).over(own)), "_nth": F.row_number().over(own)})
+    rows = dealt.withColumn("_inside", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = dealt.groupBy(*series, "_span").agg(F.min_by(value, F.struct(*place)).alias("_first"), F.max_by(value, F.struct(*place)).alias("_last"), F.sum("_step").alias("_sum"))
+    line = Window.partitionBy(*series).orderBy("_span")
+    joints = spans.withColumns({"_edge": rise(F.col("_first"), F.lag("_last").over(line)), "_past": F.coalesce(F.lag("_sum").over(line), F.lit(0.0))})
+    base = joints.withColumn("_base", F.sum(F.col("_edge") + F.col("_past")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = _of_span(rows, base, series, ["_edge", "_base"])
+    return found.select(*samples.columns, F.when(F.col("_nth") == 1, F.col("_edge")).otherwise(F.col("_step")).alias("increase"), (F.col("_base") + F.col("_inside")).alias("total"))
+
+
+def running_sum(rows: DataFrame, series: list[str], value: str, ts: str = "ts", tie: str | None = None, span: int = SPAN) -> DataFrame:
+    """Adds `total`, the sum of the values of a series up to each row, by spans side by side."""
+    own = Window.partitionBy(*series, "_span").orderBy(*[ts] + [tie] * bool(tie)).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = rows.withColumn("_span", F.floor(F.unix_seconds(ts) / span))
+    line = Window.partitionBy(*series).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*series, "_span").agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(line), F.lit(0)))
+    return _of_span(dealt.withColumn("_inside", F.sum(value).over(own)), base, series, ["_base"]).select(*rows.columns, (F.col("_base") + F.col("_inside")).alias("total"))
+
+
+def _of_span(rows: DataFrame, spans: DataFrame, series: list[str], columns: list[str]) -> DataFrame:
+    """rows with columns of their span, a row a span; labels may be null."""
+    known = spans.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(series)], F.col("_span").alias("_of"), *columns)
+    same = F.col("_span") == F.col("_of")
+    for k, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    return rows.join(known, same)
 
 
 def bucket(ts: Column, seconds: int) -> Column:
@@ -114,26 +155,6 @@ def exact_quantile(rows: DataFrame, value: str, q: float, by: list[str] | None =
 # Range vectors: what a sliding window before each point of a grid holds
 
 
-def running_increase(samples: DataFrame, series: list[str], ts: str = "ts", value: str = "value", tie: str | None = None, span: int = 86_400) -> DataFrame:
-    """Adds `total`: how much the counter has risen since its series' first sample, over all resets.
-
-    A series is summed in spans of so many seconds side by side. A row a span then tells what it adds and what was added between
-    the last sample of one and the first of the next, so no task needs a whole series."""
-    place = [ts] + [tie] * bool(tie)
-    own = Window.partitionBy(*series, "_span").orderBy(*place)
-    rise = lambda now, before: F.when(before.isNull(), F.lit(0.0)).when(now < before, now).otherwise(now - before)
-    dealt = samples.withColumn("_span", F.floor(F.unix_seconds(ts) / span)).withColumn("_step", rise(F.col(value), F.lag(value).over(own)))
-    rows = dealt.withColumn("_inside", F.sum("_step").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = dealt.groupBy(*series, "_span").agg(F.min_by(value, F.struct(*place)).alias("_first"), F.max_by(value, F.struct(*place)).alias("_last"), F.sum("_step").alias("_sum"))
-    line = Window.partitionBy(*series).orderBy("_span")
-    joints = spans.withColumn("_joint", rise(F.col("_first"), F.lag("_last").over(line)) + F.coalesce(F.lag("_sum").over(line), F.lit(0.0)))
-    base = joints.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(series)], F.col("_span").alias("_of"), F.sum("_joint").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_base"))
-    same = F.col("_span") == F.col("_of")
-    for k, c in enumerate(series):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{k}"))
-    return rows.join(base, same).select(*samples.columns, (F.col("_base") + F.col("_inside")).alias("total"))
-
-
 def _points(rows: DataFrame, start: str, end: str, step: int, window: int, ts: str) -> DataFrame:
     """rows once for each point of the grid within whose window they lie: `_k`, the number of the point. By arithmetic, no join."""
     first, last = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (start, end))

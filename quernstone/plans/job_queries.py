@@ -452,6 +452,24 @@ def board_tokens(spark, d):
     return feeds.board_candidates(table(spark, d, "supplier"), "s_name")
 
 
+@query("""
+WITH c AS (SELECT DISTINCT s_name, t AS token FROM (SELECT s_name, unnest([replace(b, '-', ''), b, replace(b, '-', '_'), replace(b, '-', '') || 'inc']) AS t FROM (SELECT s_name, regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g') AS b FROM supplier))),
+v AS (SELECT replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-', '_') AS token FROM supplier WHERE s_suppkey % 9 = 1)
+SELECT token, s_name, token IN (SELECT token FROM v) AS valid FROM c ORDER BY valid DESC, token LIMIT 40
+""")
+def boards_probed(spark, d):
+    """The first forty candidates, those with a board before the others."""
+    s = table(spark, d, "supplier")
+    boards = s.filter("s_suppkey % 9 = 1").select(F.replace(text.slug(F.col("s_name")), F.lit("-"), F.lit("_")).alias("token"))
+    return feeds.probed(feeds.board_candidates(s, "s_name"), boards).limit(40)
+
+
+@query("SELECT family, count(*) AS n FROM (SELECT ['Adzuna', 'Green House', 'Lever', 'The Muse', 'linkedin', 'Jooble', 'My Lever'][p_size % 7 + 1] AS family FROM part) GROUP BY 1")
+def adapter_families(spark, d):
+    named_ = F.element_at(F.array(*map(F.lit, ("Adzuna BR", "Green House (x)", "Lever", "The Muse 2", "LinkedIn jobs", "Jooble", "My Lever"))), (F.col("p_size") % 7 + 1).cast("int"))
+    return table(spark, d, "part").groupBy(infer.adapter_family(named_).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(r"""
 WITH p AS (SELECT page_id, '<script id="__NEXT_DATA__">{"a": ["' || url || '", {"b": "x&amp;y <b>z</b>", "n": 1}], "s": "no"}</script><style>p {}</style><p>Page ' || page_id || '</p><script>var x</script>' AS h, url FROM pages)
 SELECT page_id, url || ' x&y z Page ' || page_id AS detail FROM p

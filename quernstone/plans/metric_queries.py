@@ -384,8 +384,8 @@ SELECT bucket, round(100 - avg(rate) * 100, 6) AS used FROM r GROUP BY 1
 """)
 def gauge_used_share(spark, d):
     e = events(spark, d).select((F.col("user_id") % 20).alias("cpu"), "ts", "event_id")
-    own = Window.partitionBy("cpu").orderBy("ts", "event_id")
-    idle = e.withColumn("v", F.sum(1 + F.col("event_id") % 5).over(own)).groupBy("cpu", "ts").agg(F.max("v").cast("double").alias("value"))
+    summed = ts.running_sum(e.withColumn("v", 1 + F.col("event_id") % 5), ["cpu"], "v", tie="event_id")
+    idle = summed.groupBy("cpu", "ts").agg(F.max("total").cast("double").alias("value"))
     return ts.used_share(idle, 86400, ["cpu"]).select("bucket", F.round("used", 6).alias("used"))
 
 

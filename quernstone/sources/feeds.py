@@ -215,6 +215,12 @@ def board_candidates(companies: DataFrame, name: str) -> DataFrame:
     return companies.select(name, F.explode(F.filter(tokens, lambda t: t != "")).alias("token"))
 
 
+def probed(candidates: DataFrame, boards: DataFrame) -> DataFrame:
+    """Candidates with `valid`, whether a board of that token answers, valid ones first and then by token."""
+    found = boards.select("token").distinct().withColumn("_found", F.lit(True))
+    return candidates.join(found, "token", "left").withColumn("valid", F.coalesce("_found", F.lit(False))).drop("_found").orderBy(F.desc("valid"), "token")
+
+
 def catalog(raw: DataFrame) -> DataFrame:
     """Companies of a board's catalogue: the slug or the site, the name or the company name; the first of a slug stays."""
     names_ = set(raw.columns)
