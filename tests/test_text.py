@@ -122,7 +122,7 @@ def test_every_reference(spark):
     pick = random.Random(1)
     names = sorted(html5)
     texts = ["&" + n + pick.choice(["", "x", " ", ";"]) for n in names]
-    texts += ["".join(pick.choice(["&", pick.choice(names), ";", "#", "34", " ", "é"]) for _ in range(12)) for _ in range(500)]
+    texts += ["".join(pick.choice(["&", pick.choice(names), ";", "#34", " ", "é"]) for _ in range(12)) for _ in range(500)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.i: r.u for r in df.select("i", text.unescaped(F.col("t")).alias("u")).collect()}
     assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != html.unescape(t)] == []
