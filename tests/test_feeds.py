@@ -69,7 +69,7 @@ def test_linkedin_cards(spark):
 
 def test_unified_and_catalogues(spark):
     one = feeds.parsed(spark.createDataFrame([('{"results": [{"title": "a", "url": "u"}]}',)], "value string"), "adzuna")
-    two = feeds.parsed(spark.createDataFrame([('{"data": [{"id": 1, "name": "b"}]}',)], "value string"), "gupy")
+    two = feeds.parsed(spark.createDataFrame([('{"data": [{"id": 1, "name": "b", "jobUrl": "http://b"}]}',)], "value string"), "gupy")
     assert {r.source for r in feeds.unified({"adzuna": one, "gupy": two}).collect()} == {"Adzuna", "Gupy"}
     assert feeds.unified({"adzuna": one, "gupy": two}, ["gupy"]).columns == feeds.JOB
     cat = feeds.catalog(spark.createDataFrame([("", "b", "B", 0), ("a", "", "A", 1), ("a", "", "A2", 2)], "slug string, site string, name string, ordinal int"))
