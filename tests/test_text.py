@@ -127,3 +127,18 @@ def test_every_reference(spark):
     got = {r.i: r.u for r in df.select("i", text.unescaped(F.col("t")).alias("u")).collect()}
     assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != html.unescape(t)] == []
     assert one(spark, None, text.unescaped) is None
+
+
+@pytest.mark.parametrize("name", ["html_strip_pages", "html_strip_tags_pages", "unescaped_pages"])
+def test_references_of_pages_are_those_of_their_sql(spark, tmp_path, name):
+    """Titles are cut inside references: what lacks its semicolon stays in these queries."""
+    import duckdb
+
+    from quernstone.plans.text_queries import QUERIES
+
+    pages = [(1, "u", "<title>a and&amp</title>&amp;b"), (2, "u", "<p>x &lt y&nbs</p>&lt;i&gt;z"), (3, "u", "&amp;amp &#39 &#39;")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    query, sql = QUERIES[name]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == sorted(con.execute(sql).fetchall())
