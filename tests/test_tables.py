@@ -309,3 +309,24 @@ def test_quantiles_against_sorting(spark, q):
     for r in ts.sketched_quantile(df, "v", q, ["g"]).collect():
         xs = by[r.g]
         assert r.n == len(xs) and sum(x < r.quantile for x in xs) <= (q + 0.03) * len(xs) + 1 and sum(x <= r.quantile for x in xs) >= (q - 0.03) * len(xs) - 1
+
+
+def test_profiles_are_of_all_that_users_ordered(spark, tmp_path):
+    """What wasn't given back counts, and every name's first word."""
+    import duckdb
+
+    from quernstone.plans.table_queries import QUERIES
+
+    names = ["a b", "b a", "c a", "d x", "c b", "a c"]
+    rows = {
+        "part": ([(i, n) for i, n in enumerate(names)], "p_partkey long, p_name string"),
+        "orders": ([(1, 7), (2, 8), (3, 9)], "o_orderkey long, o_custkey long"),
+        "lineitem": ([(1, 0, "N"), (1, 2, "R"), (2, 0, "N"), (2, 1, "N"), (2, 2, "N"), (2, 3, "R"), (3, 3, "R"), (3, 2, "N")], "l_orderkey long, l_partkey long, l_returnflag string"),
+    }
+    con = duckdb.connect()
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query, sql = QUERIES["match_high_new"]
+    got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    assert got == con.execute(sql).fetchall() == [(7, "a c", 98)]
