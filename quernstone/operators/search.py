@@ -163,24 +163,37 @@ def search(jobs: DataFrame, index: DataFrame, q: Query, page: Page, profile: lis
     return page_of(rows, order, page), source
 
 
-#: Words that a long passage is looked up by.
+#: Words that a long passage is looked up by: a power of two.
 ANCHOR = 8
 
 
+def _looks(rows: DataFrame, words: Column) -> DataFrame:
+    """rows with hashes of each of the words (_h1) and of ANCHOR words from each on (_h8), one of two shorter ones: a pass over a text a
+    doubling. Near its end they are of fewer words."""
+    rows, n = text_once(rows, "_h1", F.transform(words, lambda w: F.xxhash64(w))), 1
+    while n < ANCHOR:
+        own = F.col(f"_h{n}")
+        rows = text_once(rows, f"_h{2 * n}", F.zip_with(own, F.slice(own, n + 1, F.size(own)), lambda a, b: F.xxhash64(a, b))).drop(*([f"_h{n}"] if n > 1 else []))
+        n *= 2
+    return rows
+
+
 def passages_in(texts: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage: str) -> DataFrame:
     """(passage_key, key) wherever a folded passage stands in a folded text as a substring.
 
     A passage may begin and end inside words, so it is looked up by what follows its first word, ANCHOR words or
     if it has fewer than two more, its second word alone; passages of one or two words by parts of the vocabulary's tokens: equi-joins."""
     words = F.split(F.col(passage), " ")
-    asked = passages.select(passage_key, passage, F.size(words).alias("_n"), F.xxhash64(F.slice(words, 2, ANCHOR)).alias("_many"), F.xxhash64(F.slice(words, 2, 1)).alias("_one"))
-    cut = texts.select(key, F.split(text, " ").alias("_w"))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - ANCHOR + 1, F.lit(1))), lambda k: F.xxhash64(F.slice(F.col("_w"), k, ANCHOR)))
-    many = cut.select(key, F.explode(F.array_distinct(windows)).alias("_many")).join(asked.filter(F.col("_n") >= ANCHOR + 2).select(passage_key, "_many"), "_many")
-    one = cut.select(key, F.explode(F.array_distinct(F.transform("_w", lambda w: F.xxhash64(F.array(w))))).alias("_one")).join(asked.filter(F.col("_n").between(3, ANCHOR + 1)).select(passage_key, "_one"), "_one")
-    pairs = many.select(passage_key, key).unionByName(one.select(passage_key, key)).distinct()
+    asked = passages.select(passage_key, passage, F.size(words).alias("_n"))
+    second = F.lit(1)
+    look = F.when(F.col("_n") >= ANCHOR + 2, F.get(f"_h{ANCHOR}", second)).otherwise(F.get("_h1", second))
+    looked = _looks(asked.filter("_n > 2"), words).select(passage_key, look.alias("_look"))
+    every = F.array_distinct(F.concat(f"_h{ANCHOR}", "_h1"))
+    pairs = _looks(texts.select(key, text), F.split(text, " ")).select(key, F.explode(every).alias("_look")).join(looked, "_look").select(passage_key, key).distinct()
     stands = F.contains(F.col(text), F.col(passage))
     found = pairs.join(texts.select(key, text), key).join(asked.select(passage_key, passage), passage_key).filter(stands).select(passage_key, key)
     few = asked.filter("_n < 3").select(passage_key, passage)
+    if few.isEmpty():
+        return found
     short = containing(texts, key, text, few, passage).join(few, F.col("needle") == F.col(passage)).select(passage_key, key)
     return found.unionByName(short)
