@@ -1,14 +1,17 @@
 """Needles as substrings of folded texts, without comparing every text with every needle.
 
 A needle may begin and end inside words. One of a word lies inside a token; of two, its first word ends a token and its second begins the
-next one; of more, the words between are whole tokens. So needles meet the texts' distinct tokens (the vocabulary, which is small beside the texts)
-by parts of tokens, and texts by whole tokens: equi-joins all, of which Spark broadcasts what is small and splits what is frequent."""
+next one; of more, the words between are whole tokens. So many needles meet the texts' distinct tokens (the vocabulary, which is small beside the texts)
+by parts of tokens, and texts by whole tokens: equi-joins all, of which Spark broadcasts what is small and splits what is frequent. A few needles are a literal of each row's expression: nothing is joined."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: As many needles as are looked for in each text itself.
+FEW = 64
+
 
 def _parts(token: Column, lengths: Column, begins: bool, ends: bool) -> Column:
     """The parts of a token that have one of the lengths: anywhere, or only those that begin, or end, it."""
@@ -32,22 +35,29 @@ def containing(texts: DataFrame, key: str, text: str, needles: DataFrame, needle
     """(key, needle), once each, wherever a needle stands in a text. Texts and needles are folded: words with single blanks between.
     Empty needles stand nowhere; rows of the same key count as one text after another."""
     asked = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct().withColumn("_w", F.split("needle", " "))
+    some = [r.needle for r in asked.select("needle").limit(FEW + 1).collect()]
+    if 0 < len(some) <= FEW:
+        return texts.select(key, F.explode(F.filter(F.array(*map(F.lit, some)), lambda n: F.contains(F.col(text), n))).alias("needle")).distinct()
+    kinds = {r.n for r in asked.select(F.least(F.size("_w"), F.lit(3)).alias("n")).distinct().collect()}  # three numbers at most
     tokens = F.split(F.col(text), " ")
     own = texts.select(F.col(key).alias("_key"), tokens.alias("_t"))
     vocabulary = own.select(F.explode(F.array_distinct("_t")).alias("token")).filter("token <> ''").distinct()
     here = own.select("_key", F.explode(F.array_distinct("_t")).alias("token"))
-
-    one = asked.filter(F.size("_w") == 1).select(F.col("needle").alias("word"))
-    single = here.join(_tokens_with(vocabulary, one), "token").select("_key", F.col("word").alias("needle"))
-
-    two = asked.filter(F.size("_w") == 2).select("needle", F.get("_w", F.lit(0)).alias("head"), F.get("_w", F.lit(1)).alias("tail"))
-    heads = _tokens_with(vocabulary, two.select(F.col("head").alias("word")), ends=True).toDF("first", "head")
-    tails = _tokens_with(vocabulary, two.select(F.col("tail").alias("word")), begins=True).toDF("next", "tail")
-    pairs = F.array_distinct(F.zip_with("_t", F.slice("_t", 2, F.greatest(F.size("_t"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("next"))))
-    near = own.select("_key", F.explode(pairs).alias("p")).select("_key", "p.*").filter("next IS NOT NULL")
-    double = near.join(heads, "first").join(tails, "next").select("_key", "head", "tail").distinct().join(two, ["head", "tail"]).select("_key", "needle")
-
-    more = asked.filter(F.size("_w") > 2).select("needle", F.get("_w", F.lit(1)).alias("token"))
-    may = here.join(more, "token").select("_key", "needle").distinct()
-    long = may.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", F.col("needle"))).select("_key", "needle")
-    return single.unionByName(double).unionByName(long).distinct().select(F.col("_key").alias(key), "needle")
+    found = own.select("_key", F.lit("").alias("needle")).filter(F.lit(False))
+
+    if 1 in kinds:
+        one = asked.filter(F.size("_w") == 1).select(F.col("needle").alias("word"))
+        found = found.unionByName(here.join(_tokens_with(vocabulary, one), "token").select("_key", F.col("word").alias("needle")))
+    if 2 in kinds:
+        two = asked.filter(F.size("_w") == 2).select("needle", F.get("_w", F.lit(0)).alias("head"), F.get("_w", F.lit(1)).alias("tail"))
+        heads = _tokens_with(vocabulary, two.select(F.col("head").alias("word")), ends=True).toDF("first", "head")
+        tails = _tokens_with(vocabulary, two.select(F.col("tail").alias("word")), begins=True).toDF("next", "tail")
+        # neighbours as one string: distinct structs of an array would be found by comparing all with all
+        pairs = F.array_distinct(F.zip_with("_t", F.slice("_t", 2, F.size("_t")), lambda a, b: F.concat(a, F.lit(" "), b)))
+        near = own.select("_key", F.explode(pairs).alias("p")).filter("p IS NOT NULL").select("_key", F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("next"))
+        found = found.unionByName(near.join(heads, "first").join(tails, "next").select("_key", "head", "tail").distinct().join(two, ["head", "tail"]).select("_key", "needle"))
+    if 3 in kinds:
+        more = asked.filter(F.size("_w") > 2).select("needle", F.get("_w", F.lit(1)).alias("token"))
+        may = here.join(more, "token").select("_key", "needle").distinct()
+        found = found.unionByName(may.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", F.col("needle"))).select("_key", "needle"))
+    return found.distinct().select(F.col("_key").alias(key), "needle")

@@ -142,3 +142,21 @@ def test_references_of_pages_are_those_of_their_sql(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_long_texts_are_looked_through_once(spark, monkeypatch, few):
+    """A text of 120,000 words: passages and needles in time that grows with its length, not with its square."""
+    import time
+
+    from quernstone.operators import phrases, search
+
+    monkeypatch.setattr(phrases, "FEW", few)  # without it, all needles are looked up by joins
+    words = [f"w{i}" for i in range(120_000)]
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2")], "id long, t string")
+    passages = spark.createDataFrame([(1, " ".join(words[90_000:90_020])), (2, "99 w100 w101"), (3, "9 w110000"), (4, " ".join(words[5:15][::-1]))], "item long, p string")
+    began = time.monotonic()
+    assert sorted(tuple(r) for r in search.passages_in(texts, "id", "t", passages, "item", "p").collect()) == [(1, 1), (2, 1), (3, 1)]
+    needles = spark.createDataFrame([("9999 w1",), ("119999",), ("1 w2",), ("w7 w8 w9",), ("2 w1",)], "n string")
+    assert sorted(tuple(r) for r in phrases.containing(texts, "id", "t", needles, "n").collect()) == [(1, "1 w2"), (1, "119999"), (1, "2 w1"), (1, "9999 w1"), (1, "w7 w8 w9"), (2, "1 w2")]
+    assert time.monotonic() - began < 90
