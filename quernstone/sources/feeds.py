@@ -181,11 +181,15 @@ def linkedin(pages: DataFrame, html: str = "html") -> DataFrame:
     """Cards of result pages: the fields by their classes, with the fallbacks of older pages. pages may have a column search_location: where was asked for."""
     card = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1)))
     r = pages.withColumn("c", card)
-    field = lambda *marks: F.coalesce(*[F.nullif(text.tag_text(F.regexp_extract("c", rf'(?s)<(\w+)[^>]*class="[^"]*{m}[^"]*"[^>]*>(.*?)</\1>', 2)), F.lit("")) for m in marks], F.lit(""))
+    fields = {"_title": ["base-search-card__title", "job-title", "sr-only"], "_company": ["base-search-card__subtitle", "company-name"], "_location": ["job-search-card__location", "location"]}
+    for name, marks in fields.items():  # each step once a card, however often the next one uses it; fallbacks only where they are needed
+        r = r.withColumn(name, F.lit(""))
+        for m in marks:
+            r = text.once(r, "_raw", F.when(F.col(name) == "", F.regexp_extract("c", rf'(?s)<(\w+)[^>]*class="[^"]*{m}[^"]*"[^>]*>(.*?)</\1>', 2)))
+            r = text.once(r.withColumnRenamed(name, "_was"), name, F.coalesce(text.tag_text(F.col("_raw")), "_was")).drop("_raw", "_was")
     url = text.url_key(F.regexp_extract("c", r'<a[^>]*href="([^"]+)"', 1))
     asked = F.col("search_location") if "search_location" in pages.columns else F.lit("")
-    place = searched_location(field("job-search-card__location", "location"), asked)
-    out = records(r, "LinkedIn", id=url, title=field("base-search-card__title", "job-title", "sr-only"), company=field("base-search-card__subtitle", "company-name"), location=place, url=url, postedAt=F.regexp_extract("c", r'<time[^>]*datetime="([^"]+)"', 1))
+    out = records(r, "LinkedIn", id=url, title=F.col("_title"), company=F.col("_company"), location=searched_location(F.col("_location"), asked), url=url, postedAt=F.regexp_extract("c", r'<time[^>]*datetime="([^"]+)"', 1))
     return out.filter("title <> ''")
 
 
