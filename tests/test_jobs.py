@@ -259,3 +259,21 @@ def test_needles_against_every_text(spark):
     assert got == want and len(want) > 500
     plan = phrases.containing(df, "id", "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and plan.count("NestedLoop") == 3  # of the vocabulary with one row of lengths each
+
+
+def test_rows_that_cost_much_are_dealt_out(spark, tmp_path):
+    """A narrow table of one file is work for several tasks, and a classification's distinct entries don't shuffle again."""
+    from quernstone.plans import job_queries, text_queries
+
+    part = spark.range(25_001).selectExpr("id AS p_partkey", "'red ring' AS p_name", "'Brand#1' AS p_brand", "'PROMO' AS p_type", "CAST(id % 50 AS int) AS p_size", "1.0D AS p_retailprice")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    d = str(tmp_path)
+    assert job_queries.jobs(spark, d).rdd.getNumPartitions() == 3
+    for name in ("feed_greenhouse", "feed_linkedin"):
+        assert job_queries.QUERIES[name][0](spark, d).rdd.getNumPartitions() == 3
+    for name in ("slug_parts", "norm_punctuation_parts"):
+        assert text_queries.QUERIES[name][0](spark, d).rdd.getNumPartitions() == 3
+    assert text_queries.keyed_jobs(spark, d).rdd.getNumPartitions() == 3
+    for name in ("index_structured", "index_classification"):
+        plan = job_queries.QUERIES[name][0](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
