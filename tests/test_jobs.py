@@ -277,3 +277,12 @@ def test_rows_that_cost_much_are_dealt_out(spark, tmp_path):
     for name in ("index_structured", "index_classification"):
         plan = job_queries.QUERIES[name][0](spark, d)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1
+
+
+def test_titles_are_made_once_a_row(spark):
+    """A technology title's text stands once in the plan, however many words it is compared with."""
+    from quernstone.functions import filters
+
+    rows = spark.createDataFrame([("Software Engineer", ""), ("Motorista", "")], "t string, d string").select(filters.technology_job(F.col("t"), F.col("d")).alias("x"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 4
+    assert [r.x for r in rows.collect()] == [True, False]
