@@ -15,28 +15,30 @@ part may begin among them, so that an id that many rows share is many parts' wor
 from __future__ import annotations
 
 import os
-import re
-import sys
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import accumulate, groupby
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.shared import documents, fresh_path, materialize, named, parts_for, posix, ship
+from quernstone.llm.shared import documents, fresh_path, materialize, named, parts_for, posix, ship, sliced
 
 #: Stands for a null document id in the files.
 NO_ID = -(1 << 63)
-#: Entries of the word caches of an encoder; beyond, they start anew.
-CACHE = 400_000
+#: Entries of each of an encoder's two tables of known ids; beyond, a table starts anew with its last batch.
+CACHE = 800_000
+#: Rows that are encoded together, and new words that the tokenizer gets as a line.
+ROWS, LINE = 4000, 500
 
 #: What the tokenizer file states as its pre-tokenizer's pattern (fixed value).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -45,13 +47,10 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u03a3")
 
 
-@cache
-def unassigned() -> re.Pattern[str]:
-    """Finds characters that Python's Unicode tables don't have: the tokenizer's and `regex` may have them already,
-    and not class and lower-case them alike. Words with such a character are left to the whole tokenizer."""
-    runs = groupby(range(0x80, sys.maxunicode + 1), key=lambda c: unicodedata.category(chr(c)) == "Cn")
-    edges = [(own[0], own[-1]) for odd, run in runs if odd for own in [list(run)]]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in edges) + "]")
+def _pieces(chunk: str) -> list[str]:
+    """The words of a text without spaces. Most have letters and then punctuation only, and need no pattern."""
+    head = chunk.rstrip(string.punctuation)
+    return [x for x in (head, chunk[len(head) :]) if x] if not head or head.isalpha() else WORD.findall(chunk)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -62,14 +61,39 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Known:
+    """Ids by string, as Arrow arrays: those of a batch of distinct strings, which `make` gives for the ones not met before."""
+
+    def __init__(self, make: Callable[[list[str]], pa.Array]) -> None:
+        self.make, self.names, self.ids = make, pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def __call__(self, some: pa.Array) -> pa.Array:
+        at = pc.index_in(some, value_set=self.names)
+        new = some.filter(at.is_null())
+        names = pa.concat_arrays([self.names, new])
+        ids = pa.concat_arrays([self.ids, self.make(new.to_numpy(zero_copy_only=False).tolist())])
+        place = at.fill_null(0).to_numpy().copy()
+        place[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.names), len(names))
+        out = ids.take(pa.array(place))
+        self.names, self.ids = (names, ids) if len(names) <= CACHE else (some, out)
+        return out
+
+
+def _joined(ids: pa.Array, offsets: pa.Array) -> pa.Array:
+    """The ids between each two offsets as one entry."""
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, ids), pa.scalar(b"", pa.large_binary()))
+
+
 @cache
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """texts -> their ids as unsigned 16-bit bytes, by the tokenizers library.
 
     The vocabulary marks the end of a word and no token goes over a space, so a text's ids are its words'
-    ids one after another. Each distinct word is encoded once, the new ones of a batch together, by the
-    file's own model; texts that need more than that go through the whole tokenizer. A process has one encoder, as
-    reading the file takes as long as encoding some megabytes."""
+    ids one after another. Arrow splits a batch's texts at spaces and puts the chunks' ids together again; in between, the
+    words of chunks not met before are encoded by the file's own model. Texts that need more than that go through the whole
+    tokenizer. So do chunks with characters that Python's Unicode tables don't have: the tokenizer's and `regex` may have them
+    already, and not class and lower-case them alike. A process has one encoder, as reading the file takes as long as encoding
+    some megabytes."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -83,22 +107,30 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     for token, k in full.get_vocab().items():
         ends[k] = token.endswith("</w>")
     letters = _byte_letters()
-    words: dict[str, bytes] = {}
-    chunks: dict[str, bytes] = {}
-
-    def learn(new: list[str]) -> None:
-        shown = [w.encode("utf-8").decode("latin-1").translate(letters) for w in new]
-        lines = [" ".join(shown[k : k + 500]) for k in range(0, len(shown), 500)]
-        for k, line in enumerate(bare.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(line.ids, np.uint16)
-            stops = np.flatnonzero(ends[ids]) + 1
-            data, own = ids.tobytes(), new[k * 500 : k * 500 + 500]
-            if len(stops) != len(own):
-                raise AssertionError("a word has no end token")
-            at = 0
-            for w, stop in zip(own, (2 * stops).tolist()):
-                words[w] = data[at:stop]
-                at = stop
+    del letters[32]  # parts the words of a line
+
+    def whole(text: str) -> bytes:
+        return np.array(full.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def words_ids(new: list[str]) -> pa.Array:
+        lines = (" ".join(new[k : k + LINE]).encode("utf-8").decode("latin-1").translate(letters) for k in range(0, len(new), LINE))
+        ids = np.concatenate([np.zeros(0, np.uint16), *(np.array(bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint16) for line in lines)])
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != len(new):
+            raise AssertionError("a word has no end token")
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(2 * np.append(0, stops)), pa.py_buffer(ids)])
+
+    words = _Known(words_ids)
+
+    def chunks_ids(new: list[str]) -> pa.Array:
+        strange = {x for x in set().union(*(c for c in new if not c.isascii())) if unicodedata.category(x) == "Cn"}
+        odd = {c: whole(c) for c in new if not strange.isdisjoint(c)} if strange else {}
+        parts = [[] if c in odd else _pieces(c) for c in new]
+        flat = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+        out = _joined(words(flat.dictionary).take(flat.indices), pa.array(list(accumulate(map(len, parts), initial=0)), pa.int32()))
+        return pa.array([odd.get(c, x) for c, x in zip(new, out.to_pylist())], pa.large_binary()) if odd else out
+
+    chunks = _Known(chunks_ids)
 
     def by_words(text: str) -> bool:
         first, a, b, c, d, sigma = WHOLE
@@ -106,28 +138,11 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         return not odd
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(chunks) > CACHE:
-            chunks.clear()
-        if len(words) > CACHE:
-            words.clear()
-        split: list[list[str] | None] = [t.lower().split() if by_words(t) else None for t in texts]
-        new: set[str] = set()
-        for s in split:
-            if s:
-                new.update(s)
-        unseen = new.difference(chunks)
-        beyond = [c for c in unseen if not c.isascii()]
-        odd = sorted(c for c in beyond if unassigned().search(c)) if beyond and unassigned().search(" ".join(beyond)) else []
-        for c, e in zip(odd, full.encode_batch_fast(odd, add_special_tokens=False) if odd else []):
-            chunks[c] = np.array(e.ids, np.uint16).tobytes()
-        parts = {c: [c] if c.isalpha() else WORD.findall(c) for c in unseen.difference(odd)}
-        fresh = {w for p in parts.values() for w in p}.difference(words)
-        if fresh:
-            learn(sorted(fresh))
-        for c, p in parts.items():
-            chunks[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
-        get = chunks.__getitem__
-        return [np.array(full.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+        plain = [by_words(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([t.lower() if own else "" for t, own in zip(texts, plain)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        out = _joined(chunks(coded.dictionary).take(coded.indices), split.offsets).to_pylist()
+        return [x if own else whole(t) for t, own, x in zip(texts, plain, out)]
 
     return encode
 
@@ -155,17 +170,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
         tokens = 0
         path = f"{place}/{name}.ids"
         with open(path + ".tmp", "wb", buffering=1 << 20) as out:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    some = batch.slice(at, 1000)
-                    data = encode([x or "" for x in some.column(1).to_pylist()])
-                    for d in data:
-                        out.write(d)
-                        out.write(end)
-                    n = np.fromiter(map(len, data), np.int64, len(data)) // 2 + 1
-                    sizes.append(n)
-                    tokens += int(n.sum())
-                    ids.append(some.column(0).fill_null(NO_ID).to_numpy())
+            for some in sliced(batches, ROWS):
+                data = encode([x or "" for x in some.column(1).to_pylist()])
+                for d in data:
+                    out.write(d)
+                    out.write(end)
+                n = np.fromiter(map(len, data), np.int64, len(data)) // 2 + 1
+                sizes.append(n)
+                tokens += int(n.sum())
+                ids.append(some.column(0).fill_null(NO_ID).to_numpy())
         if not ids:
             os.unlink(path + ".tmp")
             return

@@ -4,6 +4,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from tokenizers import Tokenizer
 
 from quernstone.llm import tokenfiles as F
@@ -28,6 +29,43 @@ def test_words_give_what_the_whole_text_gives():
         assert [np.frombuffer(x, np.uint16).tolist() + [2] for x in encode(texts)] == [slow(t) for t in texts]
 
 
+def test_a_word_of_all_batches_is_encoded_once(monkeypatch):
+    seen = []
+
+    class Seen:
+        def __init__(self, own):
+            self.__dict__["own"] = own
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode_batch_fast(self, lines, **settings):
+            seen.extend(w for line in lines for w in line.split())
+            return self.own.encode_batch_fast(lines, **settings)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Seen)
+    monkeypatch.setattr(F, "CACHE", 30)
+    encode = F.word_encoder.__wrapped__(PATH)
+    batches = [[" ".join(["common,", *(f"{a}{b}é" for b in "abcdefgh")]), "", f"common {a}"] for a in "abcdefghijklmnop"]
+    for texts in batches:
+        assert [np.frombuffer(x, np.uint16).tolist() + [2] for x in encode(texts)] == [slow(t) for t in texts]
+    assert seen.count("common") == 1
+
+
+def test_splits_at_the_spaces_of_the_whole_tokenizer():
+    texts = [f"a{chr(c)}b {chr(c)}" for c in [*range(0x20), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    whole = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint16).tolist() for x in F.word_encoder(PATH)(texts)] == [e.ids for e in whole]
+    assert F.word_encoder(PATH)([]) == []
+
+
 def test_characters_that_tables_class_differently():
     cps = [*range(0x80, 0x3400, 7), 0x558, 0x58B, 0x88F, 0xC5C, 0x1C89, 0xA7CB, 0x105C9, 0x10D50, 0x16EA0, 0x1E6C0, 0x323B0, 0x3D000, 0x10FFFF]
     texts = [f"A{chr(c)}b 1{chr(c)}! {chr(c)}X's {chr(c)}{chr(0x1C89)}" for c in cps]
